@@ -135,8 +135,12 @@ def round_half_up(c, digits: int) -> Column:
     return F.floor(col_or(c) * F.lit(s) + F.lit(0.5)) / F.lit(s)
 
 
-def r6(c) -> Column:
-    return round_half_up(c, 6)
+ORACLE_DIGITS = 9
+
+
+def rq(c) -> Column:
+    """Rounding applied to order-dependent floating results before comparison."""
+    return round_half_up(c, ORACLE_DIGITS)
 
 
 def normal_cdf(z) -> Column:

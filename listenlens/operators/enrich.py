@@ -51,11 +51,15 @@ def clean_tracks(tracks: DataFrame, median_fill: str | None = "exact") -> DataFr
         out = out.withColumn("explicit", C.to_bool("explicit"))
     if median_fill:
         fills = {}
+        types = dict(tracks.dtypes)
         for c in C.AUDIO_FEATURES:
             if c not in cols:
                 continue
             agg = (F.median(c) if median_fill == "exact"
                    else F.percentile_approx(c, 0.5, 10000))
+            if types[c] in ("int", "bigint", "smallint", "tinyint"):
+                # integral features (key, mode, time_signature) keep their type
+                agg = F.round(agg).cast(types[c])
             fills[c] = F.coalesce(F.col(c), tracks.select(agg).scalar())
         out = out.withColumns(fills)
     return out

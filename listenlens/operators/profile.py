@@ -52,7 +52,7 @@ def listening_stats_both_grains(df: DataFrame, key: str = "user_id") -> DataFram
         F.count_distinct("artist_name").alias("total_artists"),
         C.round_half_up(total_ms / F.lit(3600000.0), 1).alias("total_hours"),
         F.count_if(F.col("explicit")).alias("explicit_tracks"),
-        C.r6(F.avg("popularity")).alias("avg_popularity"),
+        C.rq(F.avg("popularity")).alias("avg_popularity"),
     ).withColumn("grain", F.when(F.col("_gid") == 0, "user").otherwise("all")).drop("_gid"))
 
 

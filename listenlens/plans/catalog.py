@@ -2,7 +2,7 @@
 
 Every query reads the given tables (through the fixture views) and runs over
 them whole.  Floating results that depend on summation order are rounded to
-6 decimals on both sides; rounding is half-up via floor(x*10^d+0.5) so both
+9 decimals on both sides; rounding is half-up via floor(x*10^d+0.5) so both
 engines take the same IEEE steps.
 """
 
@@ -33,3 +33,10 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from listenlens.plans import (q_profile, q_timeline, q_distribution,  # noqa: F401
                                   q_personality, q_taste, q_models, q_stream)
+
+
+def round_doubles(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Round every double column half-up (see module doc); for oracle comparison."""
+    from listenlens.functions.columns import round_half_up
+    return df.withColumns({f.name: round_half_up(f.name, digits)
+                           for f in df.schema.fields if f.dataType.simpleString() == "double"})

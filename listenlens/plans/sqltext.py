@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from listenlens.sources.fixtures import oracle_ctes
 
-__all__ = ["oracle_ctes", "rh", "r6", "ENRICHED_CTE", "with_enriched"]
+__all__ = ["oracle_ctes", "rh", "rq", "ENRICHED_CTE", "with_enriched"]
 
 
 def rh(expr: str, digits: int) -> str:
@@ -13,12 +13,14 @@ def rh(expr: str, digits: int) -> str:
     return f"(floor(({expr}) * {s} + 0.5) / {s})"
 
 
-def r6(expr: str) -> str:
-    return rh(expr, 6)
+def rq(expr: str) -> str:
+    return rh(expr, 9)
 
 
+_INT_FEATURES = ("key", "mode", "time_signature")
 _MEDIAN_FILL = ", ".join(
-    f"coalesce({c}, (SELECT median({c}) FROM tracks)) AS {c}"
+    (f"coalesce({c}, CAST(round((SELECT median({c}) FROM tracks)) AS INTEGER)) AS {c}"
+     if c in _INT_FEATURES else f"coalesce({c}, (SELECT median({c}) FROM tracks)) AS {c}")
     for c in ["danceability", "energy", "key", "loudness", "mode", "speechiness",
               "acousticness", "instrumentalness", "liveness", "valence", "tempo",
               "time_signature"])

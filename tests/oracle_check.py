@@ -25,7 +25,7 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
         return None
     if isinstance(v, float):
         if math.isnan(v):
