@@ -50,17 +50,19 @@ def clean_tracks(tracks: DataFrame, median_fill: str | None = "exact") -> DataFr
     if "explicit" in cols:
         out = out.withColumn("explicit", C.to_bool("explicit"))
     if median_fill:
-        fills = {}
         types = dict(tracks.dtypes)
-        for c in C.AUDIO_FEATURES:
-            if c not in cols:
-                continue
+        feats = [c for c in C.AUDIO_FEATURES if c in cols]
+        meds = []
+        for c in feats:
             agg = (F.median(c) if median_fill == "exact"
                    else F.percentile_approx(c, 0.5, 10000))
             if types[c] in ("int", "bigint", "smallint", "tinyint"):
                 # integral features (key, mode, time_signature) keep their type
                 agg = F.round(agg).cast(types[c])
-            fills[c] = F.coalesce(F.col(c), tracks.select(agg).scalar())
+            meds.append(agg.alias(c))
+        # one aggregate job for all medians: a struct-valued scalar subquery
+        med = tracks.select(F.struct(*meds)).scalar()
+        fills = {c: F.coalesce(F.col(c), med.getField(c)) for c in feats}
         out = out.withColumns(fills)
     return out
 
