@@ -1 +1,249 @@
-"""Registered queries."""
+"""Registered model-backed queries.
+
+Trained models cannot be reproduced in SQL; their queries get the rows-only
+check.  The parts that are pure aggregation or arithmetic (I3, I15, I22,
+I23, B16) also run on model-free inputs and have SQL oracles.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from listenlens.functions import columns as C
+from listenlens.operators import genre as G
+from listenlens.operators import mood as M
+from listenlens.operators import personality as PE
+from listenlens.operators import profile as P
+from listenlens.operators import recommend as R
+from listenlens.operators import taste as TA
+from listenlens.operators.enrich import clean_tracks, enrich_library
+from listenlens.plans.catalog import register, round_doubles
+from listenlens.plans.sqltext import rq, with_enriched
+from listenlens.sources.fixtures import Views
+
+# Model settings of the registered queries.  K-Means and ALS use the
+# reference's values; the forests are smaller (8 most frequent genres,
+# 20 trees of depth 8) to keep the per-genre fits cheap.
+MOOD_K, MOOD_N_INIT = 4, 3
+ALS_RANK, ALS_ITER, ALS_REG = 50, 15, 0.01
+RF_TREES, RF_DEPTH, RF_GENRES = 20, 8, 8
+
+_MODELS: dict = {}
+
+
+def _ctx(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    tracks = clean_tracks(v.tracks)
+    lib = enrich_library(v.library, tracks)
+    return v, tracks, lib
+
+
+def _cached(kind, spark, sf_dir, build):
+    key = (kind, id(spark), sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = build()
+    return _MODELS[key]
+
+
+def mood_model(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return _cached("mood", spark, sf_dir,
+                   lambda: M.fit_mood(v.tracks, k=MOOD_K, n_init=MOOD_N_INIT))
+
+
+def genre_model(spark, sf_dir):
+    _, tracks, _ = _ctx(spark, sf_dir)
+    return _cached("genre", spark, sf_dir,
+                   lambda: G.fit_genre(tracks, RF_TREES, RF_DEPTH, top_genres=RF_GENRES))
+
+
+def taste_model(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return _cached("taste", spark, sf_dir, lambda: TA.train_taste(
+        TA.interaction_matrix(v.interactions), ALS_RANK, ALS_ITER, ALS_REG))
+
+
+# ---------------------------------------------------------------------------
+# mood
+# ---------------------------------------------------------------------------
+@register("mood_label_rule", with_enriched() + f"""
+, a AS (SELECT user_id, avg(energy) AS e, avg(valence) AS v, avg(danceability) AS d,
+               avg(acousticness) AS ac FROM enriched GROUP BY user_id)
+SELECT user_id, {rq('e')} AS avg_energy, {rq('v')} AS avg_valence,
+       CASE WHEN e > 0.7 AND v > 0.6 THEN 'high_energy_happy'
+            WHEN e < 0.4 AND v < 0.4 THEN 'sad_melancholic'
+            WHEN ac > 0.6 THEN 'acoustic_folk'
+            WHEN d > 0.7 THEN 'upbeat_dance'
+            WHEN e > 0.6 AND v < 0.4 THEN 'dark_intense'
+            ELSE 'chill_mellow' END AS label
+FROM a
+""")
+def q_mood_label_rule(spark, sf_dir):
+    """The cluster-label rule applied to each listener's average features."""
+    _, _, lib = _ctx(spark, sf_dir)
+    a = lib.groupBy("user_id").agg(*[F.avg(c).alias(c) for c in
+                                     ("energy", "valence", "danceability", "acousticness")])
+    out = a.select("user_id", F.col("energy").alias("avg_energy"), F.col("valence").alias("avg_valence"),
+                   C.cluster_label("energy", "valence", "danceability", "acousticness").alias("label"))
+    return round_doubles(out)
+
+
+@register("mood_clusters")
+def q_mood_clusters(spark, sf_dir):
+    """I1 + I2: K-Means profiles (size, raw means, label) over the track dimension."""
+    return mood_model(spark, sf_dir).profiles
+
+
+@register("mood_distribution")
+def q_mood_distribution(spark, sf_dir):
+    """I4 + I5: weighted mood shares per listener, ranked."""
+    _, _, lib = _ctx(spark, sf_dir)
+    return M.dominant_mood(M.mood_distribution(mood_model(spark, sf_dir), lib))
+
+
+@register("mood_insights")
+def q_mood_insights(spark, sf_dir):
+    """I6."""
+    _, _, lib = _ctx(spark, sf_dir)
+    return M.mood_insights(mood_model(spark, sf_dir), lib)
+
+
+@register("mood_pca")
+def q_mood_pca(spark, sf_dir):
+    """2-D PCA points of every track with its cluster."""
+    v = Views(spark, sf_dir)
+    return M.pca_points(mood_model(spark, sf_dir), v.tracks)
+
+
+@register("user_type_clusters")
+def q_user_type_clusters(spark, sf_dir):
+    """6-cluster K-Means over the per-listener feature table."""
+    _, _, lib = _ctx(spark, sf_dir)
+    _, out = PE.fit_user_type_clusters(P.user_features(lib))
+    return out.select("user_id", "cluster")
+
+
+# ---------------------------------------------------------------------------
+# genre
+# ---------------------------------------------------------------------------
+@register("genre_probabilities")
+def q_genre_probabilities(spark, sf_dir):
+    """I13 + I14: P(genre) of every track from per-genre forests."""
+    _, tracks, _ = _ctx(spark, sf_dir)
+    return genre_model(spark, sf_dir).predict(tracks)
+
+
+@register("genre_top_predicted")
+def q_genre_top_predicted(spark, sf_dir):
+    """I15 on model probabilities: top 5 genres per listener."""
+    _, tracks, lib = _ctx(spark, sf_dir)
+    return G.top_genres(lib, genre_model(spark, sf_dir).predict(tracks), n=5)
+
+
+@register("genre_hamming_loss")
+def q_genre_hamming_loss(spark, sf_dir):
+    """Hamming loss of the forests on the tracks."""
+    _, tracks, _ = _ctx(spark, sf_dir)
+    return G.hamming_loss(genre_model(spark, sf_dir), tracks)
+
+
+_TAGS = """
+, tags AS (SELECT DISTINCT track_id, unnest(genres_list) AS genre FROM clean_tracks2),
+tot AS (SELECT user_id, count(*) AS tw FROM enriched GROUP BY user_id),
+num AS (SELECT e.user_id, t.genre, count(*) AS s FROM enriched e JOIN tags t ON e.track_id = t.track_id GROUP BY ALL),
+gv AS (SELECT num.user_id, genre, s / tw AS score FROM num JOIN tot ON num.user_id = tot.user_id)
+"""
+
+
+@register("weighted_genre_tags", with_enriched() + _TAGS + f"""
+SELECT user_id, genre, {rq('score')} AS score,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, genre) AS INTEGER) AS rank
+FROM gv
+""")
+def q_weighted_genre_tags(spark, sf_dir):
+    """I15 on 0/1 genre tags: Σ p·w / Σ w per listener and genre, ranked."""
+    _, tracks, lib = _ctx(spark, sf_dir)
+    return round_doubles(G.weighted_genre_vector(lib, G.genre_tags(tracks)))
+
+
+@register("genre_match_tags", with_enriched() + _TAGS + f"""
+, un AS (SELECT user_id, sqrt(sum(score * score)) AS un FROM gv GROUP BY user_id),
+tn AS (SELECT track_id, sqrt(count(*)) AS tn FROM tags GROUP BY track_id),
+pairs AS (SELECT DISTINCT user_id, track_id FROM enriched),
+dots AS (SELECT p.user_id, p.track_id, sum(g.score) AS dot
+         FROM pairs p JOIN tags t ON p.track_id = t.track_id
+         JOIN gv g ON g.user_id = p.user_id AND g.genre = t.genre GROUP BY ALL)
+SELECT p.user_id, p.track_id,
+       {rq('greatest(coalesce(d.dot / (un.un * tn.tn), 0.0), 0.0)')} AS genre_match
+FROM pairs p LEFT JOIN dots d ON p.user_id = d.user_id AND p.track_id = d.track_id
+LEFT JOIN un ON p.user_id = un.user_id LEFT JOIN tn ON p.track_id = tn.track_id
+""")
+def q_genre_match_tags(spark, sf_dir):
+    """I22 on 0/1 tags for every (listener, owned track) pair."""
+    _, tracks, lib = _ctx(spark, sf_dir)
+    tags = G.genre_tags(tracks)
+    return round_doubles(R.genre_match_sparse(lib, G.weighted_genre_vector(lib, tags), tags))
+
+
+_F5 = R.RECENT_FEATURES
+_RECENT = f"""
+, mx AS (SELECT max(added_at) AS m FROM enriched),
+rv AS (SELECT user_id, count_if(added_at >= (SELECT m FROM mx) - INTERVAL 30 DAY) AS nr,
+              {", ".join(f"avg(CASE WHEN added_at >= (SELECT m FROM mx) - INTERVAL 30 DAY THEN {c} END) AS r_{c}, avg({c}) AS a_{c}" for c in _F5)}
+       FROM enriched GROUP BY user_id),
+rv2 AS (SELECT user_id, {", ".join(f"CASE WHEN nr > 0 THEN r_{c} ELSE a_{c} END AS recent_{c}" for c in _F5)} FROM rv)
+"""
+
+
+@register("recent_taste_vectors", with_enriched() + _RECENT + f"""
+SELECT user_id, {", ".join(f"{rq('recent_' + c)} AS recent_{c}" for c in _F5)} FROM rv2
+""")
+def q_recent_taste_vectors(spark, sf_dir):
+    """Mean of 5 features over the last 30 days before the latest add, with fallback."""
+    _, _, lib = _ctx(spark, sf_dir)
+    return round_doubles(R.recent_vectors(lib))
+
+
+_DOT = " + ".join(f"r.recent_{c} * e.{c}" for c in _F5)
+_RN = "sqrt(" + " + ".join(f"r.recent_{c} * r.recent_{c}" for c in _F5) + ")"
+_TN = "sqrt(" + " + ".join(f"e.{c} * e.{c}" for c in _F5) + ")"
+
+
+@register("recent_taste_scores", with_enriched() + _RECENT + f"""
+SELECT e.user_id, e.add_id, e.track_id,
+       {rq(f'greatest(coalesce(({_DOT}) / ({_RN} * {_TN}), 0.0), 0.0)')} AS recent_taste
+FROM enriched e JOIN rv2 r ON e.user_id = r.user_id
+""")
+def q_recent_taste_scores(spark, sf_dir):
+    """I23 for each library row against its listener's recent vector."""
+    _, _, lib = _ctx(spark, sf_dir)
+    return round_doubles(R.recent_scores(lib, R.recent_vectors(lib)))
+
+
+# ---------------------------------------------------------------------------
+# recommendations and training report
+# ---------------------------------------------------------------------------
+@register("recommendations")
+def q_recommendations(spark, sf_dir):
+    """Exact hybrid top-10 over every unowned track, per listener."""
+    _, tracks, lib = _ctx(spark, sf_dir)
+    gm = genre_model(spark, sf_dir)
+    probs = gm.predict(tracks)
+    recs = R.recommend(lib, tracks, mood_model(spark, sf_dir), probs, gm.genres,
+                       taste=taste_model(spark, sf_dir), n=10)
+    return recs.select("user_id", "rank", "track_id", "score",
+                       "score_breakdown.*", "reason").drop("final_score")
+
+
+@register("training_report")
+def q_training_report(spark, sf_dir):
+    """One-row report of the fitted models (counts and parameters)."""
+    v, tracks, _ = _ctx(spark, sf_dir)
+    tm, mm, gm = taste_model(spark, sf_dir), mood_model(spark, sf_dir), genre_model(spark, sf_dir)
+    m = TA.interaction_matrix(v.interactions)
+    counts = m.agg(F.count_distinct("user_id").alias("als_users"),
+                   F.count_distinct("track_id").alias("als_tracks"))
+    return tracks.agg(F.count(F.lit(1)).alias("tracks_count")).join(counts, how="inner").select(
+        "tracks_count", "als_users", "als_tracks",
+        F.lit(tm.model.rank).alias("als_factors"), F.lit(mm.k).alias("mood_clusters"),
+        F.lit(len(gm.genres)).alias("genre_labels"), F.lit(RF_TREES).alias("genre_trees"))
