@@ -247,3 +247,24 @@ def q_training_report(spark, sf_dir):
         "tracks_count", "als_users", "als_tracks",
         F.lit(tm.model.rank).alias("als_factors"), F.lit(mm.k).alias("mood_clusters"),
         F.lit(len(gm.genres)).alias("genre_labels"), F.lit(RF_TREES).alias("genre_trees"))
+
+
+@register("als_taste_profiles")
+def q_als_taste_profiles(spark, sf_dir):
+    """J5 (I9, I11, I12): taste profile of each listener's ALS factors plus its
+    5 most similar listeners (exact cosine)."""
+    tm = taste_model(spark, sf_dir)
+    uf = tm.user_factors
+    prof = TA.taste_profile(uf, "user_id").drop("embedding_vector")
+    sim = TA.similar_vectors(uf, "user_id", n=5, block_rows=512)
+    nested = sim.groupBy("user_id").agg(F.array_sort(F.collect_list(
+        F.struct("rank", "similar_user_id", "similarity"))).alias("similar_users"))
+    return prof.join(nested, "user_id", "left")
+
+
+@register("recap_report")
+def q_recap_report(spark, sf_dir):
+    """One nested recap row per listener (flat parts are checked by their own oracles)."""
+    from listenlens.plans.report import recap
+    _, _, lib = _ctx(spark, sf_dir)
+    return recap(lib)

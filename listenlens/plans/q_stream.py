@@ -1 +1,67 @@
-"""Registered queries."""
+"""Registered streaming queries (K1, K2)."""
+
+from __future__ import annotations
+
+from listenlens.plans.catalog import register, round_doubles
+from listenlens.plans.q_profile import D1_BODY
+from listenlens.plans.sqltext import with_enriched
+from listenlens.plans.sqltext import oracle_ctes, rq
+from listenlens.sources.fixtures import TRACKS_SQL, Views
+from listenlens.streaming.interactions import run_interaction_stream
+from listenlens.streaming.track_import import run_track_import
+
+LISTENING_STATS_ORACLE = with_enriched() + D1_BODY
+
+_W = ("CASE t WHEN 'listen' THEN 1.0 WHEN 'save' THEN 2.0 WHEN 'replay' THEN 1.5 "
+      "WHEN 'skip' THEN -1.0 ELSE 1.0 END")
+
+
+@register("stream_interaction_windows", oracle_ctes("interactions") + f"""
+, typed AS (SELECT DISTINCT ON (user_id, track_id, interaction_type, ts) user_id, track_id, count, ts,
+                   CASE WHEN interaction_type = 'listen' AND duration_ms < 30000 THEN 'skip'
+                        ELSE interaction_type END AS t FROM interactions),
+b AS (SELECT user_id, track_id, date_trunc('day', ts) AS ws, sum({_W} * count) AS score,
+             count(*) AS interactions FROM typed GROUP BY ALL)
+SELECT user_id, track_id, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+       {rq('score')} AS score, interactions
+FROM b WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM interactions) - INTERVAL 1 HOUR
+""")
+def q_stream_interaction_windows(spark, sf_dir):
+    """K1: daily weighted scores from the event file stream; closed windows only."""
+    n_tracks = Views(spark, sf_dir).table("part").count()
+    return round_doubles(run_interaction_stream(spark, sf_dir, n_tracks))
+
+
+@register("stream_track_import")
+def q_stream_track_import(spark, sf_dir):
+    """K2: track rows streamed from the part files, first row per track_uri kept."""
+    part_stream = (spark.readStream.schema(Views(spark, sf_dir).table("part").schema)
+                   .option("pathGlobFilter", "part*.parquet").parquet(sf_dir))
+    tracks = spark.sql(TRACKS_SQL, part=part_stream)
+    return run_track_import(spark, tracks)
+
+
+@register("csv_library_roundtrip", LISTENING_STATS_ORACLE)
+def q_csv_library_roundtrip(spark, sf_dir):
+    """A1 + A2 + A8: the enriched library written as an export-style CSV (reference
+    headers), read back with the explicit schema and normalised names, then D1."""
+    from pyspark.sql import functions as F
+    from listenlens.operators import profile as P
+    from listenlens.operators.enrich import clean_tracks, enrich_library
+    from listenlens.session import scratch_path
+    from listenlens.sources.ingest import LIBRARY_CSV_HEADERS, LIBRARY_CSV_SCHEMA_WITH_USER, load_library_csv
+    v = Views(spark, sf_dir)
+    raw = v.library.join(v.tracks, "track_id")
+    names = ["track_uri", "track_name", "artist_name", "album_name", "genres", "release_date",
+             "added_at", "duration_ms", "explicit", "popularity", "danceability", "energy", "key",
+             "loudness", "mode", "speechiness", "acousticness", "instrumentalness", "liveness",
+             "valence", "tempo", "time_signature"]
+    export = raw.select("user_id", *[F.col(n).alias(h) for n, h in zip(names, LIBRARY_CSV_HEADERS)])
+    export = export.withColumn("Added At", F.date_format("Added At", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    path = scratch_path(spark, "library-csv")
+    export.write.option("header", True).csv(path)
+    back = load_library_csv(spark, path, LIBRARY_CSV_SCHEMA_WITH_USER)
+    lib = back.select("user_id", "track_uri", "added_at")
+    tracks = clean_tracks(back.drop("user_id", "added_at").dropDuplicates(["track_uri"]))
+    return P.listening_stats(enrich_library(lib, tracks, "track_uri"))
