@@ -68,13 +68,18 @@ def clean_tracks(tracks: DataFrame, median_fill: str | None = "exact") -> DataFr
 
 
 def enrich_library(library: DataFrame, tracks: DataFrame,
-                   track_key: str = "track_id") -> DataFrame:
+                   track_key: str = "track_id",
+                   broadcast_max_rows: int | None = None) -> DataFrame:
     """Library rows ⋈ cleaned tracks plus added_* time features.
 
-    The track dimension is broadcast only when its row count is under the
-    bound; otherwise the join is a shuffle join and AQE handles skew.
+    By default the join strategy is left to Spark: the planner broadcasts the
+    track side only when its size estimate is under
+    ``spark.sql.autoBroadcastJoinThreshold`` (and AQE re-checks with runtime
+    sizes), otherwise it shuffles both sides; AQE splits skewed partitions.
+    ``broadcast_max_rows`` adds an explicit row-count check (one extra job)
+    before hinting a broadcast.
     """
-    dim = bounded_broadcast(tracks)
+    dim = bounded_broadcast(tracks, broadcast_max_rows) if broadcast_max_rows else tracks
     df = library.join(dim, track_key, "inner")
     ts = F.col("added_at")
     if dict(library.dtypes).get("added_at") == "string":
@@ -92,6 +97,17 @@ def enrich_library(library: DataFrame, tracks: DataFrame,
     })
 
 
+def cleaned_tracks(views, median_fill: str | None = "exact") -> DataFrame:
+    """The cleaned track dimension of a fixture ``Views`` object (plan memoised)."""
+    key = ("clean_tracks", median_fill)
+    if key not in views.memo:
+        views.memo[key] = clean_tracks(views.tracks, median_fill)
+    return views.memo[key]
+
+
 def enriched(views, median_fill: str | None = "exact") -> DataFrame:
-    """The enriched library for a fixture ``Views`` object."""
-    return enrich_library(views.library, clean_tracks(views.tracks, median_fill))
+    """The enriched library for a fixture ``Views`` object (plan memoised)."""
+    key = ("enriched", median_fill)
+    if key not in views.memo:
+        views.memo[key] = enrich_library(views.library, cleaned_tracks(views, median_fill))
+    return views.memo[key]

@@ -16,7 +16,7 @@ from listenlens.operators import personality as PE
 from listenlens.operators import profile as P
 from listenlens.operators import recommend as R
 from listenlens.operators import taste as TA
-from listenlens.operators.enrich import clean_tracks, enrich_library
+from listenlens.operators.enrich import cleaned_tracks, enriched
 from listenlens.plans.catalog import register, round_doubles
 from listenlens.plans.sqltext import rq, with_enriched
 from listenlens.sources.fixtures import Views
@@ -33,9 +33,7 @@ _MODELS: dict = {}
 
 def _ctx(spark, sf_dir):
     v = Views(spark, sf_dir)
-    tracks = clean_tracks(v.tracks)
-    lib = enrich_library(v.library, tracks)
-    return v, tracks, lib
+    return v, cleaned_tracks(v), enriched(v)
 
 
 def _cached(kind, spark, sf_dir, build):

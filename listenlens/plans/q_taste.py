@@ -72,6 +72,6 @@ def q_similar_users(spark, sf_dir):
 def q_taste_match_scores(spark, sf_dir):
     """Implicit ALS on the interaction matrix, then (dot + 1) / 2 for every
     observed (user, track) pair (trained model: rows-only check)."""
+    from listenlens.plans.q_models import taste_model
     m = TA.interaction_matrix(Views(spark, sf_dir).interactions)
-    model = TA.train_taste(m, rank=20, max_iter=10)
-    return model.match_scores(m.select("user_id", "track_id"))
+    return taste_model(spark, sf_dir).match_scores(m.select("user_id", "track_id"))

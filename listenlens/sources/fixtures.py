@@ -79,15 +79,31 @@ def oracle_ctes(*names: str) -> str:
 
 
 class Views:
-    """Lazily built fixture views for one scale-factor directory."""
+    """Lazily built fixture views for one scale-factor directory.
+
+    Instances are shared per (session, directory), so the DataFrame plans
+    (not data) are analysed once and reused by every query of a session.
+    """
+
+    _instances: dict = {}
+
+    def __new__(cls, spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
+        inst = cls._instances.get(key)
+        if inst is None:
+            inst = super().__new__(cls)
+            inst.spark, inst.sf_dir = spark, sf_dir.rstrip("/")
+            inst._cache, inst._tables, inst.memo = {}, {}, {}
+            cls._instances[key] = inst
+        return inst
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.sf_dir = sf_dir
-        self._cache: dict[str, DataFrame] = {}
+        pass
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     def _view(self, name: str) -> DataFrame:
         if name not in self._cache:
