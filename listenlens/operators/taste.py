@@ -123,6 +123,14 @@ def train_taste(matrix: DataFrame, rank: int = 50, max_iter: int = 15, reg: floa
     from pyspark.ml.recommendation import ALS
     from listenlens.session import checkpoint_dir
     checkpoint_dir(matrix.sparkSession)  # ALS checkpoints its lineage there
+    # Spark scales the regularisation by each id's count of positive ratings, so
+    # an id with no positive rating has an unregularised, singular solve.  Such
+    # ids would get (near) zero factors anyway; they are left out and score the
+    # neutral 0.5 as unknown ids.  Filtering on both sides keeps every remaining
+    # id's positive rows.
+    pos = matrix.filter(F.col("score") > 0)
+    matrix = (matrix.join(pos.select("user_id").distinct(), "user_id", "left_semi")
+              .join(pos.select("track_id").distinct(), "track_id", "left_semi"))
     user_map = item_map = None
     data = matrix
     if _ids_fit_int(matrix, "user_id"):
