@@ -61,9 +61,10 @@ def clean_tracks(tracks: DataFrame, median_fill: str | None = "exact") -> DataFr
                 agg = F.round(agg).cast(types[c])
             meds.append(agg.alias(c))
         # one aggregate job for all medians: a struct-valued scalar subquery
-        med = tracks.select(F.struct(*meds)).scalar()
-        fills = {c: F.coalesce(F.col(c), med.getField(c)) for c in feats}
-        out = out.withColumns(fills)
+        # bound once as a column so the optimizer keeps a single subquery
+        out = out.withColumn("_medians", tracks.select(F.struct(*meds)).scalar())
+        fills = {c: F.coalesce(F.col(c), F.col("_medians").getField(c)) for c in feats}
+        out = out.withColumns(fills).drop("_medians")
     return out
 
 
