@@ -68,6 +68,11 @@ def clean_tracks(tracks: DataFrame, median_fill: str | None = "exact") -> DataFr
     return out
 
 
+def audio_features(df: DataFrame) -> DataFrame:
+    """The audio-feature columns present in ``df``."""
+    return df.select(*[c for c in C.AUDIO_FEATURES if c in df.columns])
+
+
 def enrich_library(library: DataFrame, tracks: DataFrame,
                    track_key: str = "track_id",
                    broadcast_max_rows: int | None = None) -> DataFrame:

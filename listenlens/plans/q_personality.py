@@ -271,3 +271,20 @@ def q_top5_genre_bars(spark, sf_dir):
     e = enriched(Views(spark, sf_dir))
     g = P.genre_distribution(e, top=5).select("user_id", "rank", "genre", "percentage")
     return round_doubles(g.withColumn("bar_pct", F.col("percentage") * 2))
+
+
+def _measured_pct_sql() -> str:
+    parts = []
+    for f in PE.DEFAULT_POPULATION_STATS:
+        z = f"CASE WHEN s.s_{f} > 0 THEN (coalesce(u.{f}, s.m_{f}) - s.m_{f}) / s.s_{f} ELSE 0.0 END"
+        parts.append(f"{rh(phi_sql(z) + ' * 100', 1)} AS {f}_pct")
+    stats = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in PE.DEFAULT_POPULATION_STATS)
+    return (f", pop AS (SELECT {stats} FROM user_features)\n"
+            f"SELECT u.user_id, {', '.join(parts)} FROM user_features u, pop s")
+
+
+@register("percentiles_measured", with_enriched() + D2_CTES + _measured_pct_sql())
+def q_percentiles_measured(spark, sf_dir):
+    """I16 + C9: percentiles against the population measured over all listeners."""
+    _, uf = _features(spark, sf_dir)
+    return PE.percentiles_measured(uf)
