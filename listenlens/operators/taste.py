@@ -50,12 +50,22 @@ def matrix_shape(matrix: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
     """Distinct values of ``col`` numbered 0..n-1 with ``zipWithIndex`` (distributed,
-    two passes, no single-partition sort)."""
+    two passes, no single-partition sort).
+
+    The numbering depends on partition order, which a recomputation after an
+    executor loss need not repeat, so the index is written to the shared
+    checkpoint folder once and read back: every later use sees one numbering.
+    """
+    from listenlens.session import scratch_path
+    spark = df.sparkSession
     distinct = df.select(col).distinct()
     schema = T.StructType([T.StructField(col, distinct.schema[col].dataType),
                            T.StructField(out, T.LongType())])
     rdd = distinct.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    return distinct.sparkSession.createDataFrame(rdd, schema).withColumn(out, F.col(out).cast("int"))
+    path = scratch_path(spark, f"index-{col}")
+    spark.createDataFrame(rdd, schema).withColumn(out, F.col(out).cast("int")) \
+        .write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _ids_fit_int(df: DataFrame, col: str) -> bool:
