@@ -265,4 +265,4 @@ def q_recap_report(spark, sf_dir):
     """One nested recap row per listener (flat parts are checked by their own oracles)."""
     from listenlens.plans.report import recap
     _, _, lib = _ctx(spark, sf_dir)
-    return recap(lib)
+    return recap(lib, mood_model=mood_model(spark, sf_dir))

@@ -19,9 +19,10 @@ def _nested(df: DataFrame, key: str, name: str, order: list[str]) -> DataFrame:
                                 .alias(name)))
 
 
-def recap(enriched_lib: DataFrame, key: str = "user_id", top: int = 5) -> DataFrame:
+def recap(enriched_lib: DataFrame, key: str = "user_id", top: int = 5, mood_model=None) -> DataFrame:
     """One nested row per listener: stats, features, top artists and genres,
-    monthly taste, personality, comparisons, insights."""
+    monthly taste, personality, comparisons, insights and (given a fitted mood
+    model) the mood distribution."""
     keys = [key]
     stats = P.listening_stats(enriched_lib, keys)
     feats = P.user_features(enriched_lib, keys)
@@ -41,4 +42,8 @@ def recap(enriched_lib: DataFrame, key: str = "user_id", top: int = 5) -> DataFr
            .join(_nested(monthly, key, "monthly", ["year_month"]), key, "left")
            .join(_nested(comps, key, "comparisons", ["metric_no"]), key, "left")
            .join(_nested(ins, key, "insights", ["insight_no"]), key, "left"))
+    if mood_model is not None:
+        from listenlens.operators.mood import dominant_mood, mood_distribution
+        moods = dominant_mood(mood_distribution(mood_model, enriched_lib, keys), keys)
+        row = row.join(_nested(moods, key, "moods", ["mood_rank"]), key, "left")
     return row

@@ -86,3 +86,28 @@ def test_same_seed_same_model(spark):
 def test_all_registered_queries_run(spark):
     for name, fn in Q.items():
         assert fn(spark, SF_SMALL).limit(1).count() >= 0, name
+
+
+def test_recent_fallback_and_owned_everything(spark):
+    import datetime as dt
+    from listenlens.operators import genre as G
+    from listenlens.operators import mood as M
+    from listenlens.operators import recommend as R
+    from listenlens.operators.enrich import clean_tracks, enrich_library
+    v = Views(spark, SF_SMALL)
+    tracks = clean_tracks(v.tracks)
+    ids = [r.track_id for r in tracks.select("track_id").collect()]
+    old, new = dt.datetime(2020, 1, 1), dt.datetime(2024, 1, 1)
+    rows = [(1, i, ids[i], old) for i in range(5)]                        # listener 1: nothing recent
+    rows += [(2, 100 + i, t, new) for i, t in enumerate(ids)]              # listener 2: owns everything
+    lib = enrich_library(spark.createDataFrame(rows, "user_id long, add_id long, track_id long, "
+                                                     "added_at timestamp_ntz"), tracks)
+    rv = {r.user_id: r for r in R.recent_vectors(lib).collect()}
+    all_e = lib.filter("user_id = 1").agg(F.avg("energy")).first()[0]
+    assert rv[1].recent_energy == pytest.approx(all_e)                     # fallback to all adds
+    mm = M.fit_mood(v.tracks, n_init=1)
+    tags = G.genre_tags(tracks)
+    genres = sorted({r.genre for r in tags.select("genre").distinct().collect()})
+    recs = R.recommend(lib, tracks, mm, tags, genres, taste=None, n=3).collect()
+    assert {r.user_id for r in recs} == {1}                                # 2 owns every candidate
+    assert all(r.score_breakdown.collaborative_filtering == 0.5 for r in recs)  # no factors: neutral
