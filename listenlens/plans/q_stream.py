@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from listenlens.plans.catalog import register, round_doubles
 from listenlens.plans.q_profile import D1_BODY
-from listenlens.plans.sqltext import with_enriched
-from listenlens.plans.sqltext import oracle_ctes, rq
+from listenlens.plans.sqltext import oracle_ctes, rq, with_enriched
 from listenlens.sources.fixtures import TRACKS_SQL, Views
 from listenlens.streaming.interactions import run_interaction_stream
 from listenlens.streaming.track_import import run_track_import
 
 LISTENING_STATS_ORACLE = with_enriched() + D1_BODY
 
+
+def _d3_oracle():
+    from listenlens.plans import q_profile
+    from listenlens.plans.catalog import ORACLES
+    import listenlens.plans.q_profile  # noqa: F401  (registers genre_distribution)
+    return ORACLES["genre_distribution"]
+
+
+GENRE_DISTRIBUTION_ORACLE = _d3_oracle()
+
 _W = ("CASE t WHEN 'listen' THEN 1.0 WHEN 'save' THEN 2.0 WHEN 'replay' THEN 1.5 "
       "WHEN 'skip' THEN -1.0 ELSE 1.0 END")
 
@@ -65,3 +74,79 @@ def q_csv_library_roundtrip(spark, sf_dir):
     lib = back.select("user_id", "track_uri", "added_at")
     tracks = clean_tracks(back.drop("user_id", "added_at").dropDuplicates(["track_uri"]))
     return P.listening_stats(enrich_library(lib, tracks, "track_uri"))
+
+
+def _interaction_matrix_oracle():
+    from listenlens.plans.q_taste import _MATRIX
+    return oracle_ctes("interactions") + _MATRIX.replace("\n, typed", ", typed", 1) + \
+        f"SELECT user_id, track_id, {rq('score')} AS score, interactions FROM matrix"
+
+
+@register("csv_interactions_roundtrip", _interaction_matrix_oracle())
+def q_csv_interactions_roundtrip(spark, sf_dir):
+    """A4: interactions exported as CSV (user_id, track_id, interaction_type, count,
+    timestamp, duration_ms), read back with the explicit schema, then D23."""
+    from pyspark.sql import functions as F
+    from listenlens.operators import taste as TA
+    from listenlens.session import scratch_path
+    from listenlens.sources.ingest import load_interactions_csv
+    v = Views(spark, sf_dir)
+    path = scratch_path(spark, "interactions-csv")
+    (v.interactions.select("user_id", "track_id", "interaction_type", "count",
+                           F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"))
+     .write.option("header", True).csv(path))
+    back = load_interactions_csv(spark, path)
+    # the export carries no duration: B15 needs none when types are already final
+    return round_doubles(TA.interaction_matrix(back, derive_skips=False))
+
+
+@register("genre_literal_roundtrip", GENRE_DISTRIBUTION_ORACLE)
+def q_genre_literal_roundtrip(spark, sf_dir):
+    """A5: tracks exported with the trainer's list-literal genres ("['a', 'b']"),
+    parsed back with string functions (no eval), then D3 on the library."""
+    from pyspark.sql import functions as F
+    from listenlens.operators import profile as P
+    from listenlens.operators.enrich import clean_tracks, enrich_library
+    from listenlens.session import scratch_path
+    from listenlens.sources.ingest import parse_genre_literal
+    v = Views(spark, sf_dir)
+    lit = clean_tracks(v.tracks, median_fill=None).select(
+        "track_id", "artist_name", F.concat(F.lit("["), F.array_join(F.transform(
+            "genres_list", lambda g: F.concat(F.lit("'"), g, F.lit("'"))), ", "), F.lit("]"))
+        .alias("genres"))
+    path = scratch_path(spark, "genre-literal-csv")
+    lit.write.option("header", True).csv(path)
+    back = (spark.read.schema("track_id long, artist_name string, genres string")
+            .option("header", True).csv(path)
+            .withColumn("genres_list", parse_genre_literal("genres")))
+    lib = v.library.join(back, "track_id")
+    return round_doubles(P.genre_distribution(lib))
+
+
+@register("json_track_import", oracle_ctes("tracks") + """
+SELECT track_id, track_uri, track_name, artist_name, popularity FROM tracks
+""")
+def q_json_track_import(spark, sf_dir):
+    """API-style track objects as JSON lines (each sent twice), imported with
+    first-row-per-track_uri dedup into a Parquet table."""
+    from listenlens.session import scratch_path
+    from listenlens.sources.ingest import import_tracks, read_tracks_json
+    v = Views(spark, sf_dir)
+    src = scratch_path(spark, "tracks-json")
+    v.tracks.unionByName(v.tracks).write.json(src)
+    table = scratch_path(spark, "tracks-table")
+    import_tracks(read_tracks_json(spark, src, v.tracks.schema), table)
+    return spark.read.parquet(table).select("track_id", "track_uri", "track_name",
+                                            "artist_name", "popularity")
+
+
+@register("report_output", LISTENING_STATS_ORACLE)
+def q_report_output(spark, sf_dir):
+    """A run's result tables written one folder each; D1 read back."""
+    from listenlens.operators import profile as P
+    from listenlens.operators.enrich import enriched
+    from listenlens.session import scratch_path
+    from listenlens.sources.ingest import write_report
+    paths = write_report({"listening_stats": P.listening_stats(enriched(Views(spark, sf_dir)))},
+                         scratch_path(spark, "report"))
+    return spark.read.parquet(paths["listening_stats"])
