@@ -32,7 +32,8 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from listenlens.plans import (q_profile, q_timeline, q_distribution,  # noqa: F401
-                                  q_personality, q_taste, q_models, q_stream)
+                                  q_personality, q_taste, q_models, q_stream,
+                                  q_sources)
 
 
 def round_doubles(df: DataFrame, digits: int = 9) -> DataFrame:

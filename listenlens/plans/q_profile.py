@@ -101,13 +101,16 @@ def q_user_features(spark, sf_dir):
     return round_doubles(P.user_features(_enriched(spark, sf_dir)))
 
 
-@register("genre_distribution", with_enriched() + f"""
+D3_SQL = with_enriched() + f"""
 , c AS (SELECT user_id, genre, count(*) AS n
         FROM (SELECT user_id, unnest(genres_list) AS genre FROM enriched) GROUP BY user_id, genre),
 p AS (SELECT user_id, genre, n, n / sum(n) OVER (PARTITION BY user_id) * 100 AS percentage,
              row_number() OVER (PARTITION BY user_id ORDER BY n DESC, genre) AS rank FROM c)
 SELECT user_id, genre, n, {s6('percentage')} AS percentage, rank FROM p WHERE rank <= 20
-""")
+"""
+
+
+@register("genre_distribution", D3_SQL)
 def q_genre_distribution(spark, sf_dir):
     """D3: top 20 genre shares per listener."""
     return round_doubles(P.genre_distribution(_enriched(spark, sf_dir)))
