@@ -26,7 +26,7 @@ FROM b WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM interactions) - INTERVA
 """)
 def q_stream_interaction_windows(spark, sf_dir):
     """K1: daily weighted scores from the event file stream; closed windows only."""
-    n_tracks = Views(spark, sf_dir).table("part").count()
+    n_tracks = Views(spark, sf_dir).n_tracks
     return round_doubles(run_interaction_stream(spark, sf_dir, n_tracks))
 
 

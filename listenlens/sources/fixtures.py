@@ -44,8 +44,11 @@ SELECT p_partkey AS track_id,
 FROM {part}
 """
 
-_TRACK_OF_EVENT = ("CASE WHEN event_id % 5 = 0 THEN (event_id * 31) % (SELECT count(*) FROM {part}) "
-                   "ELSE ((event_id * 31) % CAST((SELECT count(*) FROM {part}) / 10 AS BIGINT)) * 10 "
+# {n_tracks} is the number of tracks: the oracle fills in a scalar subquery over
+# ``part``; Spark binds the value once per session (a footer-only Parquet count),
+# so the queries carry no subquery job for it.
+_TRACK_OF_EVENT = ("CASE WHEN event_id % 5 = 0 THEN (event_id * 31) % {n_tracks} "
+                   "ELSE ((event_id * 31) % CAST({n_tracks} / 10 AS BIGINT)) * 10 "
                    "+ user_id % 10 END")
 
 LIBRARY_SQL = f"""
@@ -73,7 +76,8 @@ def oracle_ctes(*names: str) -> str:
     """``WITH`` clause defining the named views over the raw oracle tables."""
     parts = []
     for n in names:
-        body = VIEW_SQL[n].format(part="part", events="events")
+        body = VIEW_SQL[n].format(part="part", events="events",
+                                  n_tracks="(SELECT count(*) FROM part)")
         parts.append(f"{n} AS ({body})")
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -105,10 +109,17 @@ class Views:
             self._tables[name] = read_table(self.spark, self.sf_dir, name)
         return self._tables[name]
 
+    @property
+    def n_tracks(self) -> int:
+        if "n_tracks" not in self.memo:
+            self.memo["n_tracks"] = self.table("part").count()
+        return self.memo["n_tracks"]
+
     def _view(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.sql(
-                VIEW_SQL[name], part=self.table("part"), events=self.table("events"))
+            args = {"part": self.table("part")} if name == "tracks" else {
+                "events": self.table("events"), "n_tracks": self.n_tracks}
+            self._cache[name] = self.spark.sql(VIEW_SQL[name], **args)
         return self._cache[name]
 
     @property
