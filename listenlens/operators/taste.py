@@ -68,9 +68,14 @@ def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _ids_fit_int(df: DataFrame, col: str) -> bool:
-    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    return r["lo"] is None or (r["lo"] >= 0 and r["hi"] <= INT_MAX)
+def _ids_fit_int(df: DataFrame, cols: list[str]) -> dict[str, bool]:
+    """One aggregate job: does each id column fit ALS's int ids?"""
+    aggs = []
+    for c in cols:
+        aggs += [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
+    r = df.agg(*aggs).first()
+    return {c: r[f"lo_{c}"] is None or (r[f"lo_{c}"] >= 0 and r[f"hi_{c}"] <= INT_MAX)
+            for c in cols}
 
 
 # ---------------------------------------------------------------------------
@@ -141,14 +146,17 @@ def train_taste(matrix: DataFrame, rank: int = 50, max_iter: int = 15, reg: floa
     pos = matrix.filter(F.col("score") > 0)
     matrix = (matrix.join(pos.select("user_id").distinct(), "user_id", "left_semi")
               .join(pos.select("track_id").distinct(), "track_id", "left_semi"))
+    # read by the id checks, the index builds and the ALS block build: keep it
+    matrix = matrix.persist()
+    fits = _ids_fit_int(matrix, ["user_id", "track_id"])
     user_map = item_map = None
     data = matrix
-    if _ids_fit_int(matrix, "user_id"):
+    if fits["user_id"]:
         data = data.withColumn("user_idx", F.col("user_id").cast("int"))
     else:
         user_map = dense_index(matrix, "user_id", "user_idx")
         data = data.join(user_map, "user_id")
-    if _ids_fit_int(matrix, "track_id"):
+    if fits["track_id"]:
         data = data.withColumn("track_idx", F.col("track_id").cast("int"))
     else:
         item_map = dense_index(matrix, "track_id", "track_idx")
@@ -156,7 +164,9 @@ def train_taste(matrix: DataFrame, rank: int = 50, max_iter: int = 15, reg: floa
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True,
               seed=seed, userCol="user_idx", itemCol="track_idx", ratingCol="score",
               coldStartStrategy="nan", checkpointInterval=5)
-    return TasteModel(als.fit(data.select("user_idx", "track_idx", "score")), user_map, item_map)
+    model = als.fit(data.select("user_idx", "track_idx", "score"))
+    matrix.unpersist()
+    return TasteModel(model, user_map, item_map)
 
 
 # ---------------------------------------------------------------------------
