@@ -238,7 +238,7 @@ def summary_card(e, uf, keys=("user_id",)):
 
 @register("top5_artist_bars", with_enriched() + f"""
 , a AS (SELECT user_id, artist_name, count(*) AS track_count FROM enriched WHERE artist_name IS NOT NULL GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY track_count DESC, artist_name) AS rank FROM a),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY track_count DESC, artist_name) AS INTEGER) AS rank FROM a),
 t AS (SELECT * FROM r WHERE rank <= 5)
 SELECT user_id, rank, artist_name, track_count,
        {rq('track_count / max(track_count) OVER (PARTITION BY user_id) * 100')} AS bar_pct
@@ -262,7 +262,7 @@ def top5_artist_bars(e, keys=("user_id",)):
 , c AS (SELECT user_id, genre, count(*) AS n
         FROM (SELECT user_id, unnest(genres_list) AS genre FROM enriched) GROUP BY ALL),
 p AS (SELECT user_id, genre, n / sum(n) OVER (PARTITION BY user_id) * 100 AS percentage,
-             row_number() OVER (PARTITION BY user_id ORDER BY n DESC, genre) AS rank FROM c)
+             CAST(row_number() OVER (PARTITION BY user_id ORDER BY n DESC, genre) AS INTEGER) AS rank FROM c)
 SELECT user_id, rank, genre, {rq('percentage')} AS percentage, {rq('percentage * 2')} AS bar_pct
 FROM p WHERE rank <= 5
 """)

@@ -105,7 +105,7 @@ D3_SQL = with_enriched() + f"""
 , c AS (SELECT user_id, genre, count(*) AS n
         FROM (SELECT user_id, unnest(genres_list) AS genre FROM enriched) GROUP BY user_id, genre),
 p AS (SELECT user_id, genre, n, n / sum(n) OVER (PARTITION BY user_id) * 100 AS percentage,
-             row_number() OVER (PARTITION BY user_id ORDER BY n DESC, genre) AS rank FROM c)
+             CAST(row_number() OVER (PARTITION BY user_id ORDER BY n DESC, genre) AS INTEGER) AS rank FROM c)
 SELECT user_id, genre, n, {s6('percentage')} AS percentage, rank FROM p WHERE rank <= 20
 """
 
@@ -124,7 +124,7 @@ def _artist_sql(n: int, detail: bool) -> str:
 , a AS (SELECT user_id, artist_name, count(*) AS track_count, avg(popularity) AS avg_popularity,
                avg(energy) AS avg_energy, avg(valence) AS avg_valence{dance}
         FROM enriched WHERE artist_name IS NOT NULL GROUP BY user_id, artist_name),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY track_count DESC, artist_name) AS rank FROM a)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY track_count DESC, artist_name) AS INTEGER) AS rank FROM a)
 SELECT user_id, artist_name, track_count, {", ".join(fmt(c) for c in cols)}, rank
 FROM r WHERE rank <= {n}
 """
@@ -145,7 +145,7 @@ def q_artist_detail(spark, sf_dir):
 @register("top_tracks", with_enriched() + """
 , r AS (SELECT user_id, track_id, add_id, track_name, artist_name, album_name, popularity, energy,
                valence, danceability, primary_genre,
-               row_number() OVER (PARTITION BY user_id ORDER BY popularity DESC, track_id, add_id) AS rank
+               CAST(row_number() OVER (PARTITION BY user_id ORDER BY popularity DESC, track_id, add_id) AS INTEGER) AS rank
         FROM enriched)
 SELECT * FROM r WHERE rank <= 10
 """)

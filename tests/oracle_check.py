@@ -70,6 +70,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
         res["first_diffs"] = diff
     sdt = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
     res["dtypes"] = {c: (sdt.get(c), str(dk[c].dtype) if c in dk else None) for c in sc}
+    res["dtype_mismatch"] = {c: (str(sp[c].dtype), str(dk[c].dtype)) for c in sc
+                             if c in dk and c in sp and str(sp[c].dtype) != str(dk[c].dtype)}
     return res
 
 
