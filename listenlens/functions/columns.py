@@ -39,11 +39,16 @@ def col_or(c) -> Column:
 # ---------------------------------------------------------------------------
 # Cleaning (B1-B7)
 # ---------------------------------------------------------------------------
+def strip_ws(c) -> Column:
+    """Python's str.strip(): leading/trailing whitespace of any kind (not only spaces)."""
+    return F.regexp_replace(col_or(c), r"^\s+|\s+$", "")
+
+
 def parse_genres(c="genres") -> Column:
-    """null / '' -> []; else split on ',' and trim each token (blank tokens kept)."""
+    """null / '' -> []; else split on ',' and strip each token (blank tokens kept)."""
     g = col_or(c)
     return (F.when(g.isNull() | (g == ""), F.array().cast("array<string>"))
-            .otherwise(F.transform(F.split(g, ","), lambda x: F.trim(x))))
+            .otherwise(F.transform(F.split(g, ","), strip_ws)))
 
 
 def primary_genre(genres_list="genres_list") -> Column:
@@ -176,6 +181,11 @@ def array_norm(a) -> Column:
     return F.sqrt(array_dot(a, a))
 
 
+def format_fixed(c, digits: int) -> Column:
+    """Python's ``f'{x:.<digits>f}'``: half-even rounding, then fixed digits."""
+    return F.format_string(f"%.{digits}f", F.bround(col_or(c), digits))
+
+
 def format_pct0(c) -> Column:
     """Python's ``f'{x:.0f}'`` for the values used here: half-even to an integer."""
     return F.bround(col_or(c), 0).cast("bigint").cast("string")

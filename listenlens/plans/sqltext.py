@@ -31,7 +31,7 @@ clean_tracks AS (
   SELECT track_id, track_uri, track_name, artist_name, album_name, genres, release_date,
          duration_ms, popularity, explicit,
          CASE WHEN genres IS NULL OR genres = '' THEN []::VARCHAR[]
-              ELSE list_transform(string_split(genres, ','), lambda x: trim(x)) END AS genres_list,
+              ELSE list_transform(string_split(genres, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) END AS genres_list,
          CASE WHEN regexp_matches(release_date, '^[0-9]{{4}}(-[0-9]{{1,2}}(-[0-9]{{1,2}})?)?$')
               THEN CAST(left(release_date, 4) AS INTEGER) END AS release_year,
          duration_ms / 60000.0 AS duration_min,
