@@ -51,7 +51,22 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     """Join two per-key results; with no keys both sides are single rows."""
     if keys:
         return left.join(right, keys, how)
-    # two one-row aggregates: join on a constant key, one-row broadcast side
-    k = "__all__"
-    return (left.withColumn(k, F.lit(0))
-            .join(F.broadcast(right.withColumn(k, F.lit(0))), k, how).drop(k))
+    # whole-frame results are one-row aggregates: attach the right row as a
+    # struct-valued scalar subquery (no join, no cross product)
+    r = right.select(F.struct(*right.columns).alias("_r")).scalar()
+    return left.withColumn("_r", r).select(*left.columns, *[
+        F.col("_r").getField(c).alias(c) for c in right.columns if c not in left.columns])
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Used where one expensive input feeds several branches (or a count and a
+    later pass): each branch then scans the written table instead of
+    recomputing the upstream plan, and the lineage is cut, so a lost executor
+    re-reads files instead of recomputing from the raw tables.
+    """
+    from listenlens.session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -241,7 +241,8 @@ def q_training_report(spark, sf_dir):
     m = TA.interaction_matrix(v.interactions)
     counts = m.agg(F.count_distinct("user_id").alias("als_users"),
                    F.count_distinct("track_id").alias("als_tracks"))
-    return tracks.agg(F.count(F.lit(1)).alias("tracks_count")).join(counts, how="inner").select(
+    from listenlens.operators.common import join_on_keys
+    return join_on_keys(tracks.agg(F.count(F.lit(1)).alias("tracks_count")), counts, []).select(
         "tracks_count", "als_users", "als_tracks",
         F.lit(tm.model.rank).alias("als_factors"), F.lit(mm.k).alias("mood_clusters"),
         F.lit(len(gm.genres)).alias("genre_labels"), F.lit(RF_TREES).alias("genre_trees"))

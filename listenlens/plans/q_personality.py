@@ -166,8 +166,7 @@ def _cmp_sql():
 def q_comparison_stats(spark, sf_dir):
     """Four comparison rows per listener."""
     _, uf = _features(spark, sf_dir)
-    out = PE.comparison_stats(uf, PE.percentiles(uf))
-    return round_doubles(out)
+    return round_doubles(PE.comparison_stats(uf))
 
 
 @register("vibe", with_enriched() + D2_CTES + """
@@ -204,7 +203,7 @@ FROM user_features u JOIN ty ON u.user_id = ty.user_id
 def q_personality_why(spark, sf_dir):
     """Explanation line per listener."""
     _, uf = _features(spark, sf_dir)
-    return PE.why_text(uf, PE.classify(uf))
+    return PE.why_text(uf)
 
 
 @register("summary_card", with_enriched() + D2_CTES + TYPES_CTE + f"""

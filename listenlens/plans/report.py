@@ -23,15 +23,19 @@ def recap(enriched_lib: DataFrame, key: str = "user_id", top: int = 5, mood_mode
     """One nested row per listener: stats, features, top artists and genres,
     monthly taste, personality, comparisons, insights and (given a fitted mood
     model) the mood distribution."""
+    from listenlens.operators.common import materialize
     keys = [key]
+    # nine branches read the enriched library: write it once (the track join and
+    # the derivations then run once), and the per-listener features once
+    enriched_lib = materialize(enriched_lib, "recap-library")
     stats = P.listening_stats(enriched_lib, keys)
-    feats = P.user_features(enriched_lib, keys)
+    feats = materialize(P.user_features(enriched_lib, keys), "recap-features")
     pcts = PE.percentiles(feats, keys=keys)
     types = PE.classify(feats, keys)
     artists = P.top_artists(enriched_lib, keys, n=top).select(key, "rank", "artist_name", "track_count")
     genres = P.genre_distribution(enriched_lib, keys, top=top).select(key, "rank", "genre", "percentage")
     monthly = T.monthly_taste(enriched_lib, keys)
-    comps = PE.comparison_stats(feats, pcts, keys)
+    comps = PE.comparison_stats(feats, keys=keys)
     ins = PE.insights(pcts, keys)
     row = (stats.select(key, F.struct(*[c for c in stats.columns if c != key]).alias("stats"))
            .join(feats.select(key, F.struct(*[c for c in feats.columns if c != key]).alias("features")), key)
