@@ -30,11 +30,16 @@ def q_stream_interaction_windows(spark, sf_dir):
     return round_doubles(run_interaction_stream(spark, sf_dir, n_tracks))
 
 
-@register("stream_track_import")
+@register("stream_track_import", oracle_ctes("tracks") + """
+SELECT track_id, track_uri, track_name, artist_name, album_name, genres, release_date, popularity
+FROM tracks
+""")
 def q_stream_track_import(spark, sf_dir):
     """K2: track rows streamed from the part files, first row per track_uri kept."""
     part_stream = (spark.readStream.schema(Views(spark, sf_dir).table("part").schema)
                    .option("pathGlobFilter", "part*.parquet").parquet(sf_dir))
     tracks = spark.sql(TRACKS_SQL, part=part_stream)
-    return run_track_import(spark, tracks)
+    return run_track_import(spark, tracks).select(
+        "track_id", "track_uri", "track_name", "artist_name", "album_name", "genres",
+        "release_date", "popularity")
 
