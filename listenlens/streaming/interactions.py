@@ -51,15 +51,32 @@ def windowed_scores(interactions: DataFrame, window: str = "1 day",
                     "score", "interactions"))
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Keep streaming state (dedup keys, open windows) in RocksDB: off-heap, spills to
+    local disk, snapshots to the checkpoint folder.  Only set when the session has
+    not chosen a provider."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+
+
 def run_interaction_stream(spark: SparkSession, events_dir: str, n_tracks: int,
                            window: str = "1 day", watermark: str = "1 hour",
-                           file_glob: str = "events*.parquet", out: str | None = None) -> DataFrame:
-    """Run K1 to completion over the files present (``availableNow``) and return
-    the emitted (closed) windows read back from the Parquet sink."""
+                           file_glob: str = "events*.parquet", out: str | None = None,
+                           max_files_per_trigger: int | None = None) -> DataFrame:
+    """Run K1 to completion over the files present (``availableNow``, which honours
+    the rate limit when one is given) and return the emitted (closed) windows read
+    back from the Parquet sink."""
+    use_rocksdb_state(spark)
     schema = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
               "value double, props string")
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", 1).parquet(events_dir))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.parquet(events_dir)
     out = out or scratch_path(spark, "k1-windows")
     q = (windowed_scores(interactions_from_events(src, n_tracks), window, watermark)
          .writeStream.outputMode("append").format("parquet")
