@@ -1,6 +1,5 @@
 """A listener holding a third of all rows: results stay exact (SURVEY scale rules)."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from listenlens.operators import profile as P
