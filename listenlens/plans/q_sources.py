@@ -111,3 +111,14 @@ def q_report_output(spark, sf_dir):
     paths = write_report({"listening_stats": P.listening_stats(enriched(Views(spark, sf_dir)))},
                          scratch_path(spark, "report"))
     return spark.read.parquet(paths["listening_stats"])
+
+
+@register("full_report_manifest")
+def q_full_report_manifest(spark, sf_dir):
+    """A8 production run: all per-listener tables written from one materialised
+    library; returns (table, path, rows) (side-effecting: rows-only check)."""
+    from listenlens.operators.enrich import enriched
+    from listenlens.plans.report import full_report
+    from listenlens.session import scratch_path
+    return full_report(enriched(Views(spark, sf_dir)), scratch_path(spark, "full-report")) \
+        .select("table", "rows")

@@ -51,3 +51,46 @@ def recap(enriched_lib: DataFrame, key: str = "user_id", top: int = 5, mood_mode
         moods = dominant_mood(mood_distribution(mood_model, enriched_lib, keys), keys)
         row = row.join(_nested(moods, key, "moods", ["mood_rank"]), key, "left")
     return row
+
+
+def full_report(enriched_lib: DataFrame, folder: str, key: str = "user_id") -> DataFrame:
+    """A8 as a production run: every per-listener result table of the run, written
+    one folder each under ``folder``.
+
+    The enriched library is materialised once (one pass of the track join and the
+    derivations); each aggregate then scans that table with column pruning.
+    Returns a manifest (table, path, rows) read from the written files.
+    """
+    from listenlens.operators import distribution as D
+    from listenlens.operators.common import materialize
+    from listenlens.sources.ingest import write_report
+    keys = [key]
+    lib = materialize(enriched_lib, "report-library")
+    feats = materialize(P.user_features(lib, keys), "report-features")
+    tables = {
+        "listening_stats": P.listening_stats(lib, keys),
+        "user_features": feats,
+        "genre_distribution": P.genre_distribution(lib, keys),
+        "top_artists": P.top_artists(lib, keys),
+        "top_tracks": P.top_tracks(lib, keys),
+        "recap_stats": P.recap_stats(lib, keys),
+        "monthly_taste": T.monthly_taste(lib, keys),
+        "daily_timeline": T.daily_timeline(lib, keys),
+        "hour_heatmap": T.hour_heatmap(lib, keys),
+        "release_years": T.release_years(lib, keys),
+        "weekend_split": T.weekend_split(lib, keys),
+        "mood_quadrants": D.mood_quadrants(lib, keys),
+        "audio_profile": D.audio_profile(lib, keys),
+        "feature_histograms": D.histogram(lib, keys),
+        "describe_features": D.describe(lib, keys),
+        "feature_correlations": D.correlations(lib, keys),
+        "genre_top15_other": D.genre_top_other(lib, keys),
+        "percentiles": PE.percentiles(feats, keys=keys),
+        "personality": PE.classify(feats, keys),
+        "comparison_stats": PE.comparison_stats(feats, keys=keys),
+        "listening_insights": PE.insights(PE.percentiles(feats, keys=keys), keys),
+    }
+    paths = write_report(tables, folder)
+    spark = enriched_lib.sparkSession
+    rows = [(name, path, spark.read.parquet(path).count()) for name, path in paths.items()]
+    return spark.createDataFrame(rows, "table string, path string, rows long")
