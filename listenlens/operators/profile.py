@@ -43,7 +43,8 @@ def listening_stats(df: DataFrame, keys=None) -> DataFrame:
 def listening_stats_both_grains(df: DataFrame, key: str = "user_id") -> DataFrame:
     """The D1 measures per listener and overall in one pass (grouping sets).
 
-    ``grain`` is 'user' or 'all'; the overall row has a null key.
+    ``grain`` is 'user' or 'all'; the overall row carries key -1 (a non-null key
+    keeps the column's integer type through every consumer).
     """
     total_ms = F.sum("duration_ms")
     return (df.groupingSets([[key], []], key).agg(
@@ -53,7 +54,9 @@ def listening_stats_both_grains(df: DataFrame, key: str = "user_id") -> DataFram
         C.round_half_up(total_ms / F.lit(3600000.0), 1).alias("total_hours"),
         F.count_if(F.col("explicit")).alias("explicit_tracks"),
         C.rq(F.avg("popularity")).alias("avg_popularity"),
-    ).withColumn("grain", F.when(F.col("_gid") == 0, "user").otherwise("all")).drop("_gid"))
+    ).withColumn("grain", F.when(F.col("_gid") == 0, "user").otherwise("all"))
+     .withColumn(key, F.when(F.col("_gid") == 0, F.col(key)).otherwise(F.lit(-1).cast("long")))
+     .drop("_gid"))
 
 
 def _genre_tag_counts(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -187,7 +187,8 @@ def q_stats_summary(spark, sf_dir):
 
 
 @register("listening_stats_grains", with_enriched() + f"""
-SELECT user_id, CASE WHEN grouping(user_id) = 0 THEN 'user' ELSE 'all' END AS grain,
+SELECT CASE WHEN grouping(user_id) = 0 THEN user_id ELSE -1 END AS user_id,
+       CASE WHEN grouping(user_id) = 0 THEN 'user' ELSE 'all' END AS grain,
        count(*) AS total_tracks, count(DISTINCT artist_name) AS total_artists,
        {rh('sum(duration_ms) / 3600000.0', 1)} AS total_hours,
        CAST(count_if(explicit) AS BIGINT) AS explicit_tracks,

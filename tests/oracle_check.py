@@ -1,7 +1,7 @@
 """Spark-vs-DuckDB comparison, as the driver does it (row count, column names,
 order-insensitive values).  Usable from pytest and as a script:
 
-    python tests/oracle_check.py [sf_dir] [name ...]
+    python tests/oracle_check.py [--strict] [sf_dir] [name ...]
 """
 
 from __future__ import annotations
@@ -24,13 +24,16 @@ def duck(sf_dir: str):
     return con
 
 
+STRICT = False  # --strict: compare exact float bits (signed zero included)
+
+
 def _norm(v):
     if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6) + 0.0
+        return repr(v) if STRICT else round(v, 6) + 0.0
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
@@ -80,8 +83,10 @@ if __name__ == "__main__":
     from listenlens.session import get_session
     import __spark_entry__ as E
 
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:]
+    args = [a for a in sys.argv[1:] if a != "--strict"]
+    STRICT = "--strict" in sys.argv
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    names = args[1:]
     spark = get_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     qs, orc = E.queries(), E.oracle_sql()
