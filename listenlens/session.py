@@ -58,6 +58,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is invisible to other executors
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. HDFS/S3) "
+                               "for checkpoints, streams and materialised tables")
         d = tempfile.mkdtemp(prefix="listenlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
