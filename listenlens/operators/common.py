@@ -66,7 +66,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     recomputing the upstream plan, and the lineage is cut, so a lost executor
     re-reads files instead of recomputing from the raw tables.
     """
+    return df.sparkSession.read.parquet(materialize_path(df, name))
+
+
+def materialize_path(df: DataFrame, name: str) -> str:
+    """Write ``df`` once under the shared checkpoint folder; return the path (read it
+    as often as needed: each read is an independent scan with its own lineage)."""
     from listenlens.session import scratch_path
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path

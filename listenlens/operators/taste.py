@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listenlens.functions import columns as C
-from listenlens.operators.common import top_k
+from listenlens.operators.common import materialize_path, top_k
 
 INT_MAX = 2 ** 31 - 1
 
@@ -194,8 +194,9 @@ def taste_profile(vecs: DataFrame, id_col: str, vec_col: str = "embedding") -> D
 def _block_topn(n: int):
     def run(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({"id": pd.Series([], "int64"), "other_id": pd.Series([], "int64"),
-                                 "similarity": pd.Series([], "float64")})
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"),
+                                 "other_id": pd.Series([], dtype="int64"),
+                                 "similarity": pd.Series([], dtype="float64")})
         Q = np.stack(q["u"].to_numpy())
         Cm = np.stack(c["u"].to_numpy())
         qid = q["id"].to_numpy(np.int64)
@@ -226,14 +227,20 @@ def similar_vectors(vecs: DataFrame, id_col: str, vec_col: str = "embedding", n:
     unit = vecs.select(F.col(id_col).cast("long").alias("id"), u.alias("_v")).withColumn(
         "_norm", C.array_norm("_v")).filter(F.col("_norm") > 0).select(
         "id", F.transform("_v", lambda x: x / F.col("_norm")).alias("u"))
-    total = unit.count()
+    # unit vectors are read three times (count, query side, candidate side): write
+    # them once; each side scans the files on its own (independent lineage)
+    spark = vecs.sparkSession
+    path = materialize_path(unit, "unit-vectors")
+    total = spark.read.parquet(path).count()
     blocks = max(1, math.ceil(total / block_rows))
     blk = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    qsrc = unit if queries is None else unit.join(
-        queries.select(F.col(queries.columns[0]).cast("long").alias("id")).distinct(), "id")
+    qsrc = spark.read.parquet(path)
+    if queries is not None:
+        qsrc = qsrc.join(queries.select(F.col(queries.columns[0]).cast("long").alias("id")),
+                         "id", "left_semi")
     q = qsrc.select("id", "u", blk.alias("qb"), all_blocks.alias("cb"))
-    c = unit.select("id", "u", all_blocks.alias("qb"), blk.alias("cb"))
+    c = spark.read.parquet(path).select("id", "u", all_blocks.alias("qb"), blk.alias("cb"))
     partial = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(
         _block_topn(n), "id long, other_id long, similarity double")
     best = top_k(partial, ["id"], [F.desc("similarity"), F.asc("other_id")], n)
