@@ -198,3 +198,23 @@ FROM enriched GROUP BY GROUPING SETS ((user_id), ())
 def q_listening_stats_grains(spark, sf_dir):
     """Per listener and overall in one pass."""
     return P.listening_stats_both_grains(_enriched(spark, sf_dir))
+
+
+PERIOD = ("2024-01-08 00:00:00", "2024-01-22 00:00:00")
+
+
+def _period_oracle() -> str:
+    from listenlens.plans.sqltext import ENRICHED_CTE
+    from listenlens.sources.fixtures import LIBRARY_SQL, oracle_ctes as _oc
+    events = (f"(SELECT * FROM events WHERE ts >= TIMESTAMP '{PERIOD[0]}' "
+              f"AND ts < TIMESTAMP '{PERIOD[1]}')")
+    lib = LIBRARY_SQL.format(events=events, n_tracks="(SELECT count(*) FROM part)")
+    return _oc("tracks").rstrip("\n") + f",\nlibrary AS ({lib})" + ENRICHED_CTE + D1_BODY
+
+
+@register("listening_stats_period", _period_oracle())
+def q_listening_stats_period(spark, sf_dir):
+    """D1 over one recap period: the event-time bounds are pushed into the scan."""
+    from listenlens.operators.enrich import cleaned_tracks, enrich_library
+    v = Views(spark, sf_dir)
+    return P.listening_stats(enrich_library(v.library_between(*PERIOD), cleaned_tracks(v)))

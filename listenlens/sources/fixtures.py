@@ -11,6 +11,7 @@ and inlines it as a literal, no join is needed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from listenlens.sources.tables import read_table
 
@@ -134,6 +135,20 @@ class Views:
     def interactions(self) -> DataFrame:
         return self._view("interactions")
 
+    def library_between(self, ts_from: str, ts_to: str) -> DataFrame:
+        """The library of events with ``ts_from <= ts < ts_to`` (a recap period).
+
+        The bounds filter the raw ``events.ts`` column, so Catalyst pushes them
+        into the Parquet scan (row-group skipping by min/max statistics)."""
+        key = ("library_between", ts_from, ts_to)
+        if key not in self.memo:
+            ev = self.table("events").filter(
+                (F.col("ts") >= F.lit(ts_from).cast("timestamp_ntz")) &
+                (F.col("ts") < F.lit(ts_to).cast("timestamp_ntz")))
+            self.memo[key] = self.spark.sql(VIEW_SQL["library"], events=ev,
+                                            n_tracks=self.n_tracks)
+        return self.memo[key]
+
     @property
     def embeddings(self) -> DataFrame:
         return self.table("embeddings")

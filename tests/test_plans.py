@@ -43,3 +43,22 @@ def test_no_cartesian_products_anywhere(spark):
         p = _plan(Q[name](spark, SF_SMALL))
         assert "CartesianProduct" not in p, name
         assert "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_period_bounds_are_pushed_into_the_scan(spark):
+    p = _plan(Q["listening_stats_period"](spark, SF_SMALL))
+    assert "GreaterThanOrEqual(ts," in p and "LessThan(ts," in p
+
+
+def test_approx_distinct_close_to_exact(spark):
+    from listenlens.operators import profile as P
+    from listenlens.operators.enrich import enriched
+    from listenlens.sources.fixtures import Views
+    e = enriched(Views(spark, SF_SMALL))
+    a = {r.user_id: r for r in P.listening_stats(e).collect()}
+    b = {r.user_id: r for r in P.listening_stats(e, approx_distinct=True).collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k].total_artists - b[k].total_artists) <= max(1, 0.05 * a[k].total_artists)
+               for k in a)
+    assert "approx_count_distinct" in _plan(P.listening_stats(e, approx_distinct=True)) or \
+        "HyperLogLogPlusPlus" in _plan(P.listening_stats(e, approx_distinct=True))
