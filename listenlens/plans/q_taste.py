@@ -64,8 +64,7 @@ SELECT vec_id, similar_vec_id, {rq('similarity')} AS similarity, rank FROM r WHE
 """)
 def q_similar_users(spark, sf_dir):
     """Exact top-10 cosine neighbours of every vector (blocked, bounded groups)."""
-    return round_doubles(TA.similar_vectors(Views(spark, sf_dir).embeddings, "vec_id", n=10,
-                                            block_rows=128))
+    return round_doubles(TA.similar_vectors(Views(spark, sf_dir).embeddings, "vec_id", n=10))
 
 
 @register("taste_match_scores")
