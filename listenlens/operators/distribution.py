@@ -119,15 +119,20 @@ def box_stats(df: DataFrame, keys=None, features=None, approx: bool = False) ->
 
 
 def missing_report(df: DataFrame, keys=None, columns=None) -> DataFrame:
-    """Null count and share (2 dp) per column, only columns with nulls."""
+    """Null count and share (2 dp) per column, only columns with nulls, ranked
+    by count descending."""
     keys = as_keys(keys)
     columns = columns or [c for c in df.columns if c not in keys]
     counts = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
     long = counts.unpivot([*keys, "_rows"], columns, "column", "missing")
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(
+        F.desc("missing"), F.asc("column"))
+    # "descending" made explicit: rank 1 = most nulls (at most one row per column)
     return (long.filter(F.col("missing") > 0)
             .withColumn("percentage", C.round_half_up(F.col("missing") / F.col("_rows") * 100, 2))
+            .withColumn("rank", F.row_number().over(w))
             .drop("_rows"))
 
 

@@ -125,7 +125,8 @@ c AS (SELECT user_id, count(*) AS _rows, {", ".join(f"count_if({c} IS NULL) AS {
       FROM j GROUP BY user_id),
 u AS (UNPIVOT c ON {", ".join(_RAW_COLS)} INTO NAME "column" VALUE missing)
 SELECT user_id, "column", CAST(missing AS BIGINT) AS missing,
-       {rh('missing / _rows * 100', 2)} AS percentage
+       {rh('missing / _rows * 100', 2)} AS percentage,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY missing DESC, "column") AS INTEGER) AS rank
 FROM u WHERE missing > 0
 """)
 def q_missing_report(spark, sf_dir):
