@@ -7,7 +7,7 @@ mean size)), with one multiplier for each source.  The multipliers solve the
 convex dual by Newton steps, each one aggregate over (source, size, count) rows;
 a bracket that always holds the root catches steps that would leave it.  Rates
 become whole copies by carrying the rounding error from large to small documents
-in salted groups, so a source misses its target by about its smallest texts.
+in salted groups, so a source misses its target by a few words a group.
 
 Defined cases: a null text has size 0, a rate of 1 and adds no words; null is a
 source of its own, last in order; rows that repeat an id with the same size and
@@ -118,7 +118,12 @@ def rates(docs: DataFrame, solved: DataFrame, max_rate: float = MAX_RATE) -> Dat
 
 
 def round_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Copies of one group's units, the error carried from large to small."""
+    """Copies of one group's units, the error carried from large to small.
+
+    What is left at the end is worked off by single copies, again from large to
+    small, within 0 and the largest rate.
+    """
+    most = math.floor(MAX_RATE)
     pdf = pdf.sort_values(["size", "unit"], ascending=[False, True], kind="stable")
     copies = np.zeros(len(pdf), dtype=np.int64)
     carry = 0.0
@@ -130,6 +135,11 @@ def round_group(pdf: pd.DataFrame) -> pd.DataFrame:
             carry += (rate - copies[i]) * size
         else:
             copies[i] = low
+    for i, size in enumerate((pdf["size"] * pdf["n"]).to_numpy()):
+        step = round(carry / size) if size and abs(carry) >= size / 2 else 0
+        step = min(max(step, -1, -copies[i]), 1, most - copies[i])
+        copies[i] += step
+        carry -= step * size
     return pdf.assign(copies=copies)
 
 
