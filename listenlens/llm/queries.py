@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from listenlens.llm import decontam, huffman, langid, mixing, quality
+from listenlens.llm import brown_lm, decontam, html_text, huffman, langid, mixing, neardup, quality, secrets, warc
 from listenlens.llm.common import table
 from listenlens.plans.catalog import QueryFn
 
@@ -22,12 +21,24 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+@register("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 @register("op2_token_ids")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written as Huffman blocks and read back."""
     return huffman.round_trip(table(spark, sf_dir, "documents"))
 
 
+@register("op3_warc_index")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written as a WARC record and read back through the capture index."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @register("op4_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
@@ -35,12 +46,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken", "rate", "copies"))
 
 
+@register("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 @register("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by compression."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@register("op7_main_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
@@ -92,3 +115,9 @@ FROM dw LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items found in every document."""
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@register("op10_brown_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class bigram score of every document."""
+    return brown_lm.score(table(spark, sf_dir, "documents"))
