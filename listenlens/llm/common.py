@@ -80,3 +80,9 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
 def text_key(column: str):
     """Join key of a nullable column: null has a key of its own."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]

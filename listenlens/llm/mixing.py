@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listenlens.llm.common import numbered, store, text_key, word_count
+from listenlens.llm.common import fresh, numbered, store, text_key, word_count
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -162,11 +162,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: float
 
 def take(docs: DataFrame, **settings) -> DataFrame:
     """The mixed documents: every row as often as its copies say, all columns kept."""
-    names = docs.columns
+    names, (doc, source, size, copies) = docs.columns, fresh(docs, "_doc", "_source", "_size", "_copies")
     chosen = (mix(docs, **settings).filter("copies > 0")
-              .select(text_key("doc_id").alias("_doc"), text_key("source").alias("_source"),
-                      F.col("size").alias("_size"), F.col("copies").alias("_copies")).distinct())
-    keyed = docs.withColumns({"_doc": text_key("doc_id"), "_source": text_key("source"), "_size": word_count("text")})
-    return (keyed.join(chosen, ["_doc", "_source", "_size"])
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+              .select(text_key("doc_id").alias(doc), text_key("source").alias(source),
+                      F.col("size").alias(size), F.col("copies").alias(copies)).distinct())
+    keyed = docs.withColumns({doc: text_key("doc_id"), source: text_key("source"), size: word_count("text")})
+    return (keyed.join(chosen, [doc, source, size])
+            .select(*names, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies))
             .select(*names))

@@ -19,14 +19,12 @@ letters and digits, lower-cased (ASCII); a text of fewer than five words is one
 shingle.
 
 Defined cases: a text without a word (null and empty too) is a class of its own;
-rows that repeat a text share its class; null ids count last for a class id; an
-empty table gives no rows; other columns are ignored.
+rows that repeat a text share its class; a class id is the least id that is not
+null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listenlens.llm import vectext as V
-from listenlens.llm.common import drop_stored, store, text_key
+from listenlens.llm.common import drop_stored, fresh, store, text_key
 
 WORDS = 5
 SIMILAR = 0.8
@@ -48,7 +46,6 @@ LEADERS = 32
 SLICE = 1 << 19
 
 _SEEDS = V.mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * V._C1)
-_IDF: dict[str, tuple] = {}
 
 
 def _gamma2() -> np.ndarray:
@@ -182,13 +179,9 @@ def icws(s: np.ndarray, w: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _share(docs: DataFrame, stats):
-    return uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(stats)
-
-
 def signatures(docs: DataFrame, stats, k: int = WORDS) -> DataFrame:
     """doc_id, sig, weight, bands of every row; stored."""
-    _, shared = _share(docs, stats)
+    shared = docs.sparkSession.sparkContext.broadcast(stats)
 
     def run(batches):
         for part in V.slices(batches, "text", SLICE):
@@ -222,7 +215,7 @@ def vectors(docs: DataFrame, wanted: DataFrame, stats, k: int = WORDS) -> DataFr
     ``wanted`` names one row of each text (sig and id key), so copies are neither
     shuffled to one place nor coded twice.
     """
-    _, shared = _share(docs, stats)
+    shared = docs.sparkSession.sparkContext.broadcast(stats)
 
     def sign(batches):
         for part in V.slices(batches, "text"):
@@ -358,7 +351,7 @@ def links(members: DataFrame, vecs: DataFrame, similar: float = SIMILAR) -> Data
 
 
 def classes(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, sig, class_id (least id of the class), class_size (rows); one row per document row."""
+    """doc_id, sig, root (the class's own key), class_id (its least id), class_size (rows); one row per document row."""
     stats = shingle_df(docs, k)
     rows = signatures(docs, stats, k)
     doc = text_key("doc_id")
@@ -371,14 +364,14 @@ def classes(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR) -> DataFr
     labels = links(members, vecs, similar)
     named = texts.select("sig", "least", "n")
     if labels is None:
-        by_text = named.select("sig", F.col("least").alias("class_id"), F.col("n").alias("class_size"))
+        by_text = named.select("sig", F.col("sig").alias("root"), F.col("least").alias("class_id"), F.col("n").alias("class_size"))
     else:
         root = (named.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
                 .withColumn("root", F.coalesce("label", "sig")))
         of_root = root.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-        by_text = store(root.select("sig", "root").join(of_root, "root").drop("root"), "dup-classes")
+        by_text = store(root.select("sig", "root").join(of_root, "root"), "dup-classes")
     return (rows.select("doc_id", "sig").join(by_text, "sig", "left")
-            .select("doc_id", "sig",
+            .select("doc_id", "sig", "root",
                     F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                     F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")))
 
@@ -388,21 +381,21 @@ def keep_one(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR) -> DataF
 
     Texts without a word all stay.
     """
-    names = docs.columns
+    names, (doc, sig) = docs.columns, fresh(docs, "_doc", "_sig")
     found = (classes(docs, k, similar)
              .filter(F.col("sig").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))))
     # an id that stands for several texts of its class keeps the least of them
-    kept = (found.groupBy(text_key("doc_id").alias("_doc"), "class_id").agg(F.min("sig").alias("_sig"))
-            .select("_doc", "_sig"))
+    kept = (found.groupBy(text_key("doc_id").alias(doc), "root").agg(F.min("sig").alias(sig))
+            .select(doc, sig))
 
     def sign(batches):
         for part in V.slices(batches, "text"):
             h, off, *_ = V.words(part.column("text"), V.ALNUM)
-            sig = sigs((V.sequence_hash(h, off, 1), V.sequence_hash(h, off, 2)), np.diff(off))
-            yield pa.RecordBatch.from_arrays([*part.columns, sig], names=[*part.schema.names, "_sig"])
-
-    signed = (docs.withColumn("_doc", text_key("doc_id"))
-              .mapInArrow(sign, T.StructType([*docs.schema.fields, T.StructField("_doc", T.StringType()),
-                                              T.StructField("_sig", T.BinaryType())])))
-    one = signed.join(kept, ["_doc", "_sig"]).dropDuplicates(["_doc", "_sig"]).select(*names)
-    return one.unionByName(signed.filter(F.col("_sig").isNull()).select(*names))
+            got = sigs((V.sequence_hash(h, off, 1), V.sequence_hash(h, off, 2)), np.diff(off))
+            yield pa.RecordBatch.from_arrays([*part.columns, got], names=[*part.schema.names, sig])
+
+    signed = (docs.withColumn(doc, text_key("doc_id"))
+              .mapInArrow(sign, T.StructType([*docs.schema.fields, T.StructField(doc, T.StringType()),
+                                              T.StructField(sig, T.BinaryType())])))
+    one = signed.join(kept, [doc, sig]).dropDuplicates([doc, sig]).select(*names)
+    return one.unionByName(signed.filter(F.col(sig).isNull()).select(*names))
