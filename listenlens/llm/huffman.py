@@ -30,7 +30,7 @@ MAX_BITS = 16
 MARK = 256
 BLOCK = 1 << 18
 # pieces remembered by a worker before it starts over (bounds its memory)
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 4_000_000
 
 
 # ---- code -------------------------------------------------------------------
@@ -104,16 +104,14 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     end = np.cumsum(size)
     at = end - size
     word = at >> 5
-    v = codes[ids].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
-    n_words = int((end[-1] + 31) >> 5)
-    # no code is longer than a word, so words without a code's start are found by lookup
-    first = np.searchsorted(word, np.arange(n_words))
-    filled = np.append(first[1:], len(ids)) > first
-    out = np.zeros(n_words + 1, dtype=np.uint64)
-    out[:-1][filled] = np.bitwise_or.reduceat(v >> np.uint64(32), first[filled])
-    spill = np.zeros(n_words + 1, dtype=np.uint64)
-    spill[1:][filled] = np.bitwise_or.reduceat(v & np.uint64(0xFFFFFFFF), first[filled])
-    payload = (out | spill).astype(">u4").tobytes()[:int((end[-1] + 7) >> 3)]
+    v = codes[ids].astype(np.uint64) << (64 - (at & 31) - size).view(np.uint64)
+    # bits of one word and the next, brought together for all codes that start in the word
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    both = np.bitwise_or.reduceat(v, first)
+    out = np.zeros(int(word[-1]) + 2, dtype=np.uint32)
+    out[word[first]] = (both >> np.uint64(32)).astype(np.uint32)
+    out[word[first] + 1] |= both.astype(np.uint32)
+    payload = out.astype(">u4").tobytes()[:int((end[-1] + 7) >> 3)]
     marks = np.diff(np.append(at[::MARK], end[-1])).astype("<u2").tobytes()
     return payload, marks
 
@@ -144,67 +142,130 @@ def unpack(payload: bytes, marks: bytes, n: int, table) -> np.ndarray:
 
 # ---- tokenizer --------------------------------------------------------------
 
-class Pieces(dict):
-    """Ids (little-endian uint32) of text pieces; misses are coded by the tokenizer.
+# white space beside blank and line break, or bytes that may begin it in UTF-8
+_OTHER_SPACE = V.byte_table([9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F])
+_MAYBE_SPACE = {(0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)}
+_NOT_BETWEEN = V.byte_table(b for b in range(256) if b not in (0x20, 0x0A))
+_AFTER_BLANK = np.uint64(0xA5A5A5A5A5A5A5A5)
 
-    The vocabulary's splitter always starts a new piece at a blank that is
-    followed by a non-blank, and around a lone line break, so a text's ids are
-    those of its pieces in turn.
+
+class Pieces:
+    """Ids of text pieces by piece hash: sorted hashes, places in a pool of ids.
+
+    Misses are coded together as one text; ``opens`` tells, by id, where the next
+    piece starts (``drop``: the id there is not the piece's own).
     """
 
-    def __init__(self, tokenizer: Tokenizer, prefix: str, line_break: int):
-        super().__init__()
-        self.tokenizer, self.prefix, self.line_break = tokenizer, prefix, line_break
+    def __init__(self, tokenizer: Tokenizer, between: bytes, opens: np.ndarray, drop: int):
+        self.tokenizer, self.between, self.opens, self.drop = tokenizer, between, opens, drop
+        self.clear()
+
+    def clear(self) -> None:
+        self.h, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def learn(self, pieces: list[str]) -> None:
-        new = list(set(pieces).difference(self))
-        if len(self) + len(new) > CACHE_PIECES:
+    def places(self, h: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the pool, ids) of distinct hashes; ``word(i)`` gives the bytes of the i-th."""
+        if len(self.h) > CACHE_PIECES:
             self.clear()
-            new = list(set(pieces))
-        # many pieces as lines of one text: a line break is an id of its own, found in no piece
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            text = "\n".join([self.prefix + p for p in some])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw = ids.tobytes()
-            cut = (4 * np.flatnonzero(ids == self.line_break)).tolist()
-            self.update(zip(some, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cut]], [*cut, len(raw)])]))
+        miss = np.flatnonzero(~self._known(h)[1])
+        if len(miss):
+            self._learn(h[miss], [word(i) for i in miss.tolist()])
+        at, _ = self._known(h)
+        return self.at[at], self.n[at]
+
+    def _known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.h, h), max(len(self.h) - 1, 0))
+        return at, (self.h[at] == h if len(self.h) else np.zeros(len(h), dtype=bool))
+
+    def _learn(self, h: np.ndarray, new: list[bytes]) -> None:
+        ids = []
+        for i in range(0, len(new), 8192):
+            text = (self.between + self.between.join(new[i:i + 8192])).decode("utf-8", "surrogatepass")
+            ids += self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = np.array(ids, dtype=np.uint32)
+        cut = np.flatnonzero(self.opens[ids])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used:self.used + len(ids)] = ids
+        n = np.diff(np.append(cut, len(ids))) - self.drop
+        merged = np.concatenate([self.h, h])
+        order = np.argsort(merged, kind="stable")
+        self.h = merged[order]
+        self.at = np.concatenate([self.at, self.used + cut + self.drop])[order]
+        self.n = np.concatenate([self.n, n])[order]
+        self.used += len(ids)
 
 
 class Coder:
+    """Texts to ids by their pieces.
+
+    The vocabulary's splitter always starts a new piece at a blank that is
+    followed by a non-blank, and around a lone line break, so a text's ids are
+    those of its pieces in turn.  Texts with other white space, or some side by
+    side, go to the tokenizer whole.
+    """
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        line_break, = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_break = np.array([line_break], dtype="<u4").tobytes()
-        self.head, self.tail = (Pieces(self.tokenizer, p, line_break) for p in ("", " "))
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    @staticmethod
-    def lines(text: str) -> list[list[str]] | None:
-        """Words of the lines, or None where blanks or breaks stand side by side."""
-        lines = [line.split(" ") for line in text.split("\n")]
-        for line in lines:
-            for w in line:
-                if not w or w[0].isspace() or w[-1].isspace():
-                    return None
-        return lines
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.lines(t) for t in texts]
-        self.head.learn([line[0] for lines in cut if lines for line in lines])
-        self.tail.learn([w for lines in cut if lines for line in lines for w in line[1:]])
-        head, tail = self.head.__getitem__, self.tail.__getitem__
-        out = []
-        for text, lines in zip(texts, cut):
-            if lines is None:
-                out.append(self.whole(text))
-            else:
-                out.append(self.line_break.join(
-                    [head(line[0]) + b"".join(map(tail, line[1:])) for line in lines]))
-        return out
+        self.line_break, = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # the byte-level alphabet's sign for a blank, which pieces have in front only
+        blank = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
+        opens = np.zeros((2, self.tokenizer.get_vocab_size()), dtype=bool)
+        opens[0, self.line_break] = True
+        opens[1, [i for t, i in self.tokenizer.get_vocab().items() if t.startswith(blank)]] = True
+        self.head, self.tail = Pieces(self.tokenizer, b"\n", opens[0], 1), Pieces(self.tokenizer, b" ", opens[1], 0)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def encode(self, arr, end: int = END_ID) -> list[np.ndarray]:
+        """Ids of every text of a string column, closed by the end id."""
+        data, off = V.buffers(arr)
+        starts, ends, word_off = V.spans(data, off, _NOT_BETWEEN)
+        n_words = np.diff(word_off)
+        odd = (np.diff(off) > 0) & (V.segment_sums(~_NOT_BETWEEN[data], off) != n_words - 1)
+        odd |= V.segment_sums(_OTHER_SPACE[data], off) > 0
+        if len(data) > 1:
+            for a, b in _MAYBE_SPACE:
+                at = np.flatnonzero((data[:-1] == a) & (data[1:] == b))
+                odd[np.searchsorted(off, at, side="right") - 1] = True
+
+        row = V.rows_of(word_off)
+        use = ~odd[row]
+        starts, ends, row = starts[use], ends[use], row[use]
+        first = np.ones(len(row), dtype=bool)
+        first[1:] = row[1:] != row[:-1]
+        tail = ~first & (data[starts - 1] == 0x20)
+        h = V.hash_spans(data, starts, ends, 3) ^ np.where(tail, _AFTER_BLANK, np.uint64(0))
+        u, one, back = np.unique(h, return_index=True, return_inverse=True)
+        is_tail = tail[one]
+        view = memoryview(data.tobytes())
+        at, n = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+        for pieces, mine in ((self.head, np.flatnonzero(~is_tail)), (self.tail, np.flatnonzero(is_tail))):
+            s, e = starts[one[mine]].tolist(), ends[one[mine]].tolist()
+            at[mine], n[mine] = pieces.places(u[mine], lambda i, s=s, e=e: bytes(view[s[i]:e[i]]))
+        # a line break's id stands before every piece that opens a later line
+        n_word, breaks = n[back], (~first & ~tail).astype(np.int64)
+        size = n_word + breaks
+        per_row = np.bincount(row, weights=size, minlength=len(odd)).astype(np.int64) + 1
+        per_row[odd] = 0
+        row_at = np.concatenate([[0], np.cumsum(per_row)])
+        # places of a row's words: those of the words before, and the end ids of the rows before
+        word_at = np.cumsum(size) - size
+        inside = word_at - np.concatenate([[0], word_at])[1:][np.searchsorted(row, row)] if len(row) else word_at
+        place = row_at[row] + inside + breaks
+        out = np.full(row_at[-1], self.line_break, dtype="<u4")
+        for pieces, mine in ((self.head, ~tail), (self.tail, tail)):
+            k = n_word[mine]
+            ramp = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            out[np.repeat(place[mine], k) + ramp] = pieces.pool[np.repeat(at[back[mine]], k) + ramp]
+        out[row_at[1:][~odd] - 1] = end
+        got = [out[a:b] for a, b in zip(row_at[:-1].tolist(), row_at[1:].tolist())]
+        for i in np.flatnonzero(odd).tolist():
+            got[i] = np.append(self.whole(bytes(view[off[i]:off[i + 1]]).decode("utf-8", "surrogatepass")), np.uint32(end)).astype("<u4")
+        return got
 
 
 _CODERS: dict[str, Coder] = {}
@@ -226,14 +287,12 @@ def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """
     def run(batches):
         code = coder(public_tokenizers.path(tokenizer))
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        kind = "<u2" if code.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for part in V.slices(batches, "text"):
-            ids = [b + end for b in code.encode([t or "" for t in part.column("text").to_pylist()])]
-            small = [np.frombuffer(b, dtype="<u4").astype("<u2").tobytes() for b in ids] \
-                if code.tokenizer.get_vocab_size() <= 1 << 16 else ids
+            ids = code.encode(part.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("part"),
-                 pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(small, pa.binary())],
+                [part.column("doc_id"), part.column("part"), pa.array([len(x) for x in ids], pa.int64()),
+                 pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
                 names=["doc_id", "part", "n_tokens", "ids"])
 
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -253,12 +312,12 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     """Global count of every id; the vocabulary bounds what reaches the driver."""
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for v, n in zip(batch.column("ids"), batch.column("n_tokens")):
-                c = np.bincount(_ids(v.as_buffer(), n.as_py()))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), dtype=np.int64)])
-                total[:len(c)] += c
+        for part in V.slices(batches, "ids"):
+            raw, _ = V.buffers(part.column("ids"))
+            c = np.bincount(_ids(raw.tobytes(), int(part.column("n_tokens").to_numpy().sum())))
+            if len(c) > len(total):
+                total = np.concatenate([total, np.zeros(len(c) - len(total), dtype=np.int64)])
+            total[:len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 

@@ -52,7 +52,7 @@ def buffers(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     if arr.null_count:
-        arr = pc.fill_null(arr, "")
+        arr = pc.fill_null(arr, b"" if pa.types.is_binary(arr.type) or pa.types.is_large_binary(arr.type) else "")
     n = len(arr)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
