@@ -28,10 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from listenlens.llm.common import store
+
 MIN_PAGES = 3
 # a template stands on this share of the host's pages, so a host has at most
 # (elements a page) / MIN_SHARE templates
 MIN_SHARE = 0.2
+# parts a host's pages are dealt out in
+SHARES = 32
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|<)*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))")
@@ -221,10 +225,10 @@ def _subtrees(batches):
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """host, templates: subtree hashes on many pages of the host."""
     p = pages.select(host().alias("host"), F.col("html").cast("string").alias("html")).filter("host <> ''")
-    seen = (p.mapInArrow(_subtrees, "host string, content long, subtrees array<long>")
-            # 0 stands for the page itself
-            .select("host", "content", F.explode(F.concat(F.col("subtrees"), F.array(F.lit(0).cast("long")))).alias("h"))
-            .distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")))
+    seen = store(p.mapInArrow(_subtrees, "host string, content long, subtrees array<long>")
+                 # 0 stands for the page itself
+                 .select("host", "content", F.explode(F.concat(F.col("subtrees"), F.array(F.lit(0).cast("long")))).alias("h"))
+                 .distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")), "page-subtrees")
     pages_of = seen.filter("h = 0").select("host", F.col("n").alias("pages"))
     many = F.greatest(F.lit(float(min_pages)), F.col("pages") * F.lit(min_share))
     return (seen.filter(f"h <> 0 and n >= {min_pages}").join(pages_of, "host").filter(F.col("n") >= many)
@@ -245,5 +249,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     p = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host().alias("host"))
     schema = T.StructType([p.schema["page_id"], p.schema["url"], T.StructField("text", T.StringType()),
                            T.StructField("n_chars", T.LongType()), T.StructField("n_templates", T.LongType())])
-    return (p.join(templates(pages, min_pages, min_share), "host", "left")
+    # a host may hold a third of all pages: its pages are dealt out by url as well, its
+    # templates go along to every share
+    share = F.pmod(F.xxhash64("url", "page_id"), F.lit(SHARES)).cast("int")
+    cut = templates(pages, min_pages, min_share).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return (p.withColumn("share", share).join(cut, ["host", "share"], "left")
             .select("page_id", "url", "html", "templates").mapInArrow(run, schema))
