@@ -9,7 +9,8 @@
    similarity J, so at J = 0.8 a pair meets in some band with a chance of 0.998.
 3. ``links``: in every bucket a few leaders are compared with all others by
    exact weighted Jaccard similarity, round after round, until the members that
-   never led belong to one class.  No bucket is cut and no task holds a bucket.
+   never led belong to one class; an upper bound of the similarity leaves out
+   pairs that cannot reach the threshold.  No bucket is cut and no task holds one.
 4. ``components``: classes are the connected components of the links.
 
 A shingle's weight is (1 + ln tf) * idf with idf = 1 + ``IDF`` * ln(N / df) scaled
@@ -38,11 +39,13 @@ WORDS = 5
 SIMILAR = 0.8
 ROWS, BANDS = 4, 12
 RARE = 500
-IDF = 0.25
+IDF = 0.05
 SKETCH = 1 << 20
 SKETCH_ROW = 1 << 12
-# leaders of a bucket in the rounds after the first
-LEADERS = 32
+# leaders of a bucket in the second round; four times as many in each later one
+LEADERS = 16
+# a shingle that no more of the compared texts have is rare among them
+FEW = 6
 SLICE = 1 << 19
 
 _SEEDS = V.mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * V._C1)
@@ -59,20 +62,31 @@ _LOG_C = np.log(_gamma2()).astype(np.float32)
 _BETA = ((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
 
 
-def distinct_shingles(arr, k: int = WORDS):
-    """(hashes, counts, row offsets, sig halves, words a row): distinct shingles by row."""
+def all_shingles(arr, k: int = WORDS):
+    """(hashes, row offsets, sig halves, words a row) of all shingles, in text order."""
     h, off, *_ = V.words(arr, V.ALNUM)
     sh, sh_off = V.shingles(h, off, k)
-    row = V.rows_of(sh_off).astype(np.uint64)
-    order = np.lexsort((sh, row))
-    s, r = sh[order], row[order]
-    new = np.ones(len(s), dtype=bool)
-    new[1:] = (s[1:] != s[:-1]) | (r[1:] != r[:-1])
-    first = np.flatnonzero(new)
-    tf = np.diff(np.append(first, len(s)))
-    out_off = np.searchsorted(r[first], np.arange(len(sh_off), dtype=np.uint64))
-    halves = V.sequence_hash(h, off, 1), V.sequence_hash(h, off, 2)
-    return s[first], tf, out_off, halves, np.diff(off)
+    return sh, sh_off, (V.sequence_hash(h, off, 1), V.sequence_hash(h, off, 2)), np.diff(off)
+
+
+def distinct(s: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mask of one occurrence of every shingle of a row, its count): rows stay in order."""
+    key = V.mix(s ^ V.mix(row.astype(np.uint64) + V._C1))
+    order = np.argsort(key)
+    k = key[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    mask, count = np.zeros(len(s), dtype=bool), np.zeros(len(s), dtype=np.int64)
+    mask[order[first]] = True
+    count[order[first]] = np.diff(np.append(first, len(k)))
+    return mask, count[mask]
+
+
+def distinct_shingles(arr, k: int = WORDS):
+    """(hashes, counts, row offsets, sig halves, words a row): distinct shingles by row."""
+    s, off, halves, n_words = all_shingles(arr, k)
+    row = V.rows_of(off)
+    mask, tf = distinct(s, row)
+    return s[mask], tf, np.concatenate([[0], np.cumsum(mask)])[off], halves, n_words
 
 
 def sigs(halves, n_words) -> pa.Array:
@@ -96,8 +110,9 @@ def shingle_df(docs: DataFrame, k: int = WORDS, rare: int = RARE):
     def sketch(batches):
         total = np.zeros(SKETCH, dtype=np.int64)
         for part in V.slices(batches, "text"):
-            s, *_ = distinct_shingles(part.column("text"), k)
-            total += np.bincount(s & np.uint64(SKETCH - 1), minlength=SKETCH)
+            # occurrences bound documents from above, so no frequent shingle is missed
+            s, *_ = all_shingles(part.column("text"), k)
+            total += np.bincount((s & np.uint64(SKETCH - 1)).view(np.int64), minlength=SKETCH)
         for i in range(0, SKETCH, SKETCH_ROW):
             row = total[i:i + SKETCH_ROW]
             if row.any():
@@ -125,9 +140,11 @@ def shingle_df(docs: DataFrame, k: int = WORDS, rare: int = RARE):
 
     def count(batches):
         flags = np.unpackbits(shared.value).astype(bool)
-        for part in V.slices(batches, "text", 16 << 20):
-            s, *_ = distinct_shingles(part.column("text"), k)
-            u, n = np.unique(s[flags[s & np.uint64(SKETCH - 1)]], return_counts=True)
+        for part in V.slices(batches, "text"):
+            s, off, *_ = all_shingles(part.column("text"), k)
+            on = flags[(s & np.uint64(SKETCH - 1)).view(np.int64)]
+            s, row = s[on], V.rows_of(off)[on]
+            u, n = np.unique(s[distinct(s, row)[0]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     rows = (texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -309,45 +326,109 @@ def buckets(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return store(rows.join(shared, "bucket"), "dup-buckets")
 
 
-def links(members: DataFrame, vecs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """label of every linked text: node, label."""
+def rare_shingles(texts: DataFrame, vecs: DataFrame) -> DataFrame:
+    """h, sig, w of the shingles that at most ``FEW`` of the given texts have; stored."""
+    def rows(batches):
+        for b in batches:
+            hs = [np.frombuffer(v.as_buffer(), "<u4").astype(np.int64) for v in b.column("h")]
+            ws = [np.frombuffer(v.as_buffer(), "<f4").astype(np.float64) for v in b.column("w")]
+            if hs:
+                sig = b.column("sig").take(pa.array(np.repeat(np.arange(len(hs)), [len(x) for x in hs])))
+                yield pa.RecordBatch.from_arrays([sig, pa.array(np.concatenate(hs)), pa.array(np.concatenate(ws))],
+                                                 names=["sig", "h", "w"])
+
+    every = vecs.join(texts, "sig").select("sig", "h", "w").mapInArrow(rows, "sig binary, h long, w double")
+    few = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= FEW).select("h")
+    return store(every.join(few, "h"), "dup-rare")
+
+
+def rare_pairs(rare: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """a, b: pairs of texts that share a rare shingle and may still be similar.
+
+    Beyond the rare shingles they share, they share no more than the lesser weight
+    of what else they have.  ``texts``: sig, weight, alone (weight of rare shingles).
+    """
+    holders = rare.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("sig", "w"))).alias("x")).filter(F.size("x") > 1)
+    pair = F.expr("flatten(transform(x, (u, i) -> transform(slice(x, i + 2, size(x)), v -> "
+                  "named_struct('a', u.sig, 'b', v.sig, 'w', least(u.w, v.w)))))")
+    shared = holders.select(F.inline(pair)).groupBy("a", "b").agg(F.sum("w").alias("both"))
+    side = lambda x: texts.select(F.col("sig").alias(x), F.col("weight").alias(f"w{x}"),
+                                  (F.col("weight") - F.col("alone")).alias(f"s{x}"))
+    most = F.least("sa", "sb") + F.col("both")
+    return (shared.join(side("a"), "a").join(side("b"), "b")
+            .filter(most * (1 + similar) >= similar * (F.col("wa") + F.col("wb")) * (1 - 1e-6)).select("a", "b"))
+
+
+def prune(members: DataFrame, vecs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(members with ``alone``, links of pairs that share a rare shingle); stored.
+
+    In buckets of many texts the weight of a text's rare shingles is taken.  Pairs
+    that share one are compared here; any other pair shares none, so no text there
+    whose other shingles weigh too little can be similar to any.
+    """
+    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > LEADERS)
+    sized = members.join(size, "bucket", "left")
+    full = store(sized.filter("texts IS NOT NULL").select("sig", "weight").distinct(), "dup-full")
+    rare = rare_shingles(full.select("sig"), vecs)
+    full = store(full.join(rare.groupBy("sig").agg(F.sum("w").alias("alone")), "sig", "left")
+                 .select("sig", "weight", F.coalesce("alone", F.lit(0.0)).alias("alone")), "dup-alone")
+    linked = store(verify(rare_pairs(rare, full, similar), vecs).filter(F.col("sim") >= similar).select("a", "b"), "dup-linked")
+    drop_stored(rare)
+    alone = F.when(F.col("texts").isNotNull(), F.col("alone")).otherwise(F.lit(0.0))
+    kept = (sized.join(full.select("sig", "alone"), "sig", "left").withColumn("alone", alone)
+            .filter(F.col("weight") - F.col("alone") >= similar * F.col("weight") * (1 - 1e-6)))
+    return store(kept.select("bucket", "sig", "weight", "alone"), "dup-buckets"), linked
+
+
+def links(members: DataFrame, vecs: DataFrame, similar: float = SIMILAR) -> DataFrame | None:
+    """label of every linked text (node, label); None without a link.
+
+    Rare shingles first leave out what cannot be similar to anything (texts that only
+    share a passage, copies with many edits).  In the first round the text of each
+    bucket that has least of its own is compared with all others, which settles
+    groups of copies.  In later rounds the members of a bucket's smallest classes are
+    compared with all others, until what never led is one class.
+    """
+    members, linked = prune(members, vecs, similar)
     members = members.withColumn("led", F.lit(False))
-    edges, labels, first = None, None, True
+    edges, labels, leaders = None, None, 1
     while True:
-        if labels is None:
-            state = members.withColumn("class", F.col("sig"))
-        else:
-            state = (members.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-                     .withColumn("class", F.coalesce("label", "sig")).drop("label"))
+        if not linked.isEmpty():
+            edges = linked if edges is None else edges.union(linked)
+            labels = components(edges)
+        state = members.withColumn("class", F.col("sig")) if labels is None else (
+            members.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+            .withColumn("class", F.coalesce("label", "sig")).drop("label"))
         # a bucket is open while members that never led are in two classes
-        classes = (state.filter("not led").groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n")))
-        opened = (classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket"))
-        live = store(state.join(opened, "bucket").join(classes, ["bucket", "class"], "left"), "dup-live")
+        state = store(state, "dup-state")
+        by_class = state.filter("not led").groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+        opened = by_class.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket")
+        live = store(state.join(opened, "bucket").join(by_class, ["bucket", "class"], "left"), "dup-live")
+        drop_stored(state)
         if live.isEmpty():
             return labels
-        # leaders come from the bucket's smallest classes: what is left then is one class
-        w = Window.partitionBy("bucket").orderBy("n", "sig")
-        ranked = (live.filter("not led").select("bucket", "sig", "weight", "class", "n")
-                  .withColumn("place", F.row_number().over(w)).filter(F.col("place") <= (1 if first else LEADERS)))
+        # later leaders come from the smallest classes: what is left then is one class
+        order = [F.col("alone") / F.col("weight"), F.col("sig")] if leaders == 1 else [F.col("n"), F.col("sig")]
+        w = Window.partitionBy("bucket").orderBy(*order)
+        ranked = (live.filter("not led").withColumn("place", F.row_number().over(w))
+                  .filter(F.col("place") <= leaders))
         lead = store(ranked.select("bucket", F.col("sig").alias("a"), F.col("weight").alias("wa"),
-                                   F.col("class").alias("ca"), "place"), "dup-lead")
-        others = (live.join(lead.select("bucket", F.col("a").alias("sig"), "place"), ["bucket", "sig"], "left")
-                  .select("bucket", F.col("sig").alias("b"), F.col("weight").alias("wb"), F.col("class").alias("cb"),
-                          "led", F.coalesce("place", F.lit(1 << 30)).alias("after")))
-        pairs = (others.filter("not led").join(lead, "bucket")
+                                   (F.col("weight") - F.col("alone")).alias("sa"), F.col("class").alias("ca"), "place"), "dup-lead")
+        now = store(live.join(lead.select("bucket", F.col("a").alias("sig"), "place"), ["bucket", "sig"], "left"), "dup-now")
+        drop_stored(live)
+        others = now.filter("not led").select("bucket", F.col("sig").alias("b"), F.col("weight").alias("wb"),
+                                              (F.col("weight") - F.col("alone")).alias("sb"),
+                                              F.col("class").alias("cb"), F.coalesce("place", F.lit(1 << 30)).alias("after"))
+        # no more can be shared than the lesser weight without rare shingles
+        most = F.least("sa", "sb")
+        pairs = (others.join(lead, "bucket")
                  .filter((F.col("after") > F.col("place")) & (F.col("ca") != F.col("cb"))
-                         & (F.least("wa", "wb") >= similar * F.greatest("wa", "wb")))
+                         & (most * (1 + similar) >= similar * (F.col("wa") + F.col("wb")) * (1 - 1e-6)))
                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        tested = store(verify(pairs, vecs), "dup-tested")
-        linked = tested.filter(F.col("sim") >= similar).select("a", "b")
-        edges = linked if edges is None else edges.union(linked)
-        if not linked.isEmpty():
-            labels = components(edges)
-        members = store(
-            live.join(lead.select("bucket", F.col("a").alias("sig"), F.lit(True).alias("now")), ["bucket", "sig"], "left")
-            .select("bucket", "sig", "weight", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led")),
-            "dup-buckets")
-        first = False
+        linked = store(verify(pairs, vecs).filter(F.col("sim") >= similar).select("a", "b"), "dup-linked")
+        members = now.select("bucket", "sig", "weight", "alone", (F.col("led") | F.col("place").isNotNull()).alias("led"))
+        # few pairs pass the bound by now, so ever more leaders go at once
+        leaders = LEADERS if leaders == 1 else 4 * leaders
 
 
 def classes(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR) -> DataFrame:

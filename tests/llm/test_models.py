@@ -80,13 +80,15 @@ def test_planted_groups(spark):
     assert {r.doc_id for r in kept.collect()} == {0, 200, 300, 301, *range(100, 160)} and kept.count() == 64
 
 
-def test_rounds_find_every_link_of_a_bucket(spark, monkeypatch):
-    """All texts in one bucket: classes must still be those of all pairs."""
-    monkeypatch.setattr(neardup, "LEADERS", 2)
+@pytest.mark.parametrize("leaders", [2, 500])
+def test_rounds_find_every_link_of_a_bucket(spark, monkeypatch, leaders):
+    """All texts in one bucket, with and without the bound: classes are those of all pairs."""
+    monkeypatch.setattr(neardup, "LEADERS", leaders)
     rows, docs = planted(spark)
     stats = neardup.shingle_df(docs)
     sig = neardup.signatures(docs, stats).filter("sig IS NOT NULL").groupBy("sig").agg(
-        F.min(F.concat(F.lit("="), F.col("doc_id").cast("string"))).alias("doc"), F.min("doc_id").alias("least"), F.first("weight").alias("weight"))
+        F.min(F.concat(F.lit("="), F.col("doc_id").cast("string"))).alias("doc"), F.min("doc_id").alias("least"),
+        F.first("weight").alias("weight"))
     vecs = neardup.vectors(docs, sig.select("sig", "doc"), stats)
     labels = neardup.links(sig.select(F.lit(1).cast("long").alias("bucket"), "sig", "weight"), vecs)
     of = {r.node: r.label for r in labels.collect()}
