@@ -31,6 +31,7 @@ from listenlens.llm import vectext as V
 from listenlens.llm.common import crc_mod
 
 SAMPLE_TEXTS = 512
+BUCKETS = 64
 EXCERPT = 2000
 DICTIONARY_BYTES = 128 * 1024
 LEVEL = 6
@@ -54,8 +55,10 @@ def learn(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, excerpt: int = EXCE
              .filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
              .select("lang", "text", F.xxhash64("text").alias("h")))
     by_text = train.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("lang").orderBy("h")
-    chosen = by_text.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= sample_texts)
+    # the same number of texts from each hash bucket, so no task ranks a whole language
+    w = Window.partitionBy("lang", F.pmod("h", F.lit(BUCKETS))).orderBy("h")
+    chosen = (by_text.withColumn("rank", F.row_number().over(w))
+              .filter(F.col("rank") <= max(1, sample_texts // BUCKETS)))
     # sample_texts rows a language: small whatever the input
     sample = (train.select("lang", "h", F.substring("text", 1, excerpt).alias("text"))
               .join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"])
