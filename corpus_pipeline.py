@@ -14,28 +14,38 @@ from listenlens.llm import decontam, huffman, langid, mixing, neardup
 from listenlens.llm.common import store, table
 
 
+def _whole_texts(spark: SparkSession) -> None:
+    """Rows hold whole texts, so Python tasks get fewer of them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear."""
+    _whole_texts(spark)
     return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    _whole_texts(spark)
     return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
+    _whole_texts(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    _whole_texts(spark)
     return mixing.take(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the mixed documents, written as blocks and read back."""
+    _whole_texts(spark)
     return huffman.round_trip(docs)
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from listenlens.session import scratch_path
 
 # words as most operators count them: anything between ASCII white space
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# the files replace the shuffles below them, so those go at once; rows hold whole
+# texts, so Python gets few at a time
+_WHILE_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+                  "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,13 +30,14 @@ def store(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     w = df.write
     if codec:
         w = w.option("compression", codec)
-    # the files replace the shuffles below them, so those can go at once
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_STORING}
+    for k, v in _WHILE_STORING.items():
+        spark.conf.set(k, v)
     try:
         w.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

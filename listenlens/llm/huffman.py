@@ -30,7 +30,7 @@ MAX_BITS = 16
 MARK = 256
 BLOCK = 1 << 18
 # pieces remembered by a worker before it starts over (bounds its memory)
-CACHE_PIECES = 4_000_000
+CACHE_PIECES = 2_000_000
 
 
 # ---- code -------------------------------------------------------------------
@@ -161,7 +161,7 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.h, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.h, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def places(self, h: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
@@ -192,8 +192,8 @@ class Pieces:
         merged = np.concatenate([self.h, h])
         order = np.argsort(merged, kind="stable")
         self.h = merged[order]
-        self.at = np.concatenate([self.at, self.used + cut + self.drop])[order]
-        self.n = np.concatenate([self.n, n])[order]
+        self.at = np.concatenate([self.at, (self.used + cut + self.drop).astype(np.int32)])[order]
+        self.n = np.concatenate([self.n, n.astype(np.int32)])[order]
         self.used += len(ids)
 
 

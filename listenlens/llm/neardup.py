@@ -462,12 +462,13 @@ def keep_one(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR) -> DataF
 
     Texts without a word all stay.
     """
-    names, (doc, sig) = docs.columns, fresh(docs, "_doc", "_sig")
+    names, (doc, sig, times) = docs.columns, fresh(docs, "_doc", "_sig", "_times")
     found = (classes(docs, k, similar)
              .filter(F.col("sig").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))))
     # an id that stands for several texts of its class keeps the least of them
-    kept = (found.groupBy(text_key("doc_id").alias(doc), "root").agg(F.min("sig").alias(sig))
-            .select(doc, sig))
+    kept = store(found.groupBy(text_key("doc_id").alias(doc), "root", "sig").agg(F.count(F.lit(1)).alias("n"))
+                 .groupBy(doc, "root").agg(F.min(F.struct("sig", "n")).alias("x"))
+                 .select(doc, F.col("x.sig").alias(sig), F.col("x.n").alias(times)), "dup-kept")
 
     def sign(batches):
         for part in V.slices(batches, "text"):
@@ -478,5 +479,10 @@ def keep_one(docs: DataFrame, k: int = WORDS, similar: float = SIMILAR) -> DataF
     signed = (docs.withColumn(doc, text_key("doc_id"))
               .mapInArrow(sign, T.StructType([*docs.schema.fields, T.StructField(doc, T.StringType()),
                                               T.StructField(sig, T.BinaryType())])))
-    one = signed.join(kept, [doc, sig]).dropDuplicates([doc, sig]).select(*names)
-    return one.unionByName(signed.filter(F.col(sig).isNull()).select(*names))
+    one = signed.join(kept, [doc, sig])
+    # only rows that repeat both id and text have to be brought together
+    again = one.filter(F.col(times) > 1).dropDuplicates([doc, sig])
+    some = one.filter(F.col(times) == 1).select(*names)
+    if not kept.filter(F.col(times) > 1).isEmpty():
+        some = some.unionByName(again.select(*names))
+    return some.unionByName(signed.filter(F.col(sig).isNull()).select(*names))

@@ -16,7 +16,7 @@ import xxhash
 
 SPACES = bytes([0x20, 9, 10, 11, 12, 13])
 # bytes of text handled at once; longer single texts are handled alone
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _LONG_WORD = 512
 
 _C1 = np.uint64(0x9E3779B97F4A7C15)
