@@ -1,4 +1,4 @@
-"""Small shared helpers: keys, size-checked broadcast, per-group top-k."""
+"""Small shared helpers: keys, per-group top-k, written intermediates."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 DEFAULT_KEYS = ("user_id",)
 
-# A side is broadcast only when a row count shows it below this bound.
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def as_keys(keys) -> list[str]:
     if keys is None:
@@ -19,17 +16,6 @@ def as_keys(keys) -> list[str]:
     return list(keys)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked size bound.
-
-    ``limit(max_rows + 1).count()`` stops early, so the check costs at most
-    ``max_rows`` rows.  Above the bound the frame is returned unhinted and
-    Spark's planner (with AQE) picks a shuffle join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def top_k(df: DataFrame, keys: list[str], order: list[Column], n: int,
           rank_col: str = "rank") -> DataFrame:
     """Rows ranked 1..n per key group.

@@ -1,9 +1,8 @@
 """Distributions, summaries and correlations.
 
-Per-feature statistics first ``unpivot`` the features into long rows so one
-``groupBy(keys, feature)`` computes every feature in a single pass.  Exact
-quartiles use ``percentile`` (mergeable value-count buffers); ``approx=True``
-switches to ``percentile_approx`` for bounded memory on huge groups.
+Per-feature statistics first ``unpivot`` the features and count equal values
+(partial sums split a hot listener over its values); ranges, bins, quartiles and
+moments are then taken from the counts.
 """
 
 from __future__ import annotations
@@ -14,15 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenlens.functions import columns as C
-from listenlens.operators.common import as_keys, join_on_keys, top_k
+from listenlens.operators.common import as_keys, join_on_keys, materialize, top_k
 
 # Radar baseline of the "average listener" and feature lists.
 RADAR_BASELINE = {"energy": 0.55, "valence": 0.5, "danceability": 0.6, "acousticness": 0.3}
 PROFILE_FEATURES = ["danceability", "energy", "speechiness", "acousticness",
                     "instrumentalness", "liveness", "valence", "tempo"]
-HISTOGRAM_FEATURES = ["energy", "valence", "danceability", "tempo"]
+HISTOGRAM_FEATURES = PROFILE_FEATURES
 CORRELATION_FEATURES = ["energy", "valence", "danceability", "acousticness", "speechiness",
-                        "instrumentalness", "liveness", "tempo", "loudness"]
+                        "instrumentalness", "liveness", "tempo", "loudness", "popularity"]
 BOX_FEATURES = ["danceability", "energy", "speechiness", "acousticness", "instrumentalness",
                 "liveness", "valence"]
 MOODS = ["Happy & Energetic", "Angry & Intense", "Peaceful & Happy", "Sad & Calm"]
@@ -35,6 +34,45 @@ def _long(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
             .filter(F.col("value").isNotNull()))
 
 
+def value_counts(df: DataFrame, keys=None, features=None) -> DataFrame:
+    """(keys, feature, value, n): map-side sums spread a hot listener over its values."""
+    keys = as_keys(keys)
+    return (_long(df, keys, features or HISTOGRAM_FEATURES).groupBy(*keys, "feature", "value")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def quantiles(counts: DataFrame, group: list[str], qs: list[float], buckets: int = 64) -> DataFrame:
+    """Exact linear-interpolated quantiles of value counts: (group, q array, count).
+
+    Values are cut into buckets at approximate bounds; bucket totals tell which
+    buckets hold the wanted ranks, and only those are ranked, each on its own.
+    """
+    counts = materialize(counts, "value-counts")
+    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    # written once: approximate bounds must not change if a stage is run again
+    bounds = materialize(counts.groupBy(*group).agg(F.percentile_approx("value", probs, 1000).alias("_bounds"),
+                                                    F.sum("n").alias("_all")), "value-bounds")
+    cut = counts.join(bounds, group).withColumn(
+        "_b", F.size(F.filter("_bounds", lambda b: b < F.col("value")))).drop("_bounds")
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (cut.groupBy(*group, "_b", "_all").agg(F.sum("n").alias("_size"))
+              .withColumn("_from", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_all"))
+    inside = Window.partitionBy(*group, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    rank = lambda q: F.lit(q) * (F.col("_all") - 1)
+    held = lambda r, lo, hi: (r >= lo) & (r < hi)
+    wanted = [f(rank(q)) for q in qs for f in (F.floor, F.ceil)]
+    some = F.lit(False)
+    for r in wanted:
+        some = some | held(r, F.col("_from"), F.col("_from") + F.col("_size"))
+    ranked = (cut.join(totals, [*group, "_b"]).filter(some)
+              .withColumn("_lo", F.col("_from") + F.coalesce(F.sum("n").over(inside), F.lit(0))))
+    pick = lambda r: F.max(F.when(held(r, F.col("_lo"), F.col("_lo") + F.col("n")), F.col("value")))
+    out = ranked.groupBy(*group, "_all").agg(*[pick(r).alias(f"_v{i}") for i, r in enumerate(wanted)])
+    value = lambda i, q: (F.col(f"_v{2 * i}") + (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}"))
+                          * (rank(q) - F.floor(rank(q))))
+    return out.select(*group, F.array(*[value(i, q) for i, q in enumerate(qs)]).alias("q"), F.col("_all").alias("count"))
+
+
 def mood_quadrants(df: DataFrame, keys=None) -> DataFrame:
     """Counts and share per energy/valence quadrant, with the dominant one flagged."""
     keys = as_keys(keys)
@@ -59,61 +97,66 @@ def audio_profile(df: DataFrame, keys=None, features=None) -> DataFrame:
 def histogram(df: DataFrame, keys=None, features=None, bins: int = 30) -> DataFrame:
     """Equal-width bins between each group's min and max; max falls in the last bin.
 
-    Output rows only for non-empty bins.  The min/max come from a small
-    aggregate joined back on (keys, feature); AQE splits a skewed join key.
+    Output rows only for non-empty bins.  Range and bins are taken from value
+    counts, so raw rows never meet on a listener's key.
     """
     keys = as_keys(keys)
-    features = features or HISTOGRAM_FEATURES
-    long = _long(df, keys, features)
     g = [*keys, "feature"]
-    rng = long.groupBy(*g).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    counts = value_counts(df, keys, features or HISTOGRAM_FEATURES)
+    rng = counts.groupBy(*g).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = F.col("hi") - F.col("lo")
     b = (F.when(width == 0, F.lit(1))
          .otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / width * bins) + 1,
                             F.lit(bins))))
-    binned = long.join(rng, g).withColumn("bin", b.cast("int"))
-    out = binned.groupBy(*g, "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    binned = counts.join(rng, g).withColumn("bin", b.cast("int"))
+    out = binned.groupBy(*g, "bin", "lo", "hi").agg(F.sum("n").alias("n"))
     return (out.withColumn("bin_start", F.col("lo") + (F.col("bin") - 1) * (F.col("hi") - F.col("lo")) / bins)
             .withColumn("bin_end", F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins)
             .drop("lo", "hi"))
 
 
-def _quartiles(approx: bool):
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    return (F.percentile_approx("value", qs, 10000) if approx
-            else F.percentile(F.col("value"), qs))
-
+def _quartiles():
+    """Quartiles of value counts: the buffer holds a feature's distinct values."""
+    return F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
 
-def describe(df: DataFrame, keys=None, features=None, approx: bool = False) -> DataFrame:
-    """Count, mean, sample std, min, quartiles, max per feature (long form)."""
-    keys = as_keys(keys)
-    features = features or [c for c in C.AUDIO_FEATURES if c in df.columns]
-    long = _long(df, keys, features)
-    out = long.groupBy(*keys, "feature").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        _quartiles(approx).alias("_q"), F.max("value").alias("max"))
-    return (out.withColumns({"p25": F.col("_q")[0], "p50": F.col("_q")[1], "p75": F.col("_q")[2]})
-            .drop("_q"))
 
+def describe(df: DataFrame, keys=None, features=None) -> DataFrame:
+    """Count, mean, sample std, min, quartiles, max per feature (long form).
 
-def box_stats(df: DataFrame, keys=None, features=None, approx: bool = False) -> DataFrame:
+    All from value counts; the deviation is taken around the mean in a second
+    pass over the counts, which loses no digits to cancellation.
+    """
+    keys = as_keys(keys)
+    features = features or [c for c in (*C.AUDIO_FEATURES, "popularity", "duration_ms") if c in df.columns]
+    g = [*keys, "feature"]
+    counts = value_counts(df, keys, features)
+    out = counts.groupBy(*g).agg(
+        F.sum("n").alias("count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("value").alias("min"), _quartiles().alias("_q"), F.max("value").alias("max"))
+    spread = (counts.join(out.select(*g, "mean"), g).groupBy(*g)
+              .agg(F.sum((F.col("value") - F.col("mean")) ** 2 * F.col("n")).alias("_ss")))
+    return (out.join(spread, g)
+            .withColumns({"std": F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1))),
+                          "p25": F.col("_q")[0], "p50": F.col("_q")[1], "p75": F.col("_q")[2]})
+            .select(*g, "count", "mean", "std", "min", "max", "p25", "p50", "p75"))
+
+
+def box_stats(df: DataFrame, keys=None, features=None) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers (extreme points inside), outliers, min, max."""
     keys = as_keys(keys)
-    features = features or BOX_FEATURES
-    long = _long(df, keys, features)
     g = [*keys, "feature"]
-    q = (long.groupBy(*g).agg(_quartiles(approx).alias("_q"))
+    counts = value_counts(df, keys, features or BOX_FEATURES)
+    q = (counts.groupBy(*g).agg(_quartiles().alias("_q"))
          .select(*g, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3")))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({
         "lower_fence": F.col("q1") - 1.5 * F.col("iqr"),
         "upper_fence": F.col("q3") + 1.5 * F.col("iqr")})
     inside = (F.col("value") >= F.col("lower_fence")) & (F.col("value") <= F.col("upper_fence"))
-    agg = long.join(q, g).groupBy(*g, "q1", "median", "q3", "iqr", "lower_fence", "upper_fence").agg(
+    agg = counts.join(q, g).groupBy(*g, "q1", "median", "q3", "iqr", "lower_fence", "upper_fence").agg(
         F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("value"))).alias("upper_whisker"),
-        F.count_if(~inside).alias("outliers"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("outliers"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     return agg
 
@@ -177,9 +220,9 @@ def genre_top_other(df: DataFrame, keys=None, top: int = 15) -> DataFrame:
 
 def bounded_sample(df: DataFrame, n: int, keys=None, id_col: str = "add_id",
                    seed: int = 42) -> DataFrame:
-    """min(n, group size) rows per group, repeatable: smallest xxhash64(id, seed)."""
+    """min(n, group size) rows per group, repeatable: smallest md5 of "id-seed"."""
     keys = as_keys(keys)
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
     return top_k(df.withColumn("_h", h), keys, [F.asc("_h"), F.asc(id_col)], n).drop("_h")
 
 

@@ -3,8 +3,7 @@
 ``clean_tracks`` works on the track dimension (one row per track);
 ``enrich_library`` attaches track attributes to library rows and derives
 time features.  Missing audio features are filled with the median of the
-track dimension, computed as scalar subqueries: Spark runs each aggregate
-once and inlines the value, so no join and no driver round trip is needed.
+track dimension, computed once when the plan is built (one number a feature).
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listenlens.functions import columns as C
-from listenlens.operators.common import bounded_broadcast
 
 
 def normalise_column_names(df: DataFrame) -> DataFrame:
@@ -30,11 +28,31 @@ def require_columns(df: DataFrame, required) -> DataFrame:
     return df
 
 
+_INTEGRAL = ("int", "bigint", "smallint", "tinyint")
+
+
+def feature_medians(tracks: DataFrame, feats: list[str], exact: bool = True) -> dict[str, float | None]:
+    """Median of each feature over all tracks: at most one number a feature.
+
+    Exact medians come from value counts and their running totals in buckets
+    (``distribution.quantiles``), so no task holds a whole column; otherwise from
+    ``percentile_approx``.
+    """
+    if not feats:
+        return {}
+    wide = tracks.select(*[F.col(c).cast("double").alias(c) for c in feats])
+    if not exact:
+        r = wide.agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in feats]).first()
+        return r.asDict()
+    from listenlens.operators.distribution import quantiles, value_counts
+    found = quantiles(value_counts(tracks, [], feats), ["feature"], [0.5]).collect()
+    return {r["feature"]: r["q"][0] for r in found}
+
+
 def clean_tracks(tracks: DataFrame, median_fill: str | None = "exact") -> DataFrame:
     """Track dimension with parsed genres, release year, duration and filled features.
 
-    median_fill: "exact" (percentile), "approx" (percentile_approx, one pass of
-    bounded memory) or None.
+    median_fill: "exact" (value counts), "approx" (percentile_approx) or None.
     """
     cols = set(tracks.columns)
     out = tracks
@@ -52,19 +70,14 @@ def clean_tracks(tracks: DataFrame, median_fill: str | None = "exact") -> DataFr
     if median_fill:
         types = dict(tracks.dtypes)
         feats = [c for c in C.AUDIO_FEATURES if c in cols]
-        meds = []
+        meds = feature_medians(tracks, feats, exact=median_fill == "exact")
+        fills = {}
         for c in feats:
-            agg = (F.median(c) if median_fill == "exact"
-                   else F.percentile_approx(c, 0.5, 10000))
-            if types[c] in ("int", "bigint", "smallint", "tinyint"):
+            if meds.get(c) is not None:
+                m = F.lit(meds[c])
                 # integral features (key, mode, time_signature) keep their type
-                agg = F.round(agg).cast(types[c])
-            meds.append(agg.alias(c))
-        # one aggregate job for all medians: a struct-valued scalar subquery
-        # bound once as a column so the optimizer keeps a single subquery
-        out = out.withColumn("_medians", tracks.select(F.struct(*meds)).scalar())
-        fills = {c: F.coalesce(F.col(c), F.col("_medians").getField(c)) for c in feats}
-        out = out.withColumns(fills).drop("_medians")
+                fills[c] = F.coalesce(F.col(c), F.round(m).cast(types[c]) if types[c] in _INTEGRAL else m)
+        out = out.withColumns(fills)
     return out
 
 
@@ -74,19 +87,15 @@ def audio_features(df: DataFrame) -> DataFrame:
 
 
 def enrich_library(library: DataFrame, tracks: DataFrame,
-                   track_key: str = "track_id",
-                   broadcast_max_rows: int | None = None) -> DataFrame:
+                   track_key: str = "track_id") -> DataFrame:
     """Library rows ⋈ cleaned tracks plus added_* time features.
 
-    By default the join strategy is left to Spark: the planner broadcasts the
-    track side only when its size estimate is under
-    ``spark.sql.autoBroadcastJoinThreshold`` (and AQE re-checks with runtime
-    sizes), otherwise it shuffles both sides; AQE splits skewed partitions.
-    ``broadcast_max_rows`` adds an explicit row-count check (one extra job)
-    before hinting a broadcast.
+    The join strategy is left to Spark: the planner broadcasts the track side only
+    when its size estimate is under ``spark.sql.autoBroadcastJoinThreshold`` (and AQE
+    re-checks with runtime sizes), otherwise it shuffles both sides; AQE splits
+    skewed partitions.
     """
-    dim = bounded_broadcast(tracks, broadcast_max_rows) if broadcast_max_rows else tracks
-    df = library.join(dim, track_key, "inner")
+    df = library.join(tracks, track_key, "inner")
     ts = F.col("added_at")
     if dict(library.dtypes).get("added_at") == "string":
         df = df.withColumn("added_at", C.parse_timestamp("added_at"))

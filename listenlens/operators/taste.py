@@ -13,14 +13,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from listenlens.functions import columns as C
-from listenlens.operators.common import materialize_path, top_k
-
-INT_MAX = 2 ** 31 - 1
+from listenlens.operators.common import materialize, materialize_path, top_k
 
 
 # ---------------------------------------------------------------------------
@@ -49,50 +46,42 @@ def matrix_shape(matrix: DataFrame) -> DataFrame:
 # Dense integer ids (ALS needs int ids)
 # ---------------------------------------------------------------------------
 def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Distinct values of ``col`` numbered 0..n-1 with ``zipWithIndex`` (distributed,
-    two passes, no single-partition sort).
+    """Distinct values of ``col``, of any type, numbered 0..n-1 in their order.
 
-    The numbering depends on partition order, which a recomputation after an
-    executor loss need not repeat, so the index is written to the shared
-    checkpoint folder once and read back: every later use sees one numbering.
+    Values are range-partitioned and written once to the shared checkpoint folder;
+    a value's number is its place in its file plus the sizes of the files before,
+    so no task sees all values and every later use sees one numbering.
     """
-    from listenlens.session import scratch_path
-    spark = df.sparkSession
-    distinct = df.select(col).distinct()
-    schema = T.StructType([T.StructField(col, distinct.schema[col].dataType),
-                           T.StructField(out, T.LongType())])
-    rdd = distinct.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    path = scratch_path(spark, f"index-{col}")
-    spark.createDataFrame(rdd, schema).withColumn(out, F.col(out).cast("int")) \
-        .write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def _ids_fit_int(df: DataFrame, cols: list[str]) -> dict[str, bool]:
-    """One aggregate job: does each id column fit ALS's int ids?"""
-    aggs = []
-    for c in cols:
-        aggs += [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
-    r = df.agg(*aggs).first()
-    return {c: r[f"lo_{c}"] is None or (r[f"lo_{c}"] >= 0 and r[f"hi_{c}"] <= INT_MAX)
-            for c in cols}
+    path = materialize_path(df.select(col).filter(F.col(col).isNotNull()).distinct()
+                            .repartitionByRange(col).sortWithinPartitions(col)
+                            .withColumn("_part", F.spark_partition_id()), f"index-{col}")
+    rows = df.sparkSession.read.parquet(path).withColumn("_at", F.expr("_metadata.row_index"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per part
+    before = (rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+              .select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before")))
+    return materialize(rows.join(before, "_part")
+                       .select(col, (F.col("_before") + F.col("_at")).cast("int").alias(out)), f"index-{col}")
 
 
 # ---------------------------------------------------------------------------
 # Implicit ALS
 # ---------------------------------------------------------------------------
 class TasteModel:
-    """Fitted ALS factors keyed by the original ids."""
+    """Fitted ALS factors keyed by the original ids, which may be of any type.
+
+    Ids of the matrix without a positive score are not fitted; they keep a row
+    with a zero vector.
+    """
 
-    def __init__(self, als_model, user_map: DataFrame | None, item_map: DataFrame | None):
+    def __init__(self, als_model, user_map: DataFrame, item_map: DataFrame):
         self.model = als_model
         self.user_map, self.item_map = user_map, item_map
 
-    def _factors(self, f: DataFrame, idmap: DataFrame | None, key: str, idx: str) -> DataFrame:
+    def _factors(self, f: DataFrame, idmap: DataFrame, key: str, idx: str) -> DataFrame:
         f = f.select(F.col("id").alias(idx), F.col("features").alias("embedding"))
-        if idmap is None:
-            return f.withColumnRenamed(idx, key).withColumn(key, F.col(key).cast("long"))
-        return f.join(idmap, idx).select(key, "embedding")
+        zero = F.array_repeat(F.lit(0.0).cast("float"), self.model.rank)
+        return idmap.join(f, idx, "left").select(key, F.coalesce("embedding", zero).alias("embedding"))
 
     @property
     def user_factors(self) -> DataFrame:
@@ -102,10 +91,26 @@ class TasteModel:
     def item_factors(self) -> DataFrame:
         return self._factors(self.model.itemFactors, self.item_map, "track_id", "track_idx")
 
+    def embedding(self, kind: str, key) -> list[float]:
+        """The vector of one listener ("user") or track ("track"); KeyError for an unknown id."""
+        f, col = ((self.user_factors, "user_id") if kind == "user" else (self.item_factors, "track_id"))
+        row = f.filter(F.col(col) == F.lit(key)).first()
+        if row is None:
+            raise KeyError(f"{kind} {key!r} not in the training data")
+        return list(row["embedding"])
+
+    def fitted_counts(self) -> DataFrame:
+        """One row: listeners and tracks with fitted factors."""
+        from listenlens.operators.common import join_on_keys
+        return join_on_keys(self.model.userFactors.agg(F.count(F.lit(1)).alias("als_users")),
+                            self.model.itemFactors.agg(F.count(F.lit(1)).alias("als_tracks")), [])
+
     def match_scores(self, pairs: DataFrame) -> DataFrame:
         """(dot(u, t) + 1) / 2 per (user_id, track_id); unknown ids -> 0.5."""
-        u = self.user_factors.withColumnRenamed("embedding", "_u")
-        t = self.item_factors.withColumnRenamed("embedding", "_t")
+        zero = F.lit(0.0).cast("float")
+        fitted = lambda f: f.filter(F.exists("embedding", lambda x: x != zero))
+        u = fitted(self.user_factors).withColumnRenamed("embedding", "_u")
+        t = fitted(self.item_factors).withColumnRenamed("embedding", "_t")
         j = pairs.join(u, "user_id", "left").join(t, "track_id", "left")
         score = F.when(F.col("_u").isNull() | F.col("_t").isNull(), F.lit(0.5)) \
                  .otherwise((C.array_dot("_u", "_t") + 1) / 2)
@@ -114,59 +119,38 @@ class TasteModel:
     def save(self, path: str) -> None:
         """Model and id maps under one folder."""
         self.model.write().overwrite().save(f"{path}/als")
-        for name, m in (("user_map", self.user_map), ("item_map", self.item_map)):
-            if m is not None:
-                m.write.mode("overwrite").parquet(f"{path}/{name}")
+        self.user_map.write.mode("overwrite").parquet(f"{path}/user_map")
+        self.item_map.write.mode("overwrite").parquet(f"{path}/item_map")
 
     @classmethod
     def load(cls, spark, path: str) -> "TasteModel":
         from pyspark.ml.recommendation import ALSModel
-        maps = []
-        for name in ("user_map", "item_map"):
-            try:
-                maps.append(spark.read.parquet(f"{path}/{name}"))
-            except Exception:  # map absent: ids were used directly
-                maps.append(None)
-        return cls(ALSModel.load(f"{path}/als"), *maps)
+        return cls(ALSModel.load(f"{path}/als"), spark.read.parquet(f"{path}/user_map"),
+                   spark.read.parquet(f"{path}/item_map"))
 
 
 def train_taste(matrix: DataFrame, rank: int = 50, max_iter: int = 15, reg: float = 0.01,
                 seed: int = 42, alpha: float = 1.0) -> TasteModel:
     """I8: implicit-feedback ALS on the weighted matrix (negative scores = low confidence
-    of preference 0, the Hu-Koren-Volinsky reading).  Ids are used directly when they
-    fit in int, else densely re-indexed (C2)."""
+    of preference 0, the Hu-Koren-Volinsky reading).  Ids are always re-indexed (C2), so
+    equal data give equal factors whatever the ids look like."""
     from pyspark.ml.recommendation import ALS
     from listenlens.session import checkpoint_dir
     checkpoint_dir(matrix.sparkSession)  # ALS checkpoints its lineage there
-    # Spark scales the regularisation by each id's count of positive ratings, so
-    # an id with no positive rating has an unregularised, singular solve.  Such
-    # ids would get (near) zero factors anyway; they are left out and score the
-    # neutral 0.5 as unknown ids.  Filtering on both sides keeps every remaining
-    # id's positive rows.
+    matrix = materialize(matrix.select("user_id", "track_id", "score"), "taste-matrix")
+    user_map, item_map = (dense_index(matrix, c, i) for c, i in (("user_id", "user_idx"), ("track_id", "track_idx")))
+    # Spark scales the regularisation by each id's count of positive ratings, so an
+    # id with no positive rating has a singular solve: it is not fitted, keeps a
+    # zero vector and scores the neutral 0.5.  Filtering on both sides keeps every
+    # remaining id's positive rows.
     pos = matrix.filter(F.col("score") > 0)
-    matrix = (matrix.join(pos.select("user_id").distinct(), "user_id", "left_semi")
-              .join(pos.select("track_id").distinct(), "track_id", "left_semi"))
-    # read by the id checks, the index builds and the ALS block build: keep it
-    matrix = matrix.persist()
-    fits = _ids_fit_int(matrix, ["user_id", "track_id"])
-    user_map = item_map = None
-    data = matrix
-    if fits["user_id"]:
-        data = data.withColumn("user_idx", F.col("user_id").cast("int"))
-    else:
-        user_map = dense_index(matrix, "user_id", "user_idx")
-        data = data.join(user_map, "user_id")
-    if fits["track_id"]:
-        data = data.withColumn("track_idx", F.col("track_id").cast("int"))
-    else:
-        item_map = dense_index(matrix, "track_id", "track_idx")
-        data = data.join(item_map, "track_id")
+    data = (matrix.join(pos.select("user_id").distinct(), "user_id", "left_semi")
+            .join(pos.select("track_id").distinct(), "track_id", "left_semi")
+            .join(user_map, "user_id").join(item_map, "track_id"))
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, alpha=alpha, implicitPrefs=True,
               seed=seed, userCol="user_idx", itemCol="track_idx", ratingCol="score",
               coldStartStrategy="nan", checkpointInterval=5)
-    model = als.fit(data.select("user_idx", "track_idx", "score"))
-    matrix.unpersist()
-    return TasteModel(model, user_map, item_map)
+    return TasteModel(als.fit(data.select("user_idx", "track_idx", "score")), user_map, item_map)
 
 
 # ---------------------------------------------------------------------------
@@ -224,9 +208,12 @@ def similar_vectors(vecs: DataFrame, id_col: str, vec_col: str = "embedding", n:
     a per-id top-k (n x B rows per id).
     """
     u = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    unit = vecs.select(F.col(id_col).cast("long").alias("id"), u.alias("_v")).withColumn(
-        "_norm", C.array_norm("_v")).filter(F.col("_norm") > 0).select(
-        "id", F.transform("_v", lambda x: x / F.col("_norm")).alias("u"))
+    named = vecs.select(F.col(id_col).alias("_key"), u.alias("_v")).withColumn(
+        "_norm", C.array_norm("_v")).filter(F.col("_norm") > 0)
+    # ids of any type travel as dense numbers in id order, so ties break by id
+    numbers = dense_index(named, "_key", "id")
+    unit = named.join(numbers, "_key").select(
+        F.col("id").cast("long").alias("id"), F.transform("_v", lambda x: x / F.col("_norm")).alias("u"))
     # unit vectors are read three times (count, query side, candidate side): write
     # them once; each side scans the files on its own (independent lineage)
     spark = vecs.sparkSession
@@ -237,12 +224,13 @@ def similar_vectors(vecs: DataFrame, id_col: str, vec_col: str = "embedding", n:
     all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     qsrc = spark.read.parquet(path)
     if queries is not None:
-        qsrc = qsrc.join(queries.select(F.col(queries.columns[0]).cast("long").alias("id")),
-                         "id", "left_semi")
+        asked = queries.select(F.col(queries.columns[0]).alias("_key")).join(numbers, "_key").select(F.col("id").cast("long"))
+        qsrc = qsrc.join(asked, "id", "left_semi")
     q = qsrc.select("id", "u", blk.alias("qb"), all_blocks.alias("cb"))
     c = spark.read.parquet(path).select("id", "u", all_blocks.alias("qb"), blk.alias("cb"))
     partial = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(
         _block_topn(n), "id long, other_id long, similarity double")
     best = top_k(partial, ["id"], [F.desc("similarity"), F.asc("other_id")], n)
-    return best.select(F.col("id").alias(id_col), F.col("other_id").alias(f"similar_{id_col}"),
-                       "similarity", "rank")
+    mine = numbers.select(F.col("_key").alias(id_col), "id")
+    other = numbers.select(F.col("_key").alias(f"similar_{id_col}"), F.col("id").alias("other_id"))
+    return best.join(mine, "id").join(other, "other_id").select(id_col, f"similar_{id_col}", "similarity", "rank")

@@ -64,7 +64,7 @@ SELECT user_id, feature, bin, n, {rq(f'lo + (bin - 1) * (hi - lo) / {bins}')} AS
 
 @register("feature_histograms", _hist_sql(D.HISTOGRAM_FEATURES, 30))
 def q_feature_histograms(spark, sf_dir):
-    """30-bin histograms of energy, valence, danceability, tempo per listener."""
+    """30-bin histograms of eight features per listener."""
     return round_doubles(D.histogram(_enriched(spark, sf_dir), bins=30))
 
 
@@ -75,7 +75,7 @@ def q_tempo_histogram(spark, sf_dir):
 
 
 _AF = ["danceability", "energy", "key", "loudness", "mode", "speechiness", "acousticness",
-       "instrumentalness", "liveness", "valence", "tempo", "time_signature"]
+       "instrumentalness", "liveness", "valence", "tempo", "time_signature", "popularity", "duration_ms"]
 
 
 def _long_sql(features):
@@ -116,7 +116,7 @@ def q_box_stats(spark, sf_dir):
 
 
 _RAW_COLS = ["track_uri", "track_name", "artist_name", "album_name", "genres", "release_date",
-             "added_at", "duration_ms", "explicit", "popularity", *_AF]
+             "added_at", "explicit", *_AF]
 
 
 @register("missing_report", oracle_ctes("tracks", "library") + f"""
@@ -178,7 +178,21 @@ def q_genre_top15_other(spark, sf_dir):
     return round_doubles(D.genre_top_other(_enriched(spark, sf_dir)))
 
 
-@register("mood_scatter_sample")
+_POINTS = ("track_name, artist_name, energy, valence, danceability, popularity, " + _MOOD + " AS mood")
+
+
+@register("mood_scatter_sample", with_enriched() + f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5(add_id || '-42'), add_id) AS rank FROM enriched)
+SELECT user_id, add_id, {_POINTS} FROM r WHERE rank <= 25
+""")
 def q_mood_scatter_sample(spark, sf_dir):
-    """B18 + B19: up to 500 hashed-sampled points per listener (sampling: rows-only check)."""
-    return D.mood_scatter(_enriched(spark, sf_dir), n=500)
+    """B18 + B19: 25 hash-sampled points per listener, fewer than most have."""
+    return D.mood_scatter(_enriched(spark, sf_dir), n=25)
+
+
+@register("mood_scatter_all", with_enriched() + f"""
+SELECT add_id, {_POINTS} FROM enriched ORDER BY md5(add_id || '-42'), add_id LIMIT 500
+""")
+def q_mood_scatter_all(spark, sf_dir):
+    """B18 + B19 on the whole frame: the reference's 500 sampled points."""
+    return D.mood_scatter(_enriched(spark, sf_dir), keys=[], n=500)

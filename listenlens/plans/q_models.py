@@ -21,12 +21,10 @@ from listenlens.plans.catalog import register, round_doubles
 from listenlens.plans.sqltext import rq, with_enriched
 from listenlens.sources.fixtures import Views
 
-# Model settings of the registered queries.  K-Means and ALS use the
-# reference's values; the forests are smaller (8 most frequent genres,
-# 20 trees of depth 8) to keep the per-genre fits cheap.
-MOOD_K, MOOD_N_INIT = 4, 3
+# Model settings of the registered queries: the reference's values.
+MOOD_K = 4
 ALS_RANK, ALS_ITER, ALS_REG = 50, 15, 0.01
-RF_TREES, RF_DEPTH, RF_GENRES = 20, 8, 8
+RF_TREES, RF_DEPTH = 100, 15
 
 _MODELS: dict = {}
 
@@ -37,22 +35,24 @@ def _ctx(spark, sf_dir):
 
 
 def _cached(kind, spark, sf_dir, build):
-    key = (kind, id(spark), sf_dir)
+    app = spark.sparkContext.applicationId
+    for old in [k for k in _MODELS if k[1] != app]:  # models of sessions that ended
+        del _MODELS[old]
+    key = (kind, app, sf_dir)
     if key not in _MODELS:
         _MODELS[key] = build()
     return _MODELS[key]
 
 
 def mood_model(spark, sf_dir):
-    v = Views(spark, sf_dir)
-    return _cached("mood", spark, sf_dir,
-                   lambda: M.fit_mood(v.tracks, k=MOOD_K, n_init=MOOD_N_INIT))
+    _, tracks, _ = _ctx(spark, sf_dir)
+    return _cached("mood", spark, sf_dir, lambda: M.fit_mood(tracks, k=MOOD_K))
 
 
 def genre_model(spark, sf_dir):
     _, tracks, _ = _ctx(spark, sf_dir)
     return _cached("genre", spark, sf_dir,
-                   lambda: G.fit_genre(tracks, RF_TREES, RF_DEPTH, top_genres=RF_GENRES))
+                   lambda: G.fit_genre(tracks, RF_TREES, RF_DEPTH))
 
 
 def taste_model(spark, sf_dir):
@@ -109,8 +109,8 @@ def q_mood_insights(spark, sf_dir):
 @register("mood_pca")
 def q_mood_pca(spark, sf_dir):
     """2-D PCA points of every track with its cluster."""
-    v = Views(spark, sf_dir)
-    return M.pca_points(mood_model(spark, sf_dir), v.tracks)
+    _, tracks, _ = _ctx(spark, sf_dir)
+    return M.pca_points(mood_model(spark, sf_dir), tracks)
 
 
 @register("user_type_clusters")
@@ -126,7 +126,7 @@ def q_user_type_clusters(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @register("genre_probabilities")
 def q_genre_probabilities(spark, sf_dir):
-    """I13 + I14: P(genre) of every track from per-genre forests."""
+    """I13 + I14: P(genre) of every track and genre from the shared forest (absent: 0)."""
     _, tracks, _ = _ctx(spark, sf_dir)
     return genre_model(spark, sf_dir).predict(tracks)
 
@@ -140,9 +140,10 @@ def q_genre_top_predicted(spark, sf_dir):
 
 @register("genre_hamming_loss")
 def q_genre_hamming_loss(spark, sf_dir):
-    """Hamming loss of the forests on the tracks."""
+    """Hamming loss on a held-out fifth of the tracks."""
     _, tracks, _ = _ctx(spark, sf_dir)
-    return G.hamming_loss(genre_model(spark, sf_dir), tracks)
+    train, held = G.held_out_tracks(tracks)
+    return G.hamming_loss(G.fit_genre(train, RF_TREES, RF_DEPTH), held)
 
 
 _TAGS = """
@@ -160,8 +161,11 @@ FROM gv
 """)
 def q_weighted_genre_tags(spark, sf_dir):
     """I15 on 0/1 genre tags: Σ p·w / Σ w per listener and genre, ranked."""
+    from pyspark.sql import Window
     _, tracks, lib = _ctx(spark, sf_dir)
-    return round_doubles(G.weighted_genre_vector(lib, G.genre_tags(tracks)))
+    vector = G.weighted_genre_vector(lib, G.genre_tags(tracks))
+    return round_doubles(vector.withColumn("rank", F.row_number().over(
+        Window.partitionBy("user_id").orderBy(F.desc("score"), F.asc("genre")))))
 
 
 @register("genre_match_tags", with_enriched() + _TAGS + f"""
@@ -218,6 +222,85 @@ def q_recent_taste_scores(spark, sf_dir):
     return round_doubles(R.recent_scores(lib, R.recent_vectors(lib)))
 
 
+# ---------------------------------------------------------------------------
+# the parts of the hybrid score on model-free inputs: quadrant moods, 0/1 tags
+# ---------------------------------------------------------------------------
+_QUADRANT = ("CASE WHEN energy > 0.5 AND valence > 0.5 THEN 'Happy & Energetic' WHEN energy > 0.5 THEN 'Angry & Intense' "
+             "WHEN valence > 0.5 THEN 'Peaceful & Happy' ELSE 'Sad & Calm' END")
+_MOODS = f"""
+, lab AS (SELECT user_id, {_QUADRANT} AS mood, popularity FROM enriched),
+per AS (SELECT user_id, mood, count(*) AS n, sum(popularity) AS w FROM lab GROUP BY ALL),
+names AS (SELECT unnest(['Angry & Intense', 'Happy & Energetic', 'Peaceful & Happy', 'Sad & Calm']) AS mood),
+spine AS (SELECT u.user_id, mood, tn, tw FROM (SELECT user_id, sum(n) AS tn, sum(w) AS tw FROM per GROUP BY user_id) u, names),
+dist AS (SELECT s.user_id, s.mood, coalesce(n / tn * 100, 0.0) AS percentage,
+                CASE WHEN tw > 0 THEN coalesce(w / tw * 100, 0.0) ELSE 0.0 END AS weighted
+         FROM spine s LEFT JOIN per p ON p.user_id = s.user_id AND p.mood = s.mood)
+"""
+
+
+@register("mood_distribution_quadrants", with_enriched() + _MOODS + f"""
+SELECT user_id, mood, {rq('percentage')} AS percentage,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY percentage DESC, mood) AS INTEGER) AS mood_rank FROM dist
+""")
+def q_mood_distribution_quadrants(spark, sf_dir):
+    """I4 + I5 with quadrant moods."""
+    _, _, lib = _ctx(spark, sf_dir)
+    return round_doubles(M.dominant_mood(M.mood_distribution(M.QuadrantMood(), lib)))
+
+
+@register("mood_distribution_weighted", with_enriched() + _MOODS + f"""
+SELECT user_id, mood, {rq('weighted')} AS percentage FROM dist
+""")
+def q_mood_distribution_weighted(spark, sf_dir):
+    """I4 with a weight column (popularity standing in for play counts)."""
+    _, _, lib = _ctx(spark, sf_dir)
+    return round_doubles(M.mood_distribution(M.QuadrantMood(), lib, weight="popularity"))
+
+
+_PARTS = _TAGS + _RECENT + _MOODS + f"""
+, un AS (SELECT user_id, sqrt(sum(score * score)) AS un FROM gv GROUP BY user_id),
+tn AS (SELECT track_id, sqrt(count(*)) AS tn FROM tags GROUP BY track_id),
+cand AS (SELECT track_id, track_name, artist_name, album_name, {_QUADRANT} AS mood,
+                {", ".join(f"coalesce({c}, 0.0) AS {c}" for c in _F5)} FROM clean_tracks2),
+allpairs AS (SELECT u.user_id, c.track_id FROM (SELECT DISTINCT user_id FROM enriched) u, cand c),
+dots AS (SELECT g.user_id, t.track_id, sum(g.score) AS dot FROM gv g JOIN tags t ON g.genre = t.genre GROUP BY ALL),
+scored AS (
+  SELECT p.user_id, p.track_id, 0.5 AS collaborative_filtering, least(1.0, m.percentage / 100) AS mood_match,
+         greatest(coalesce(d.dot / (un.un * tn.tn), 0.0), 0.0) AS genre_match,
+         greatest(coalesce(({_DOT.replace('e.', 'c.')}) / ({_RN} * {_TN.replace('e.', 'c.')}), 0.0), 0.0) AS recent_taste,
+         c.track_name, c.artist_name, c.album_name
+  FROM allpairs p JOIN cand c ON c.track_id = p.track_id JOIN rv2 r ON r.user_id = p.user_id
+  JOIN dist m ON m.user_id = p.user_id AND m.mood = c.mood
+  LEFT JOIN dots d ON d.user_id = p.user_id AND d.track_id = p.track_id
+  LEFT JOIN un ON un.user_id = p.user_id LEFT JOIN tn ON tn.track_id = p.track_id),
+final AS (SELECT *, 0.5 * collaborative_filtering + 0.3 * (mood_match + genre_match) / 2 + 0.2 * recent_taste AS score FROM scored)
+"""
+_ROUNDED = ", ".join(f"{rq(c)} AS {c}" for c in ["score", *R.PARTS])
+
+
+@register("pair_scores", with_enriched() + _PARTS + f"""
+SELECT f.user_id, f.track_id, {_ROUNDED} FROM final f JOIN (SELECT DISTINCT user_id, track_id FROM enriched) e
+ON e.user_id = f.user_id AND e.track_id = f.track_id
+""")
+def q_pair_scores(spark, sf_dir):
+    """I21-I24 for every (listener, owned track) pair, with quadrant moods and 0/1 tags."""
+    _, tracks, lib = _ctx(spark, sf_dir)
+    s = R.score_pairs(lib, lib, tracks, M.QuadrantMood(), G.genre_tags(tracks))
+    return round_doubles(s.select("user_id", "track_id", "score", *[f"score_breakdown.{p}" for p in R.PARTS]))
+
+
+@register("recommendations_rules", with_enriched() + _PARTS + f"""
+, open AS (SELECT f.* FROM final f WHERE NOT EXISTS (SELECT 1 FROM enriched e WHERE e.user_id = f.user_id AND e.track_id = f.track_id)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY {rq('score')} DESC, track_id) AS INTEGER) AS rank FROM open)
+SELECT user_id, rank, {rq('score')} AS score FROM ranked WHERE rank <= 10
+""")
+def q_recommendations_rules(spark, sf_dir):
+    """I25 with quadrant moods and 0/1 tags: the ten best unowned scores of each listener."""
+    _, tracks, lib = _ctx(spark, sf_dir)
+    recs = R.recommend(lib, tracks, M.QuadrantMood(), G.genre_tags(tracks), n=10)
+    return round_doubles(recs.select("user_id", "rank", "score"))
+
+
 # ---------------------------------------------------------------------------
 # recommendations and training report
 # ---------------------------------------------------------------------------
@@ -227,35 +310,33 @@ def q_recommendations(spark, sf_dir):
     _, tracks, lib = _ctx(spark, sf_dir)
     gm = genre_model(spark, sf_dir)
     probs = gm.predict(tracks)
-    recs = R.recommend(lib, tracks, mood_model(spark, sf_dir), probs, gm.genres,
+    recs = R.recommend(lib, tracks, mood_model(spark, sf_dir), probs,
                        taste=taste_model(spark, sf_dir), n=10)
-    return recs.select("user_id", "rank", "track_id", "score",
+    return recs.select("user_id", "rank", "track_id", "track_name", "artist_name", "album_name", "score",
                        "score_breakdown.*", "reason").drop("final_score")
 
 
 @register("training_report")
 def q_training_report(spark, sf_dir):
     """One-row report of the fitted models (counts and parameters)."""
-    v, tracks, _ = _ctx(spark, sf_dir)
+    _, tracks, _ = _ctx(spark, sf_dir)
     tm, mm, gm = taste_model(spark, sf_dir), mood_model(spark, sf_dir), genre_model(spark, sf_dir)
-    m = TA.interaction_matrix(v.interactions)
-    counts = m.agg(F.count_distinct("user_id").alias("als_users"),
-                   F.count_distinct("track_id").alias("als_tracks"))
     from listenlens.operators.common import join_on_keys
+    counts = join_on_keys(tm.fitted_counts(), gm.genres.agg(F.count(F.lit(1)).alias("genre_labels")), [])
     return join_on_keys(tracks.agg(F.count(F.lit(1)).alias("tracks_count")), counts, []).select(
-        "tracks_count", "als_users", "als_tracks",
-        F.lit(tm.model.rank).alias("als_factors"), F.lit(mm.k).alias("mood_clusters"),
-        F.lit(len(gm.genres)).alias("genre_labels"), F.lit(RF_TREES).alias("genre_trees"))
+        "tracks_count", "als_users", "als_tracks", F.lit(tm.model.rank).alias("user_embedding_size"),
+        F.lit(mm.k).alias("mood_clusters"), F.col("genre_labels").cast("int").alias("genre_labels"),
+        F.lit(RF_TREES).alias("genre_trees"), F.lit(True).alias("fitted"))
 
 
 @register("als_taste_profiles")
 def q_als_taste_profiles(spark, sf_dir):
     """J5 (I9, I11, I12): taste profile of each listener's ALS factors plus its
-    5 most similar listeners (exact cosine)."""
+    10 most similar listeners (exact cosine)."""
     tm = taste_model(spark, sf_dir)
     uf = tm.user_factors
     prof = TA.taste_profile(uf, "user_id").drop("embedding_vector")
-    sim = TA.similar_vectors(uf, "user_id", n=5, block_rows=512)
+    sim = TA.similar_vectors(uf, "user_id", n=10)
     nested = sim.groupBy("user_id").agg(F.array_sort(F.collect_list(
         F.struct("rank", "similar_user_id", "similarity"))).alias("similar_users"))
     return prof.join(nested, "user_id", "left")

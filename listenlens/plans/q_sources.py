@@ -15,12 +15,12 @@ LISTENING_STATS_ORACLE = with_enriched() + D1_BODY
 @register("csv_library_roundtrip", LISTENING_STATS_ORACLE)
 def q_csv_library_roundtrip(spark, sf_dir):
     """A1 + A2 + A8: the enriched library written as an export-style CSV (reference
-    headers), read back with the explicit schema and normalised names, then D1."""
+    headers), read back by column name, then D1."""
     from pyspark.sql import functions as F
     from listenlens.operators import profile as P
     from listenlens.operators.enrich import clean_tracks, enrich_library
     from listenlens.session import scratch_path
-    from listenlens.sources.ingest import LIBRARY_CSV_HEADERS, LIBRARY_CSV_SCHEMA_WITH_USER, load_library_csv
+    from listenlens.sources.ingest import LIBRARY_CSV_HEADERS, load_library_csv
     v = Views(spark, sf_dir)
     raw = v.library.join(v.tracks, "track_id")
     names = ["track_uri", "track_name", "artist_name", "album_name", "genres", "release_date",
@@ -31,9 +31,9 @@ def q_csv_library_roundtrip(spark, sf_dir):
     export = export.withColumn("Added At", F.date_format("Added At", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     path = scratch_path(spark, "library-csv")
     export.write.option("header", True).csv(path)
-    back = load_library_csv(spark, path, LIBRARY_CSV_SCHEMA_WITH_USER)
+    back = load_library_csv(spark, path).withColumn("user_id", F.col("user_id").cast("bigint"))
     lib = back.select("user_id", "track_uri", "added_at")
-    tracks = clean_tracks(back.drop("user_id", "added_at").dropDuplicates(["track_uri"]))
+    tracks = clean_tracks(back.drop("user_id", "added_at", "corrupt_fields").dropDuplicates(["track_uri"]))
     return P.listening_stats(enrich_library(lib, tracks, "track_uri"))
 
 
@@ -46,7 +46,7 @@ def _interaction_matrix_oracle():
 @register("csv_interactions_roundtrip", _interaction_matrix_oracle())
 def q_csv_interactions_roundtrip(spark, sf_dir):
     """A4: interactions exported as CSV (user_id, track_id, interaction_type, count,
-    timestamp, duration_ms), read back with the explicit schema, then D23."""
+    timestamp), read back by column name, then D23."""
     from pyspark.sql import functions as F
     from listenlens.operators import taste as TA
     from listenlens.session import scratch_path
@@ -56,11 +56,32 @@ def q_csv_interactions_roundtrip(spark, sf_dir):
     (v.interactions.select("user_id", "track_id", "interaction_type", "count",
                            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"))
      .write.option("header", True).csv(path))
-    back = load_interactions_csv(spark, path)
+    back = load_interactions_csv(spark, path).withColumns({c: F.col(c).cast("bigint") for c in ("user_id", "track_id")})
     # the export carries no duration: B15 needs none when types are already final
     return round_doubles(TA.interaction_matrix(back, derive_skips=False))
 
 
+def _text_ids_oracle():
+    from listenlens.plans.q_taste import _MATRIX
+    return oracle_ctes("interactions") + _MATRIX.replace("\n, typed", ", typed", 1) + f"""
+SELECT 'user_' || user_id AS user_id, 'track_' || track_id AS track_id, {rq('score')} AS score, interactions FROM matrix"""
+
+
+@register("csv_text_ids", _text_ids_oracle())
+def q_csv_text_ids(spark, sf_dir):
+    """A4 + D23 with text ids (user_..., track_...) and durations, columns in another order."""
+    from pyspark.sql import functions as F
+    from listenlens.operators import taste as TA
+    from listenlens.session import scratch_path
+    from listenlens.sources.ingest import load_interactions_csv
+    v = Views(spark, sf_dir)
+    path = scratch_path(spark, "interactions-text-ids")
+    (v.interactions.select("duration_ms", "interaction_type", F.concat(F.lit("track_"), "track_id").alias("track_id"),
+                           "count", F.concat(F.lit("user_"), "user_id").alias("user_id"))
+     .write.option("header", True).csv(path))
+    return round_doubles(TA.interaction_matrix(load_interactions_csv(spark, path)))
+
+
 @register("genre_literal_roundtrip", D3_SQL)
 def q_genre_literal_roundtrip(spark, sf_dir):
     """A5: tracks exported with the trainer's list-literal genres ("['a', 'b']"),

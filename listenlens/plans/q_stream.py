@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 from listenlens.plans.catalog import register, round_doubles
+from listenlens.plans.q_taste import WEIGHT_SQL
 from listenlens.plans.sqltext import oracle_ctes, rq
 from listenlens.sources.fixtures import TRACKS_SQL, Views
 from listenlens.streaming.interactions import run_interaction_stream
 from listenlens.streaming.track_import import run_track_import
 
 
-_W = ("CASE t WHEN 'listen' THEN 1.0 WHEN 'save' THEN 2.0 WHEN 'replay' THEN 1.5 "
-      "WHEN 'skip' THEN -1.0 ELSE 1.0 END")
-
-
 @register("stream_interaction_windows", oracle_ctes("interactions") + f"""
-, typed AS (SELECT DISTINCT ON (user_id, track_id, interaction_type, ts) user_id, track_id, count, ts,
+, typed AS (SELECT user_id, track_id, count, ts,
                    CASE WHEN interaction_type = 'listen' AND duration_ms < 30000 THEN 'skip'
                         ELSE interaction_type END AS t FROM interactions),
-b AS (SELECT user_id, track_id, date_trunc('day', ts) AS ws, sum({_W} * count) AS score,
+b AS (SELECT user_id, track_id, date_trunc('day', ts) AS ws, sum({WEIGHT_SQL} * count) AS score,
              count(*) AS interactions FROM typed GROUP BY ALL)
 SELECT user_id, track_id, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,

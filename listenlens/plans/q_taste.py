@@ -7,13 +7,13 @@ from listenlens.plans.catalog import register, round_doubles
 from listenlens.plans.sqltext import oracle_ctes, rq
 from listenlens.sources.fixtures import Views
 
-_W = ("CASE t WHEN 'listen' THEN 1.0 WHEN 'save' THEN 2.0 WHEN 'replay' THEN 1.5 "
-      "WHEN 'skip' THEN -1.0 ELSE 1.0 END")
+WEIGHT_SQL = ("CASE t WHEN 'listen' THEN 1.0 WHEN 'save' THEN 2.0 WHEN 'replay' THEN 1.5 "
+              "WHEN 'skip' THEN -1.0 ELSE 1.0 END")
 _MATRIX = f"""
 , typed AS (SELECT user_id, track_id, count,
                    CASE WHEN interaction_type = 'listen' AND duration_ms < 30000 THEN 'skip'
                         ELSE interaction_type END AS t FROM interactions),
-matrix AS (SELECT user_id, track_id, sum({_W} * count) AS score, count(*) AS interactions
+matrix AS (SELECT user_id, track_id, sum({WEIGHT_SQL} * count) AS score, count(*) AS interactions
            FROM typed GROUP BY user_id, track_id)
 """
 
@@ -67,6 +67,22 @@ def q_similar_users(spark, sf_dir):
     return round_doubles(TA.similar_vectors(Views(spark, sf_dir).embeddings, "vec_id", n=10))
 
 
+@register("similar_users_text_ids", f"""
+WITH v AS (SELECT 'user_' || vec_id AS vec_id, {_VD} AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS nrm FROM v WHERE nrm > 0),
+p AS (SELECT a.vec_id, b.vec_id AS similar_vec_id,
+             list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.nrm * b.nrm) AS similarity
+      FROM n a JOIN n b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, similar_vec_id) AS INTEGER) AS rank FROM p)
+SELECT vec_id, similar_vec_id, {rq('similarity')} AS similarity, rank FROM r WHERE rank <= 3
+""")
+def q_similar_users_text_ids(spark, sf_dir):
+    """I12 with text ids: exact top-3 cosine neighbours."""
+    from pyspark.sql import functions as F
+    v = Views(spark, sf_dir).embeddings.withColumn("vec_id", F.concat(F.lit("user_"), "vec_id"))
+    return round_doubles(TA.similar_vectors(v, "vec_id", n=3))
+
+
 @register("taste_match_scores")
 def q_taste_match_scores(spark, sf_dir):
     """Implicit ALS on the interaction matrix, then (dot + 1) / 2 for every

@@ -1,8 +1,9 @@
 """K1: interaction stream -> weighted (user, track) score per event-time window.
 
 File-source ``readStream`` -> interaction mapping (B14/B15) -> watermark ->
-``dropDuplicatesWithinWatermark`` on (user, track, type, timestamp) (the
-interaction schema has no event id) -> tumbling ``window`` -> ``sum``.
+tumbling ``window`` -> ``sum``.  Every event counts, as in the batch matrix (D23);
+a source that may deliver an event twice names its id column, and events with an
+id seen within the watermark are dropped.
 Append mode emits a window once the watermark passes its end; late rows
 are dropped.  Checkpoints and output live under ``spark.checkpoint.dir``.
 """
@@ -34,14 +35,12 @@ def interactions_from_events(events: DataFrame, n_tracks: int) -> DataFrame:
 
 
 def windowed_scores(interactions: DataFrame, window: str = "1 day",
-                    watermark: str = "1 hour") -> DataFrame:
+                    watermark: str = "1 hour", event_id: str | None = None) -> DataFrame:
     """Weighted score per (window, user, track); works on batch and streaming frames."""
     itype = C.derive_skip("interaction_type", "duration_ms")
     df = interactions.withWatermark("ts", watermark) if interactions.isStreaming else interactions
-    if interactions.isStreaming:
-        df = df.dropDuplicatesWithinWatermark(["user_id", "track_id", "interaction_type", "ts"])
-    else:
-        df = df.dropDuplicates(["user_id", "track_id", "interaction_type", "ts"])
+    if event_id:
+        df = df.dropDuplicatesWithinWatermark([event_id]) if interactions.isStreaming else df.dropDuplicates([event_id])
     df = df.withColumn("_w", C.interaction_weight(itype) * F.col("count"))
     return (df.groupBy(F.window("ts", window).alias("w"), "user_id", "track_id")
             .agg(F.sum("_w").alias("score"), F.count(F.lit(1)).alias("interactions"))

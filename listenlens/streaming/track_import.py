@@ -8,27 +8,21 @@ batch replaces its own output instead of duplicating it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlens.session import scratch_path
-
-
-def _first_per_uri(df: DataFrame) -> DataFrame:
-    w = Window.partitionBy("track_uri").orderBy(F.asc("track_id"))
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+from listenlens.session import path_exists, scratch_path
+from listenlens.sources.ingest import first_per_uri
 
 
 def import_batch(table_path: str):
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = _first_per_uri(batch)
-        try:
+        fresh = first_per_uri(batch)
+        if path_exists(spark, table_path):
             stored = (spark.read.parquet(table_path)
                       .filter(F.col("batch") != batch_id).select("track_uri"))
             fresh = fresh.join(stored, "track_uri", "left_anti")
-        except Exception:  # noqa: BLE001 - table not created yet
-            pass
         fresh.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
     return handle
 

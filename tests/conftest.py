@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,7 +14,5 @@ def spark():
     from listenlens.session import get_session
     s = get_session("local[4]", app="listenlens-tests", shuffle_partitions=8)
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="listenlens-tests-"))
     yield s
     s.stop()

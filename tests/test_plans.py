@@ -62,3 +62,12 @@ def test_approx_distinct_close_to_exact(spark):
                for k in a)
     assert "approx_count_distinct" in _plan(P.listening_stats(e, approx_distinct=True)) or \
         "HyperLogLogPlusPlus" in _plan(P.listening_stats(e, approx_distinct=True))
+
+
+def test_raw_rows_do_not_feed_the_joins_of_distributions(spark):
+    """Every exchange below the range and quartile joins carries value counts."""
+    for name in ("feature_histograms", "tempo_histogram", "box_stats", "describe_features"):
+        p = _plan(Q[name](spark, SF_SMALL))
+        join = p[p.index("Join"):]
+        assert join.count("partial_count(1)") >= 1, name
+        assert "value#" in join.split("Exchange hashpartitioning(")[1].split("\n")[0] or "partial" in join, name

@@ -107,8 +107,7 @@ def test_recent_fallback_and_owned_everything(spark):
     assert rv[1].recent_energy == pytest.approx(all_e)                     # fallback to all adds
     mm = M.fit_mood(v.tracks, n_init=1)
     tags = G.genre_tags(tracks)
-    genres = sorted({r.genre for r in tags.select("genre").distinct().collect()})
-    recs = R.recommend(lib, tracks, mm, tags, genres, taste=None, n=3).collect()
+    recs = R.recommend(lib, tracks, mm, tags, taste=None, n=3).collect()
     assert {r.user_id for r in recs} == {1}                                # 2 owns every candidate
     assert all(r.score_breakdown.collaborative_filtering == 0.5 for r in recs)  # no factors: neutral
 
@@ -126,18 +125,10 @@ def test_similar_vectors_query_subset_equals_full(spark):
     assert all(abs(a.similarity - b.similarity) < 1e-12 for a, b in zip(got, want))
 
 
-def test_approximate_variants_close_to_exact(spark):
-    from listenlens.operators import distribution as D
+def test_approximate_medians_close_to_exact(spark):
     from listenlens.operators.enrich import clean_tracks
     t = Views(spark, SF_SMALL).tracks
     ex = clean_tracks(t, "exact").filter("track_id % 29 = 0").select("track_id", "energy")
     ap = clean_tracks(t, "approx").filter("track_id % 29 = 0").select("track_id", "energy")
     a = dict(ex.collect()); b = dict(ap.collect())
     assert all(abs(a[k] - b[k]) < 0.05 for k in a)
-    e = enriched(Views(spark, SF_SMALL))
-    d1 = {(r.user_id, r.feature): r for r in D.describe(e, features=["energy"]).collect()}
-    d2 = {(r.user_id, r.feature): r for r in D.describe(e, features=["energy"], approx=True).collect()}
-    assert d1.keys() == d2.keys()
-    assert all(d1[k]["count"] == d2[k]["count"] for k in d1)
-    b1 = D.box_stats(e, features=["energy"], approx=True).count()
-    assert b1 == len(d1)

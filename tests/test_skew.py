@@ -49,3 +49,22 @@ def test_hot_listener_modal_genre_and_timeline(spark):
     d = d.sort_values("added_date")
     exp = d.tracks.rolling(7, min_periods=1).mean().to_numpy()
     assert all(abs(a - b) < 1e-9 for a, b in zip(d.rolling_avg.to_numpy(), exp))
+
+
+def test_hot_listener_distributions_match_numpy(spark):
+    import numpy as np
+    from listenlens.operators import distribution as D
+    e = _skewed(spark)
+    for col in ("energy", "tempo"):
+        x = np.array([r[0] for r in e.filter("user_id = 0").select(F.col(col).cast("double")).collect() if r[0] is not None])
+        d = D.describe(e, features=[col]).filter("user_id = 0").first()
+        assert d["count"] == len(x) and abs(d["mean"] - x.mean()) < 1e-9 and abs(d["std"] - x.std(ddof=1)) < 1e-9
+        q = np.percentile(x, [25, 50, 75])
+        assert np.allclose([d["p25"], d["p50"], d["p75"]], q)
+        b = D.box_stats(e, features=[col]).filter("user_id = 0").first()
+        lo, hi = q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0])
+        assert b.outliers == ((x < lo) | (x > hi)).sum() and np.allclose([b.q1, b.median, b.q3], q)
+        h = {r.bin: r.n for r in D.histogram(e, features=[col]).filter("user_id = 0").collect()}
+        assert sum(h.values()) == len(x) and h[1] == (np.floor((x - x.min()) / (x.max() - x.min()) * 30) == 0).sum()
+        got = D.quantiles(D.value_counts(e.filter("user_id = 0"), [], [col]), ["feature"], [0.1, 0.5, 0.9], buckets=5).first()
+        assert np.allclose(got.q, np.percentile(x, [10, 50, 90])) and got["count"] == len(x)
