@@ -85,8 +85,8 @@ def test_decontamination_on_awkward_rows(spark):
              (7, frames.words(30, 9)), (7, frames.words(30, 9))]
     bench = frames.bench(spark, items)
     got = {(r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in decontam.contamination(docs, bench).collect()}
-    want = {(r[0], *brute_hits(r[1], [x for x in items if x[0] is not None])) for r in frames.edge_rows() if r[0] != 5}
-    assert got == {(a, b, c, tuple(d)) for a, b, c, d in want}
+    brute = [(r[0], brute_hits(r[1], [x for x in items if x[0] is not None])) for r in frames.edge_rows() if r[0] != 5]
+    assert got == {(i, n, hit, tuple(found)) for i, (n, hit, found) in brute}
     clean = decontam.clean(docs, bench)
     assert clean.columns == docs.columns
     assert clean.count() == sum(1 for r in frames.edge_rows() if r[0] != 5
@@ -97,10 +97,10 @@ def test_decontamination_on_awkward_rows(spark):
 
 
 def test_hit_spans_lie_in_the_original_text(spark):
-    text = "Zuerst: DER Hund, (der) läuft — heute noch; sehr weit fort!  Und dann?"
+    text = "Zuerst: DER Hund, (der) läuft - heute noch; sehr weit fort!  Und dann?"
     r = decontam.contamination(frames.bench(spark, [(1, text)]).withColumnRenamed("item_id", "doc_id"),
                                frames.bench(spark, [(5, "hund der läuft heute noch")])).first()
-    assert [text[s.start:s.end] for s in r.spans] == ["Hund, (der) läuft — heute noch"]
+    assert [text[s.start:s.end] for s in r.spans] == ["Hund, (der) läuft - heute noch"]
 
 
 def test_too_large_a_benchmark_is_refused(spark):
