@@ -7,7 +7,7 @@ mean size)), with one multiplier for each source.  The multipliers solve the
 convex dual by Newton steps, each one aggregate over (source, size, count) rows;
 a bracket that always holds the root catches steps that would leave it.  Rates
 become whole copies by carrying the rounding error from large to small documents
-in salted groups, so a source misses its target by about its smallest text a group.
+in salted groups, so a source misses its target by less than half of a small text a group.
 
 Defined cases: a null text has size 0, a rate of 1 and adds no words; null is a
 source of its own, last in order; rows that repeat an id with the same size and

