@@ -6,8 +6,8 @@ keyed by reversed host and path, are sorted over all archives and cut into
 gzip blocks; each index file ends with a sparse directory of its blocks (first
 key, place), and ``IndexFiles`` names the key range of each file.  ``lookup``:
 keys are sent to the files whose range holds them; there a binary search in the
-directory finds the block, a range read gets it, and range reads at the places
-its lines name get the records.  No archive is read through.
+directory finds the blocks, a range read gets each, and range reads at the places
+its lines name get the records, which go on in batches of a few megabytes.  No archive is read through.
 
 Archives and index files are ordinary files under the shared checkpoint folder,
 written with ``pyarrow.fs`` (local and mounted folders, HDFS, S3, GCS).  A file's
@@ -50,6 +50,8 @@ LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"
 # archives a worker keeps open
 OPEN_FILES = 32
+# payload bytes and rows a reader gathers before it hands them on
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -225,18 +227,69 @@ class IndexFile:
             self.at, self.lines = i, [json.loads(x) for x in text.split("\n")]
         return self.lines
 
-    def find(self, key: str):
-        """Captures of a key: binary search in the directory, then in the block; a key may run over blocks."""
-        i = max(bisect.bisect_left(self.first, key) - 1, 0)
-        while i < len(self.first) and self.first[i] <= key:
-            lines = self.block(i)
-            j = bisect.bisect_left(lines, key, key=lambda x: x[0])
-            while j < len(lines) and lines[j][0] == key:
-                yield lines[j]
-                j += 1
-            if j < len(lines):
-                return
-            i += 1
+    def blocks(self, key: str) -> range:
+        """Blocks that may hold a key, by binary search in the directory; a key may run over blocks."""
+        return range(max(bisect.bisect_left(self.first, key) - 1, 0), bisect.bisect_right(self.first, key))
+
+    def find(self, key: str, block: int):
+        """Captures of a key in one block, by binary search."""
+        lines = self.block(block)
+        j = bisect.bisect_left(lines, key, key=lambda x: x[0])
+        while j < len(lines) and lines[j][0] == key:
+            yield lines[j]
+            j += 1
+
+
+def locate(batches, index_folder: str):
+    """A (key, file, block) row for each block that may hold a (key, file) row's captures."""
+    ix_fs, ix_path = _folder(index_folder)
+    name, ix = None, None
+    for batch in batches:
+        rows = []
+        for key, file in zip(batch.column("key").to_pylist(), batch.column("file").to_pylist()):
+            if file != name:
+                if ix:
+                    ix.file.close()
+                name, ix = file, IndexFile(ix_fs.open_input_file(f"{ix_path}/{file}"))
+            for i in ix.blocks(key):
+                rows.append((key, file, i))
+                if len(rows) >= BATCH_ROWS:
+                    yield _batch(rows, _PLACE)
+                    rows = []
+        yield _batch(rows, _PLACE)
+
+
+def read_records(batches, index_folder: str, archive_folder: str):
+    """Records of (key, file, block) rows; a batch goes out as soon as it holds BATCH_BYTES."""
+    ix_fs, ix_path = _folder(index_folder)
+    ar_fs, ar_path = _folder(archive_folder)
+    name, ix, archives = None, None, {}
+    rows, held = [], 0
+    for batch in batches:
+        for key, file, block in zip(*(batch.column(c).to_pylist() for c in _PLACE.names)):
+            if file != name:
+                if ix:
+                    ix.file.close()
+                name, ix = file, IndexFile(ix_fs.open_input_file(f"{ix_path}/{file}"))
+            for _, _, archive, offset, length in ix.find(key, block):
+                if archive not in archives:
+                    if len(archives) >= OPEN_FILES:
+                        archives.pop(next(iter(archives))).close()
+                    archives[archive] = ar_fs.open_input_file(f"{ar_path}/{archive}")
+                archives[archive].seek(offset)
+                headers, size, payload = parse(archives[archive].read(length))
+                rows.append((key, headers["X-Page-Id"], headers["WARC-Type"], size,
+                             headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers.get("X-Refers-To-Page-Id"), payload))
+                held += len(payload)
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield _batch(rows, _RECORD)
+                    rows, held = [], 0
+    yield _batch(rows, _RECORD)
+
+
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def lookup(urls: DataFrame, index: DataFrame, index_folder: str, archive_folder: str) -> DataFrame:
@@ -244,7 +297,9 @@ def lookup(urls: DataFrame, index: DataFrame, index_folder: str, archive_folder:
     payload_digest, refers_to, payload.
 
     The files' key ranges (one row a file) are sent to every task.  A url's
-    captures are found however many files they run over.
+    captures are found however many files they run over; they are read a block at a
+    time, by different tasks, and no task holds more than BATCH_BYTES of payload and
+    one record.
     """
     spark = urls.sparkSession
     ranges = sorted((r["first"], r["last"], r["file"]) for r in index.select("first", "last", "file").collect())
@@ -265,37 +320,20 @@ def lookup(urls: DataFrame, index: DataFrame, index_folder: str, archive_folder:
             yield pa.RecordBatch.from_pydict({"key": keys, "file": files},
                                              schema=pa.schema([("key", pa.string()), ("file", pa.string())]))
 
-    def read(batches):
-        ix_fs, ix_path = _folder(index_folder)
-        ar_fs, ar_path = _folder(archive_folder)
-        name, ix, archives = None, None, {}
-        for batch in batches:
-            rows = {c: [] for c in _RECORD.names}
-            for key, file in zip(batch.column("key").to_pylist(), batch.column("file").to_pylist()):
-                if file != name:
-                    if ix:
-                        ix.file.close()
-                    name, ix = file, IndexFile(ix_fs.open_input_file(f"{ix_path}/{file}"))
-                for _, _, archive, offset, length in ix.find(key):
-                    if archive not in archives:
-                        if len(archives) >= OPEN_FILES:
-                            archives.pop(next(iter(archives))).close()
-                        archives[archive] = ar_fs.open_input_file(f"{ar_path}/{archive}")
-                    archives[archive].seek(offset)
-                    headers, size, payload = parse(archives[archive].read(length))
-                    for c, v in zip(rows, (key, headers["X-Page-Id"], headers["WARC-Type"], size,
-                                           headers["WARC-Payload-Digest"].removeprefix("sha1:"),
-                                           headers.get("X-Refers-To-Page-Id"), payload)):
-                        rows[c].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=_RECORD)
-
     keys = urls.select(F.col("url").cast("string").alias("url")).distinct()
+    # a row stands for a block of captures, so rows are dealt out by block, as many parts
+    # as a shuffle has: their own few bytes say nothing of the payloads to read
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (keys.mapInArrow(route, "key string, file string").distinct()
             .repartitionByRange("file", "key").sortWithinPartitions("file", "key")
-            .mapInArrow(read, "key string, page string, record_type string, payload_bytes long, payload_digest string, "
+            .mapInArrow(lambda batches: locate(batches, index_folder), "key string, file string, block int")
+            .repartition(parts, "file", "block").sortWithinPartitions("file", "block", "key")
+            .mapInArrow(lambda batches: read_records(batches, index_folder, archive_folder),
+                        "key string, page string, record_type string, payload_bytes long, payload_digest string, "
                               "refers_to string, payload binary"))
 
 
+_PLACE = pa.schema([("key", pa.string()), ("file", pa.string()), ("block", pa.int32())])
 _RECORD = pa.schema([("key", pa.string()), ("page", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()),
                      ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
 

@@ -132,6 +132,21 @@ def test_lookup_over_blocks_and_files(spark, monkeypatch):
     assert all(r.payload.decode() == f"<p>{r.page[1:]}</p>" for r in got)
 
 
+def test_a_hot_url_is_read_by_blocks_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 16)
+    rows = [(i, "http://hot.example/a", f"<p>{i}</p>" + "z" * 50_000) for i in range(400)]
+    archives, files = scratch_path(spark, "t-warc"), scratch_path(spark, "t-index")
+    index = warc.build_index(warc.write(frames.pages(spark, rows), archives).coalesce(1), files)
+    urls = spark.createDataFrame([("http://hot.example/a",)], "url string")
+    found = warc.lookup(urls, index, files, archives)
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    # no more tasks than files found the captures before
+    assert sum(r["count"] for r in tasks) == 400 and len(tasks) > index.count()
+    places = [(warc.surt("http://hot.example/a"), r.file, i) for r in index.collect() for i in range(r.blocks)]
+    sizes = [(b.num_rows, b.nbytes) for b in warc.read_records([warc._batch(places, warc._PLACE)], files, archives)]
+    assert sum(n for n, _ in sizes) == 400 and max(size for _, size in sizes) < warc.BATCH_BYTES + 200_000
+
+
 def test_archive_files_are_plain_warc(spark):
     folder = scratch_path(spark, "t-plain")
     captures = warc.write(frames.pages(spark, AWKWARD), folder).collect()
