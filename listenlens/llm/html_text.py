@@ -31,11 +31,8 @@ from pyspark.sql import types as T
 from listenlens.llm.common import store
 
 MIN_PAGES = 3
-# a template stands on this share of the host's pages, so a host has at most
-# (elements a page) / MIN_SHARE templates
-MIN_SHARE = 0.2
-# parts a host's pages are dealt out in
-SHARES = 32
+# pages that are looked up together: one entry a template, however many of them show it
+BUCKET_PAGES = 256
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|<)*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))")
@@ -211,31 +208,39 @@ def host(column: str = "url"):
 
 def _subtrees(batches):
     for batch in batches:
-        hosts, roots, found = [], [], []
-        for name, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+        roots, found = [], []
+        for html in batch.column("html").to_pylist():
             page = Page(html or "")
-            hosts.append(name)
             roots.append(page.content_hash())
             found.append(list({page.hashes[i] for i in range(len(page.tags)) if page.candidate(i) and not page.named[i]}))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(roots, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-            names=["host", "content", "subtrees"])
+            [batch.column("bucket"), batch.column("host"), pa.array(roots, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+            names=["bucket", "host", "content", "subtrees"])
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, templates: subtree hashes on many pages of the host."""
-    p = pages.select(host().alias("host"), F.col("html").cast("string").alias("html")).filter("host <> ''")
-    seen = store(p.mapInArrow(_subtrees, "host string, content long, subtrees array<long>")
-                 # 0 stands for the page itself
-                 .select("host", "content", F.explode(F.concat(F.col("subtrees"), F.array(F.lit(0).cast("long")))).alias("h"))
-                 .distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")), "page-subtrees")
+def least_pages(pages, min_pages: int = MIN_PAGES):
+    """Pages a template of a host of so many pages stands on: it grows with their logarithm only,
+    as a box of one section of a large host is template too."""
+    return F.greatest(F.lit(min_pages), F.floor(F.log2(pages)))
+
+
+def _found(pages: DataFrame) -> DataFrame:
+    """bucket, host, content, subtrees of every page that has a host; stored."""
+    return store(pages.filter("host <> ''").select("bucket", "host", "html")
+                 .mapInArrow(_subtrees, "bucket long, host string, content long, subtrees array<long>"), "page-subtrees", "zstd")
+
+
+def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, h: subtree hashes on many pages of the host, a row each."""
+    # 0 stands for the page itself
+    seen = store(found.select("host", "content", F.explode(F.concat(F.col("subtrees"), F.array(F.lit(0).cast("long")))).alias("h"))
+                 .distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(f"h = 0 or n >= {min_pages}"), "host-subtrees")
     pages_of = seen.filter("h = 0").select("host", F.col("n").alias("pages"))
-    many = F.greatest(F.lit(float(min_pages)), F.col("pages") * F.lit(min_share))
-    return (seen.filter(f"h <> 0 and n >= {min_pages}").join(pages_of, "host").filter(F.col("n") >= many)
-            .groupBy("host").agg(F.collect_list("h").alias("templates")))
+    return (seen.filter("h <> 0").join(pages_of, "host").filter(F.col("n") >= least_pages(F.col("pages"), min_pages))
+            .select("host", "h"))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars, n_templates (of the host): one row per page row."""
     def run(batches):
         for batch in batches:
@@ -243,15 +248,24 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             texts = [Page(h or "").text(frozenset(t or ())) for h, t in zip(batch.column("html").to_pylist(), cut)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
-                 pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t or ()) for t in cut], pa.int64())],
+                 pa.array([len(t) for t in texts], pa.int64()), batch.column("n_templates")],
                 names=["page_id", "url", "text", "n_chars", "n_templates"])
 
-    p = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host().alias("host"))
+    # a host may hold a third of all pages, so they are dealt out by url and id to buckets of
+    # some pages; a bucket gets only those of the host's templates that its pages show
+    buckets = pages.select("page_id").count() // BUCKET_PAGES + 1
+    p = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host().alias("host"),
+                     F.pmod(F.xxhash64("url", "page_id"), F.lit(buckets)).alias("bucket"))
     schema = T.StructType([p.schema["page_id"], p.schema["url"], T.StructField("text", T.StringType()),
                            T.StructField("n_chars", T.LongType()), T.StructField("n_templates", T.LongType())])
-    # a host may hold a third of all pages: its pages are dealt out by url as well, its
-    # templates go along to every share
-    share = F.pmod(F.xxhash64("url", "page_id"), F.lit(SHARES)).cast("int")
-    cut = templates(pages, min_pages, min_share).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    return (p.withColumn("share", share).join(cut, ["host", "share"], "left")
-            .select("page_id", "url", "html", "templates").mapInArrow(run, schema))
+    found = _found(p)
+    known = templates(found, min_pages)
+    # 0 goes to every bucket with the number of the host's templates
+    known = (known.select("host", "h", F.lit(None).cast("long").alias("size"))
+             .unionByName(known.groupBy("host").agg(F.count(F.lit(1)).alias("size")).select("host", F.lit(0).cast("long").alias("h"), "size")))
+    shown = found.select("bucket", "host", F.explode(F.concat(F.col("subtrees"), F.array(F.lit(0).cast("long")))).alias("h")).distinct()
+    cut = (shown.join(known, ["host", "h"]).groupBy("bucket", "host")
+           .agg(F.collect_list(F.when(F.col("h") != 0, F.col("h"))).alias("templates"), F.max("size").alias("n_templates")))
+    return (p.join(cut, ["bucket", "host"], "left")
+            .select("page_id", "url", "html", "templates", F.coalesce("n_templates", F.lit(0).cast("long")).alias("n_templates"))
+            .mapInArrow(run, schema))

@@ -56,6 +56,15 @@ def test_template_without_a_name_is_removed_by_recurrence(spark):
     assert got[100] == "Home Shop & more Lone page."
 
 
+def test_template_of_one_section_of_a_large_host_is_removed(spark):
+    # each of 40 sections has its own box, on a fortieth of the host's pages
+    rows = [(i, f"http://big.example/{i}", page(f"<div><ul><li>Section {i % 40} menu</li></ul></div><div><p>Only page {i}.</p></div>"))
+            for i in range(400)]
+    got = html_text.extract(frames.pages(spark, rows)).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Only page {i}." for i in range(400)}
+    assert {r.n_templates for r in got} == {120}
+
+
 def test_article_passages_stay(spark):
     rows = [(i, f"http://h.example/{i}", page(f"<article><h1>T{i}</h1><p>Quoted by all.</p><p>Own {i}.</p>"
                                               f"<div><p>Get our letter</p></div></article>")) for i in range(6)]
