@@ -9,13 +9,16 @@ and three statistics are taken over it:
 * the runs test on symbols above and below the alphabet's middle,
 * the lag-1 serial correlation of the symbol numbers.
 
-Ordinary text uses few symbols often: with its index of coincidence
-(``TEXT_COINCIDENCE``) the chi-squared statistic has a known mean and spread that
-grow with the length, so the chance that ordinary text is that uniform is a
-p-value which short runs cannot make small.  The Benjamini-Hochberg rule over all
-distinct runs of the corpus, within length classes (``LENGTHS``), picks the runs
-that are too uniform at a false-discovery rate of ``FDR``; a run that then fails
-one of the three tests as a random string (at ``REJECT``) is left out again.
+The p-value that counts is that of ordinary text: the chance that text held by the
+same alphabet is as unlikely, symbol by symbol, as the run.  Its model is the symbol
+pairs of all words of the corpus, case folded and limited to the alphabet, so that
+hex runs are held against words and numbers of hex symbols.  Digits of text are near
+uniform, so decimal runs are held against sequential and repeated digits
+(``STEPS``) instead: long numbers of other origin, such as time stamps, are not told
+from random ones.  The Benjamini-Hochberg rule over all distinct runs of the corpus,
+within an encoding and length class (``LENGTHS``), picks the runs that are too unlike
+text at a false-discovery rate of ``FDR``; a run that then fails one of the three
+tests as a random string (at ``REJECT``) is left out again.
 P-values meet as counts in a fixed number of bins, so no task sorts them.
 
 Defined cases: a null text is empty; texts without a match have empty spans;
@@ -25,6 +28,7 @@ ignored.  Spans count code points, end exclusive.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +42,16 @@ HEX = r"[0-9a-f]{24,}"
 MIN_RUN = 20
 RUN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN
 
-TEXT_COINCIDENCE = 0.066
+# symbols of the text model: letters without case, digits, one for all others
+FOLDED = "abcdefghijklmnopqrstuvwxyz0123456789-"
+# pseudo-count that pulls a symbol's followers towards the symbol frequencies
+PULL = 10.0
+# sums over real text vary more than independent pairs would: factor of the variance
+SPREAD = 2.0
+# share of steps by 0 or 1 in sequential and repeated digits
+STEPS = 0.8
+# a word is counted in pieces of this length, which bounds the work on a long one
+_PIECE = 32
 FDR = 0.01
 REJECT = 0.001
 LENGTHS = (20, 24, 32, 48, 80)
@@ -114,8 +127,64 @@ def normal_below(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+def text_pairs(docs: DataFrame) -> np.ndarray:
+    """How often each folded symbol follows each other one in the words of all texts."""
+    # words are counted first: there are far fewer than symbols
+    words = (docs.select(F.explode(F.expr(f"regexp_extract_all(lower(cast(text AS string)), '[a-z0-9+/_=-]{{2,{_PIECE}}}', 0)")).alias("w"))
+             .groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    pairs = (words.select(F.translate("w", "+/_=", "----").alias("w"), "n")
+             .select(F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substr(w, i, 2))")).alias("pair"), "n")
+             .groupBy("pair").agg(F.sum("n").alias("n")))
+    out = np.zeros((len(FOLDED), len(FOLDED)))
+    # at most a square of the symbols
+    for r in pairs.collect():
+        out[FOLDED.index(r.pair[0]), FOLDED.index(r.pair[1])] = r.n
+    return out
+
+
+def text_costs(pairs: np.ndarray, alphabet: str) -> tuple[np.ndarray, float, float]:
+    """(-log P(symbol | one before), mean, variance) of text that holds symbols of the alphabet only."""
+    share = (pairs.sum(axis=0) + 1) / (pairs.sum() + len(pairs))
+    p = (pairs + PULL * share[None, :]) / (pairs.sum(axis=1, keepdims=True) + PULL)
+    on = np.array([c in {x if x.isalnum() else "-" for x in alphabet.lower()} for c in FOLDED])
+    inside = p * on[None, :] / (p * on[None, :]).sum(axis=1, keepdims=True)
+    cost = np.where(on[None, :], -np.log(np.where(on[None, :], inside, 1.0)), 0.0)
+    # how often a symbol is followed by one of the alphabet
+    weight = ((pairs.sum(axis=1) + 1) * (p * on[None, :]).sum(axis=1) * on)[:, None] * inside
+    weight /= weight.sum()
+    mean = float((weight * cost).sum())
+    return cost, mean, float((weight * cost ** 2).sum()) - mean ** 2
+
+
+def _unlike_text(pairs: np.ndarray, name: str, run: Column, n: Column) -> Column:
+    """z of the run as text held by an encoding's alphabet; far below 0 for random runs."""
+    alphabet = ENCODINGS[name][1]
+    steps = n - 1
+    if name == "decimal":
+        digits = F.split(run, "")
+        small = F.size(F.filter(F.zip_with(digits, F.slice(digits, F.lit(2), F.size(digits)), lambda x, y: F.pmod(
+            x.cast("int") - y.cast("int") + 1, F.lit(10)) <= 2), lambda x: x))
+        return (small - STEPS * steps) / F.sqrt(STEPS * (1 - STEPS) * steps)
+    cost, mean, variance = text_costs(pairs, alphabet)
+    if variance <= 1e-9:
+        return F.lit(None).cast("double")
+    table = F.split(F.lit(",".join(f"{x:.6g}" for x in cost.ravel())), ",").cast("array<double>")
+    codes = F.transform(F.split(F.translate(F.lower(run), "+/_=", "----"), ""), lambda c: F.instr(F.lit(FOLDED), c) - 1)
+    total = F.aggregate(F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda x, y: F.coalesce(
+        F.get(table, x * len(FOLDED) + y), F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x)
+    return (mean * steps - total) / F.sqrt(SPREAD * variance * steps)
+
+
+def p_z(pairs: np.ndarray, token: str = "m") -> Column:
+    """z of each run as ordinary text of its alphabet, given columns encoding and n."""
+    z = F.lit(None).cast("double")
+    for name in reversed(ENCODINGS):
+        z = F.when(F.col("encoding") == name, _unlike_text(pairs, name, F.col(token), F.col("n"))).otherwise(z)
+    return z
+
+
 def statistics(runs: DataFrame, token: str = "m") -> DataFrame:
-    """Adds encoding, n, chi2, p_text, p_uniform, p_runs, p_serial of a run column."""
+    """Adds encoding, n, chi2, p_uniform, p_runs, p_serial of a run column."""
     t = F.col(token)
     enc = F.coalesce(*[F.when(t.rlike(f"^{p}$"), F.lit(name)) for name, (p, _) in ENCODINGS.items()])
     df = _step(runs, encoding=enc)
@@ -146,22 +215,18 @@ def statistics(runs: DataFrame, token: str = "m") -> DataFrame:
     spread = F.aggregate("numbers", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean")))
     df = _step(df, moved=moved, spread=spread)
     n, k, free = F.col("n"), F.col("k"), F.col("k") - 1
-    df = _step(df, chi2=k / n * F.col("squares") - n, excess=n * (k * TEXT_COINCIDENCE - 1),
-               expected=2 * F.col("ones") * (n - F.col("ones")) / n + 1)
+    df = _step(df, chi2=k / n * F.col("squares") - n, expected=2 * F.col("ones") * (n - F.col("ones")) / n + 1)
     # Wilson-Hilferty cube root for the uniform null
     cube = (F.pow(F.greatest(F.col("chi2"), F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
     runs_spread = F.sqrt((F.col("expected") - 1) * (F.col("expected") - 2) / (n - 1))
     df = _step(
         df, z_uniform=-cube,
-        # an alphabet of few symbols cannot tell text from random strings
-        z_text=F.when(F.col("excess") > 0.5 * n, (F.col("chi2") - free - F.col("excess")) / F.sqrt(2 * free + 4 * F.col("excess"))),
         z_runs=F.when((F.col("expected") > 2) & (n > 1), -F.abs((F.col("turns") + 1 - F.col("expected")) / runs_spread)),
         z_serial=F.when(F.col("spread") > 0, -F.abs((F.col("moved") / F.col("spread") + 1 / n) * F.sqrt(n))))
-    below = {x: normal_below(F.col(f"z_{x}")) for x in ("uniform", "text", "runs", "serial")}
-    return _step(df, ["symbols", "halves", "numbers", "squares", "ones", "turns", "mean", "moved", "spread", "k", "excess", "expected",
-                      "z_uniform", "z_text", "z_runs", "z_serial"],
-                 p_uniform=below["uniform"], p_text=F.coalesce(below["text"], F.lit(1.0)),
-                 p_runs=F.coalesce(2 * below["runs"], F.lit(0.0)), p_serial=F.coalesce(2 * below["serial"], F.lit(0.0)))
+    below = {x: normal_below(F.col(f"z_{x}")) for x in ("uniform", "runs", "serial")}
+    return _step(df, ["symbols", "halves", "numbers", "squares", "ones", "turns", "mean", "moved", "spread", "k", "expected",
+                      "z_uniform", "z_runs", "z_serial"],
+                 p_uniform=below["uniform"], p_runs=F.coalesce(2 * below["runs"], F.lit(0.0)), p_serial=F.coalesce(2 * below["serial"], F.lit(0.0)))
 
 
 def length_class(n: Column) -> Column:
@@ -171,24 +236,25 @@ def length_class(n: Column) -> Column:
     return out
 
 
-def random_runs(runs: DataFrame, fdr: float = FDR, reject: float = REJECT) -> DataFrame:
+def random_runs(runs: DataFrame, pairs: np.ndarray, fdr: float = FDR, reject: float = REJECT) -> DataFrame:
     """m, encoding and p-values of the distinct runs found random.
 
-    Benjamini-Hochberg by bins: in a length class, the largest p-value bound with
+    Benjamini-Hochberg by bins: in an encoding and length class, the largest p-value bound with
     bound <= fdr * (runs up to it) / (all runs) is the threshold.
     """
-    tested = (statistics(runs.select("m").distinct())
+    tested = _step(statistics(runs.select("m").distinct()), z=p_z(pairs))
+    tested = (_step(tested, ["z"], p_text=F.coalesce(normal_below(F.col("z")), F.lit(1.0)))
               .withColumns({"class": length_class(F.col("n")),
                             "bin": F.least(F.lit(MAX_BIN), F.floor(-BINS_PER_DECADE * F.log10(
                                 F.greatest(F.col("p_text"), F.lit(1e-300))))).cast("int")}))
-    counts = tested.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("c"))
-    # at most len(LENGTHS) * (MAX_BIN + 1) rows; larger bins are smaller p-values
-    w = Window.partitionBy("class")
+    counts = tested.groupBy("encoding", "class", "bin").agg(F.count(F.lit(1)).alias("c"))
+    # at most len(ENCODINGS) * len(LENGTHS) * (MAX_BIN + 1) rows; larger bins are smaller p-values
+    w = Window.partitionBy("encoding", "class")
     sums = counts.withColumns({"upto": F.sum("c").over(w.orderBy(F.desc("bin"))), "all": F.sum("c").over(w)})
     bound = F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE)
     cut = (sums.filter(bound <= F.lit(fdr) * F.col("upto") / F.col("all"))
-           .groupBy("class").agg(F.min("bin").alias("cut")))
-    return (tested.join(cut, "class").filter((F.col("bin") >= F.col("cut"))
+           .groupBy("encoding", "class").agg(F.min("bin").alias("cut")))
+    return (tested.join(cut, ["encoding", "class"]).filter((F.col("bin") >= F.col("cut"))
                                              & (F.least("p_uniform", "p_runs", "p_serial") >= reject))
             .drop("bin", "cut", "class"))
 
@@ -208,7 +274,7 @@ def scan(docs: DataFrame, fdr: float = FDR, reject: float = REJECT) -> DataFrame
     """doc_id, base and found (arrays of start, kind number, end, m, in order): one row per document row."""
     rows = matches(docs)
     runs = rows.select("row", F.explode("run").alias("x")).select("row", "x.start", "x.end", "x.m")
-    added = (runs.join(random_runs(runs, fdr, reject).select("m"), "m")
+    added = (runs.join(random_runs(runs, text_pairs(docs), fdr, reject).select("m"), "m")
              .groupBy("row").agg(F.collect_list(F.struct(
                  "start", F.lit(KINDS.index("random")).alias("kind"), "end", "m")).alias("random")))
     def of_kind(k: str) -> Column:
