@@ -7,9 +7,10 @@ P(token | previous) = P(class | previous class) * P(token | class).
   (word hashes, training counts), so later joins carry distinct words, not tokens.
 * ``totals``: exact training counts of every word over all blocks, sent back to
   the blocks that hold the word.
-* Words with at least ``MIN_SHARE`` of the training tokens (at most 1 / MIN_SHARE
-  words, which bounds every broadcast) are clustered.  Every other word belongs to
-  one of eight shape classes (digits, non-ASCII letters, end in punctuation) and
+* Words with at least ``MIN_COUNT`` training tokens are clustered, so the clustered
+  vocabulary grows with the corpus.  They are numbered by a sort and their numbers
+  joined to the blocks; tasks hold one byte of class a word, and for scoring one
+  float.  Every other word belongs to one of eight shape classes (digits, non-ASCII letters, end in punctuation) and
   is emitted with its own count + 1 over the class's tokens, words and one unseen.
 * ``cluster``: each round counts, for every clustered word, the classes before and
   after it over all training tokens, and moves half of the words to the class in
@@ -33,16 +34,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listenlens.llm import vectext as V
-from listenlens.llm.common import crc_mod, drop_stored, store
+from listenlens.llm.common import crc_mod, drop_stored, numbered, store
 
 CLASSES = 64
 SHAPES = 8
 ROUNDS = 8
-MIN_SHARE = 5e-6
+MIN_COUNT = 3
 # pseudo-count that pulls a class's transitions towards the class frequencies
 PULL = 10.0
 BLOCK_BYTES = 16 << 20
-CHUNK = 1024
+CHUNK = 4096
+# context counts a task holds before it hands them on
+HELD = 2 << 20
 END = np.uint64(0x5BF03635E6C9D1A7)
 
 _DIGIT = V.byte_table(range(0x30, 0x3A))
@@ -143,60 +146,55 @@ class Vocabulary:
     Ids 0 .. n-1 are the clustered words, n + s the shape classes, n + SHAPES the end.
     """
 
-    def __init__(self, counts: DataFrame, min_share: float):
+    def __init__(self, counts: DataFrame, min_share: float = 0.0):
         end = int(END.astype(np.int64))
         one = counts.filter("first")
         s = one.agg(F.sum("total").alias("tokens"), F.sum((F.col("total") > 0).cast("long")).alias("words")).first()
         self.tokens, self.distinct = int(s.tokens or 0), int(s.words or 0)
-        least = max(1.0, min_share * self.tokens)
-        rows = (one.filter((F.col("total") >= least) & (F.col("word") != end)).select("word", "total").toArrow())
-        word, total = rows.column("word").to_numpy(), rows.column("total").to_numpy()
-        order = np.lexsort((word, -total))
-        self.word, self.total = word[order].view(np.uint64), total[order]
-        self.n = len(word)
+        least = max(MIN_COUNT, min_share * self.tokens)
+        #: word, index (id) of the clustered words
+        self.words = store(numbered(one.filter((F.col("total") >= least) & (F.col("word") != end))
+                                    .select("word", "total", (-F.col("total")).alias("less")), ["less", "word"], "lm-sorted")
+                           .select("word", "total", "index"), "lm-words", "zstd")
+        rows = self.words.select("index", "total").toArrow()
+        self.n = rows.num_rows
+        self.total = np.zeros(self.n, dtype=np.int64)
+        self.total[rows.column("index").to_numpy()] = rows.column("total").to_numpy()
         rest = (one.filter((F.col("total") < least) & (F.col("total") > 0) & (F.col("word") != end)).groupBy("shape")
                 .agg(F.sum("total").alias("tokens"), F.count(F.lit(1)).alias("words")).collect())
         # rare tokens, rare words and one unseen word of each shape
         self.shape_mass = np.ones(SHAPES)
         for r in rest:
             self.shape_mass[r["shape"]] += r.tokens + r.words
-        self.sorted = np.argsort(self.word)
 
     @property
     def end(self) -> int:
         return self.n + SHAPES
 
-    def ids(self, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        """Ids of a dictionary: clustered word, end, or shape class."""
-        out = self.n + shapes.astype(np.int64)
-        if self.n:
-            known = self.word[self.sorted]
-            at = np.minimum(np.searchsorted(known, words), self.n - 1)
-            on = known[at] == words
-            out[on] = self.sorted[at[on]]
-        out[words == END] = self.end
-        return out
-
 
 def base_scored(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score, rare (log10 emission of shape
     class words), gids (vocabulary ids); stored."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocab)
+    n, end, log_all, mass = vocab.n, vocab.end, np.log10(vocab.tokens + vocab.distinct + 1.0), vocab.shape_mass
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        voc = shared.value
         left = left.combine_chunks()
         is_dict = left.column("words").is_valid()
         d = left.filter(is_dict)
         words = np.frombuffer(d.column("words")[0].as_buffer(), "<u8")
         shapes = np.frombuffer(d.column("shapes")[0].as_buffer(), np.uint8)
         total = np.zeros(len(words), dtype=np.int64)
-        total[right.column("at").to_numpy()] = right.column("total").to_numpy()
-        gid = voc.ids(words, shapes)
-        log_base = np.log10(total + 1.0) - np.log10(voc.tokens + voc.distinct + 1.0)
+        at = right.column("at").to_numpy()
+        total[at] = right.column("total").to_numpy()
+        # ids of the dictionary: clustered word, end, or shape class
+        gid = n + shapes.astype(np.int64)
+        known = right.column("index").to_numpy()
+        gid[at[known >= 0]] = known[known >= 0]
+        gid[words == END] = end
+        log_base = np.log10(total + 1.0) - log_all
         rare = np.zeros(len(words))
-        shaped = (gid >= voc.n) & (gid < voc.end)
-        rare[shaped] = np.log10(total[shaped] + 1.0) - np.log10(voc.shape_mass[gid[shaped] - voc.n])
+        shaped = (gid >= n) & (gid < end)
+        rare[shaped] = np.log10(total[shaped] + 1.0) - np.log10(mass[gid[shaped] - n])
         docs = left.filter(pa.compute.invert(is_dict))
         ids = [np.frombuffer(v.as_buffer(), "<u4") for c in docs.column("ids").chunks for v in c]
         gid32 = gid.astype("<u4")
@@ -213,7 +211,8 @@ def base_scored(encoded: DataFrame, counts: DataFrame, vocab: Vocabulary) -> Dat
                            T.StructField("base_score", T.DoubleType()), T.StructField("rare", T.DoubleType()),
                            T.StructField("gids", T.BinaryType())])
     left = encoded.select("block", "doc_id", "held_out", "ids", "words", "shapes").groupBy("block")
-    right = counts.select("block", "at", "total").groupBy("block")
+    right = (counts.join(vocab.words.select("word", "index"), "word", "left")
+             .select("block", "at", "total", F.coalesce("index", F.lit(-1).cast("long")).alias("index")).groupBy("block"))
     return store(left.cogroup(right).applyInArrow(run, schema), "lm-ids", "zstd")
 
 
@@ -224,74 +223,109 @@ def _sequence(part: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(data.tobytes(), "<u4")
 
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    u, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, np.bincount(at, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+
+
 def context_counts(ids: DataFrame, class_of: np.ndarray, vocab: Vocabulary) -> DataFrame:
-    """part, before, after: context class counts of CHUNK words a row, over all training tokens; stored."""
+    """part, before, n_before, after, n_after: context class counts of CHUNK words a row, over all
+    training tokens, as places in the (word, class) square that are not 0 and their counts; stored."""
     n_words, n_classes = len(class_of), int(class_of.max()) + 1
-    shared = ids.sparkSession.sparkContext.broadcast(class_of)
-    end = vocab.end
+    shared = ids.sparkSession.sparkContext.broadcast(class_of.astype(np.uint8))
+    end, step = vocab.end, CHUNK * n_classes
+    edges = np.arange(0, n_words + CHUNK, CHUNK, dtype=np.int64) * n_classes
+    names = ["part", "before", "n_before", "after", "n_after"]
 
     def count(batches):
         cls = shared.value
-        before = np.zeros(n_words * n_classes, dtype=np.int64)
-        after = np.zeros(n_words * n_classes, dtype=np.int64)
+        held: list[list[np.ndarray]] = [[], [], [], []]
+
+        def flush():
+            columns = [np.arange(len(edges) - 1, dtype=np.int32)]
+            for k in (0, 2):
+                u, n = _merged(held[k], held[k + 1])
+                cut = np.searchsorted(u, edges).tolist()
+                places, n = (u % step).astype("<u4").tobytes(), n.astype("<u4").tobytes()
+                for raw in (places, n):
+                    columns.append([raw[4 * i:4 * j] for i, j in zip(cut[:-1], cut[1:])])
+            on = [i for i in range(len(edges) - 1) if columns[1][i] or columns[3][i]]
+            return pa.RecordBatch.from_arrays([pa.array([int(i) for i in on], pa.int32()), *[
+                pa.array([c[i] for i in on], pa.binary()) for c in columns[1:]]], names=names)
+
         for part in V.slices(batches, "gids"):
             g = _sequence(part).astype(np.int64)
             if not len(g):
                 continue
             # every document ends with the end token, which also precedes its first word
-            c = cls[g]
+            c = cls[g].astype(np.int64)
             pair = g * n_classes
-            at, n = np.unique(pair + np.concatenate([[cls[end]], c[:-1]]), return_counts=True)
-            before[at] += n
             keep = g[:-1] != end
-            at, n = np.unique(pair[:-1][keep] + c[1:][keep], return_counts=True)
-            after[at] += n
             # the end token is followed by the first word of the next document
             first = np.concatenate([[c[0]], c[1:][~keep]])
-            after[end * n_classes:(end + 1) * n_classes] += np.bincount(first, minlength=n_classes)
-        step = CHUNK * n_classes
-        for i in range(0, n_words * n_classes, step):
-            if before[i:i + step].any() or after[i:i + step].any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i // step], pa.int32()), pa.array([before[i:i + step].astype("<u4").tobytes()], pa.binary()),
-                     pa.array([after[i:i + step].astype("<u4").tobytes()], pa.binary())], names=["part", "before", "after"])
+            for k, keys in ((0, pair + np.concatenate([[int(cls[end])], c[:-1]])),
+                            (2, np.concatenate([pair[:-1][keep] + c[1:][keep], end * n_classes + first]))):
+                at, n = np.unique(keys, return_counts=True)
+                held[k].append(at)
+                held[k + 1].append(n)
+            if sum(map(len, held[0])) >= HELD:
+                yield flush()
+                held = [[], [], [], []]
+        if held[0]:
+            yield flush()
 
     def add(batches):
-        sums: dict[int, list[np.ndarray]] = {}
+        def summed(part, rows):
+            out = []
+            for k in (0, 2):
+                u, n = _merged([np.frombuffer(r[k], "<u4") for r in rows], [np.frombuffer(r[k + 1], wide) for r in rows])
+                out += [u.astype("<u4").tobytes(), n.astype("<i8").tobytes()]
+            return out
+
+        wide, now, rows = "<u4", None, []
         for b in batches:
-            for p, x, y in zip(*(b.column(c).to_pylist() for c in ("part", "before", "after"))):
-                got = [np.frombuffer(v, "<u4").astype(np.int64) for v in (x, y)]
-                sums[p] = [u + v for u, v in zip(sums[p], got)] if p in sums else got
-        for p, (x, y) in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p], pa.int32()), pa.array([x.astype("<i8").tobytes()], pa.binary()),
-                 pa.array([y.astype("<i8").tobytes()], pa.binary())], names=["part", "before", "after"])
-
-    schema = "part int, before binary, after binary"
+            for p, *row in zip(*(b.column(c).to_pylist() for c in names)):
+                if p != now and rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *[pa.array([x], pa.binary()) for x in summed(now, rows)]], names=names)
+                    rows = []
+                now = p
+                rows.append(row)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *[pa.array([x], pa.binary()) for x in summed(now, rows)]], names=names)
+
+    schema = "part int, before binary, n_before binary, after binary, n_after binary"
     return store(ids.filter("not held_out").select("gids").mapInArrow(count, schema)
-                 .repartition("part").mapInArrow(add, schema), "lm-contexts", "zstd")
+                 .repartition("part").sortWithinPartitions("part").mapInArrow(add, schema), "lm-contexts", "zstd")
+
+
+def _square(part: int, places: bytes, counts: bytes, n_words: int, n_classes: int) -> np.ndarray:
+    """Counts of a part's words (rows) and context classes."""
+    out = np.zeros((min(CHUNK, n_words - part * CHUNK), n_classes), dtype=np.int64)
+    out.ravel()[np.frombuffer(places, "<u4")] = np.frombuffer(counts, "<i8")
+    return out
 
 
 def transitions(contexts: DataFrame, class_of: np.ndarray) -> np.ndarray:
     """Class bigram counts: a square of the class count reaches the driver from every part."""
-    n = int(class_of.max()) + 1
-    shared = contexts.sparkSession.sparkContext.broadcast(class_of)
+    n, n_words = int(class_of.max()) + 1, len(class_of)
+    shared = contexts.sparkSession.sparkContext.broadcast(class_of.astype(np.uint8))
 
     def run(batches):
         t = np.zeros((n, n), dtype=np.int64)
         for b in batches:
-            for p, x in zip(b.column("part").to_pylist(), b.column("before").to_pylist()):
-                rows = np.frombuffer(x, "<i8").reshape(-1, n)
+            for p, x, y in zip(*(b.column(c).to_pylist() for c in ("part", "before", "n_before"))):
+                rows = _square(p, x, y, n_words, n)
                 np.add.at(t.T, shared.value[p * CHUNK:p * CHUNK + len(rows)], rows)
         yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary())], names=["t"])
 
-    parts = contexts.select("part", "before").mapInArrow(run, "t binary").collect()
+    parts = contexts.select("part", "before", "n_before").mapInArrow(run, "t binary").collect()
     return sum((np.frombuffer(r.t, "<i8").reshape(n, n) for r in parts), np.zeros((n, n), dtype=np.int64))
 
 
 def reassign(contexts: DataFrame, class_of: np.ndarray, t: np.ndarray, movable: int, turn: int) -> np.ndarray:
     """The next class of every word: words whose number has this turn's parity move to their best class."""
-    n = len(t)
+    n, n_words = len(t), len(class_of)
     out_n, in_n = t.sum(axis=1), t.sum(axis=0)
     # log of T[c, k] / n_k: how likely a context class is around class k
     left = np.log((t + 0.1) / (in_n + 0.1 * n)[None, :])[:, :CLASSES]
@@ -301,15 +335,15 @@ def reassign(contexts: DataFrame, class_of: np.ndarray, t: np.ndarray, movable:
     def run(batches):
         le, ri = shared.value
         for b in batches:
-            for p, x, y in zip(*(b.column(c).to_pylist() for c in ("part", "before", "after"))):
-                gain = (np.frombuffer(x, "<i8").reshape(-1, n) @ le) + (np.frombuffer(y, "<i8").reshape(-1, n) @ ri)
+            for p, x, nx, y, ny in zip(*(b.column(c).to_pylist() for c in ("part", "before", "n_before", "after", "n_after"))):
+                gain = (_square(p, x, nx, n_words, n) @ le) + (_square(p, y, ny, n_words, n) @ ri)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p], pa.int32()), pa.array([gain.argmax(axis=1).astype("<u2").tobytes()], pa.binary())],
+                    [pa.array([p], pa.int32()), pa.array([gain.argmax(axis=1).astype("<u1").tobytes()], pa.binary())],
                     names=["part", "best"])
 
     new = class_of.copy()
     for r in contexts.mapInArrow(run, "part int, best binary").collect():
-        best = np.frombuffer(r.best, "<u2")
+        best = np.frombuffer(r.best, "<u1")
         word = np.arange(r.part * CHUNK, r.part * CHUNK + len(best))
         move = (word < movable) & ((word + turn) % 2 == 0)
         new[word[move]] = best[move]
@@ -344,12 +378,13 @@ def log_model(class_of: np.ndarray, t: np.ndarray, vocab: Vocabulary) -> tuple[n
     return np.log10(move), emit
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS, min_share: float = MIN_SHARE) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS, min_share: float = 0.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity; a row per document row."""
     encoded = encode(docs)
     counts = totals(encoded)
     vocab = Vocabulary(counts, min_share)
     ids = base_scored(encoded, counts, vocab)
+    drop_stored(vocab.words)
     drop_stored(counts)
     drop_stored(encoded)
     class_of, t = cluster(ids, vocab, rounds)

@@ -303,3 +303,14 @@ def test_model_is_a_distribution(spark):
         c = class_of[np.frombuffer(r.gids, "<u4")]
         np.add.at(want, (np.concatenate([[class_of[vocab.end]], c[:-1]]), c), 1)
     assert (t == want).all()
+
+
+def test_rare_words_of_a_large_corpus_are_clustered(spark):
+    # five occurrences are less than 5 in a million of 1.2 million tokens
+    rows = [(i, "a b " * 1000) for i in range(700)] + [(1000 + i, " ".join(f"w{k}" for k in range(300))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t for i, t in rows if not is_out(i)]
+    times = sum("w0 " in t for t in train)
+    assert times >= brown_lm.MIN_COUNT and times / sum(len(t.split()) + 1 for t in train) < 5e-6
+    vocab = brown_lm.Vocabulary(brown_lm.totals(brown_lm.encode(docs)))
+    assert vocab.n == 302
