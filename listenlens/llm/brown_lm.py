@@ -276,23 +276,29 @@ def context_counts(ids: DataFrame, class_of: np.ndarray, vocab: Vocabulary) -> D
             yield flush()
 
     def add(batches):
-        def summed(part, rows):
-            out = []
-            for k in (0, 2):
-                u, n = _merged([np.frombuffer(r[k], "<u4") for r in rows], [np.frombuffer(r[k + 1], wide) for r in rows])
-                out += [u.astype("<u4").tobytes(), n.astype("<i8").tobytes()]
-            return out
+        # sums of the part at hand, and rows to add to them
+        now, sums, more, size = None, None, [], 0
+
+        def merged():
+            rows = ([] if sums is None else [sums]) + more
+            return [x for k in (0, 2) for x in _merged([r[k] for r in rows], [r[k + 1] for r in rows])]
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *[
+                pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(merged(), ("<u4", "<i8") * 2)]], names=names)
 
-        wide, now, rows = "<u4", None, []
         for b in batches:
-            for p, *row in zip(*(b.column(c).to_pylist() for c in names)):
-                if p != now and rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *[pa.array([x], pa.binary()) for x in summed(now, rows)]], names=names)
-                    rows = []
-                now = p
-                rows.append(row)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *[pa.array([x], pa.binary()) for x in summed(now, rows)]], names=names)
+            for p, *raw in zip(*(b.column(c).to_pylist() for c in names)):
+                if p != now:
+                    if now is not None:
+                        yield row()
+                    now, sums, more, size = p, None, [], 0
+                more.append([np.frombuffer(x, "<u4") for x in raw])
+                size += len(raw[0])
+                if size >= 4 * HELD:
+                    sums, more, size = merged(), [], 0
+        if now is not None:
+            yield row()
 
     schema = "part int, before binary, n_before binary, after binary, n_after binary"
     return store(ids.filter("not held_out").select("gids").mapInArrow(count, schema)
