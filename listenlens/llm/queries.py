@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listenlens.llm import (brown_lm, decontam, fim, html_text, huffman, langid, mixing, neardup, quality, secrets,
+from listenlens.llm import (brown_lm, decontam, fim, html_text, huffman, langid, mixing, neardup, quality, resample, secrets,
                             warc)
 from listenlens.llm.common import table
 from listenlens.plans.catalog import QueryFn
@@ -143,3 +143,9 @@ FROM p
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and put in fill-in-the-middle order."""
     return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
+@register("op12_importance_resampling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document against the benchmark's texts."""
+    return resample.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
