@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listenlens.llm import (brown_lm, decontam, fim, html_text, huffman, langid, mixing, neardup, quality, resample, secrets,
-                            warc)
+from listenlens.llm import (brown_lm, decontam, fim, html_text, huffman, langid, mixing, neardup, quality, resample,
+                            secrets, suffixes, warc)
 from listenlens.llm.common import table
 from listenlens.plans.catalog import QueryFn
 
@@ -149,3 +149,25 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and rank of every document against the benchmark's texts."""
     return resample.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT *, (strlen(h) // 2)::BIGINT AS n FROM d),
+w AS (SELECT r, o, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, o, h, unnest(range(0, n - 49)) AS p FROM b)),
+hit AS (SELECT r, p FROM (SELECT r, o, p, min(o) OVER (PARTITION BY s) AS first FROM w) WHERE first < o),
+edge AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM hit),
+run AS (SELECT r, p, sum((before IS NULL OR p > before + 50)::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM edge),
+span AS (SELECT r, k, min(p) AS a, max(p) + 50 AS z FROM run GROUP BY r, k),
+keep AS (SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM (SELECT r, a, z FROM span UNION ALL SELECT r, n, n FROM b)),
+rest AS (SELECT r, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS h FROM keep JOIN b USING (r) GROUP BY r),
+cut AS (SELECT r, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM span GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(rest.h)) AS kept_sha256
+FROM b JOIN rest USING (r) LEFT JOIN cut USING (r)
+"""
+
+
+@register("op13_suffix_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 50 bytes that an earlier one holds."""
+    return suffixes.digest(suffixes.dedup(table(spark, sf_dir, "documents")))
