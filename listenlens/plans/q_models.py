@@ -16,7 +16,9 @@ from listenlens.operators import personality as PE
 from listenlens.operators import profile as P
 from listenlens.operators import recommend as R
 from listenlens.operators import taste as TA
+from listenlens.operators.common import materialize
 from listenlens.operators.enrich import cleaned_tracks, enriched
+from listenlens.operators.forest import NODES
 from listenlens.plans.catalog import register, round_doubles
 from listenlens.plans.sqltext import rq, with_enriched
 from listenlens.sources.fixtures import Views
@@ -140,10 +142,40 @@ def q_genre_top_predicted(spark, sf_dir):
 
 @register("genre_hamming_loss")
 def q_genre_hamming_loss(spark, sf_dir):
-    """Hamming loss on a held-out fifth of the tracks."""
+    """Hamming loss of every track, judged by the trees grown without its fold."""
     _, tracks, _ = _ctx(spark, sf_dir)
-    train, held = G.held_out_tracks(tracks)
-    return G.hamming_loss(G.fit_genre(train, RF_TREES, RF_DEPTH), held)
+    return G.out_of_fold_loss(genre_model(spark, sf_dir), tracks)
+
+
+# fixed trees (feature number, threshold, left, right; feature -1 is a leaf), to hold the
+# counting and scoring of leaves against SQL
+FIXED_TREES = [
+    [(0, 0.5, 1, 2), (1, 0.4, 3, 4), (-1, 0.0, -1, -1), (-1, 0.0, -1, -1), (-1, 0.0, -1, -1)],
+    [(3, 0.6, 1, 2), (-1, 0.0, -1, -1), (2, 0.7, 3, 4), (-1, 0.0, -1, -1), (-1, 0.0, -1, -1)],
+    [(-1, 0.0, -1, -1)],
+]
+_FIXED_LEAVES = """
+, m AS (SELECT avg(energy) AS e, avg(valence) AS v, avg(danceability) AS d, avg(tempo) AS t FROM clean_tracks2),
+x AS (SELECT track_id, coalesce(energy, m.e) AS e, coalesce(valence, m.v) AS v, coalesce(danceability, m.d) AS d,
+             coalesce(tempo, m.t) / 200.0 AS t FROM clean_tracks2, m),
+leaf AS (SELECT track_id, 0 AS tree, CASE WHEN e > 0.5 THEN 2 WHEN v <= 0.4 THEN 3 ELSE 4 END AS leaf FROM x
+         UNION ALL SELECT track_id, 1, CASE WHEN t <= 0.6 THEN 1 WHEN d <= 0.7 THEN 3 ELSE 4 END FROM x
+         UNION ALL SELECT track_id, 2, 0 FROM x),
+size AS (SELECT tree, leaf, count(*) AS n FROM leaf GROUP BY ALL),
+tags AS (SELECT DISTINCT track_id, unnest(genres_list) AS genre FROM clean_tracks2),
+share AS (SELECT tree, leaf, genre, count(*) / any_value(n) AS p FROM leaf JOIN tags USING (track_id) JOIN size USING (tree, leaf)
+          GROUP BY tree, leaf, genre),
+"""
+
+
+@register("genre_fixed_forest", with_enriched() + _FIXED_LEAVES.rstrip().rstrip(",") + f"""
+SELECT track_id, genre, {rq('sum(p) / 3.0')} AS p FROM leaf JOIN share USING (tree, leaf) GROUP BY track_id, genre
+""")
+def q_genre_fixed_forest(spark, sf_dir):
+    """I14 with given trees: leaf shares counted over all tracks, every track scored."""
+    _, tracks, _ = _ctx(spark, sf_dir)
+    nodes = spark.createDataFrame([(t, -1, i, *n) for t, tree in enumerate(FIXED_TREES) for i, n in enumerate(tree)], NODES)
+    return round_doubles(G.counted(G.prepare(tracks), nodes, tracks, 1).predict(tracks))
 
 
 _TAGS = """
@@ -309,7 +341,8 @@ def q_recommendations(spark, sf_dir):
     """Exact hybrid top-10 over every unowned track, per listener."""
     _, tracks, lib = _ctx(spark, sf_dir)
     gm = genre_model(spark, sf_dir)
-    probs = gm.predict(tracks)
+    # read by the listener side, the candidate side and the genre numbers
+    probs = materialize(gm.predict(tracks), "genre-probabilities")
     recs = R.recommend(lib, tracks, mood_model(spark, sf_dir), probs,
                        taste=taste_model(spark, sf_dir), n=10)
     return recs.select("user_id", "rank", "track_id", "track_name", "artist_name", "album_name", "score",
@@ -322,10 +355,9 @@ def q_training_report(spark, sf_dir):
     _, tracks, _ = _ctx(spark, sf_dir)
     tm, mm, gm = taste_model(spark, sf_dir), mood_model(spark, sf_dir), genre_model(spark, sf_dir)
     from listenlens.operators.common import join_on_keys
-    counts = join_on_keys(tm.fitted_counts(), gm.genres.agg(F.count(F.lit(1)).alias("genre_labels")), [])
-    return join_on_keys(tracks.agg(F.count(F.lit(1)).alias("tracks_count")), counts, []).select(
+    return join_on_keys(tracks.agg(F.count(F.lit(1)).alias("tracks_count")), tm.fitted_counts(), []).select(
         "tracks_count", "als_users", "als_tracks", F.lit(tm.model.rank).alias("user_embedding_size"),
-        F.lit(mm.k).alias("mood_clusters"), F.col("genre_labels").cast("int").alias("genre_labels"),
+        F.lit(mm.k).alias("mood_clusters"), F.lit(len(gm.genres)).alias("genre_labels"),
         F.lit(RF_TREES).alias("genre_trees"), F.lit(True).alias("fitted"))
 
 
