@@ -333,6 +333,13 @@ def q_recommendations_rules(spark, sf_dir):
     return round_doubles(recs.select("user_id", "rank", "score"))
 
 
+@register("recommendation_pruning")
+def q_recommendation_pruning(spark, sf_dir):
+    """How many (listener, block) pairs of the rules' search the bounds skip (one row)."""
+    _, tracks, lib = _ctx(spark, sf_dir)
+    return R.pruning(lib, tracks, M.QuadrantMood(), G.genre_tags(tracks), n=10)
+
+
 # ---------------------------------------------------------------------------
 # recommendations and training report
 # ---------------------------------------------------------------------------
