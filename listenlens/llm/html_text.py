@@ -3,9 +3,14 @@
 Every element gets a hash of its subtree (tag names and text, not attributes).
 Spark counts, for each host, on how many pages with different content a subtree
 stands; subtrees on many pages of the host are its template and are cut out,
-together with elements that name themselves boilerplate (nav, footer, class="ad"
-and so on).  What is left of the article, or of the body where a page has no
-article or main element, is the text.
+together with elements whose tag is boilerplate (nav, footer and so on).  What is
+left of the article, or of the body where a page has no article or main element, is
+the text.
+
+A class, id or role that names boilerplate (ad, sidebar) is only a prior: such an
+element, or a form, goes unless it holds an article, a first heading or more than half
+of the prose; names that articles use themselves (related, search) count only where
+most of the text is links; names of a state (has-sidebar, comments-open) say nothing.
 
 Paragraphs and headings inside an article are never template: a passage that
 many articles quote stays.  Pages are counted by the hash of their content, so
@@ -14,7 +19,8 @@ copies of one page do not make its text a template.
 Defined cases: null or empty html and pages without text give an empty text; a
 null or hostless url has no template; repeated rows are each extracted; empty
 tables give no rows; other columns are ignored; unclosed and truncated markup is
-read as far as it goes.
+read as far as it goes, and a quote that is never closed ends with its tag.  Reading
+takes time in proportion to the page, whatever its markup.
 """
 
 from __future__ import annotations
@@ -34,8 +40,11 @@ MIN_PAGES = 3
 # pages that are looked up together: one entry a template, however many of them show it
 BUCKET_PAGES = 256
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|<)*?)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_BETWEEN = re.compile(r"[\s/]*")
+_NAME = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _NAME_PART = re.compile(r"[a-z0-9]+")
 
 # fixed values: element names
@@ -45,33 +54,50 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
                    "strike strong sub sup time tt u var".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th tr tbody figcaption".split())
 ROOT = frozenset(["article", "main"])
-BOILERPLATE = frozenset("head nav footer aside form script style noscript template iframe svg canvas button select "
+BOILERPLATE = frozenset("head nav footer aside script style noscript template iframe svg canvas button select "
                         "textarea menu dialog object audio video title".split())
 # a start tag closes an open element of these names, up to the nearest holder
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
 HOLDERS = frozenset("ul ol dl table body html article section div main td".split())
 # fixed values: parts of class, id and role names that mark boilerplate
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
-                  "complementary consent contentinfo cookie cookies disqus dialog footer login menu modal nav navbar "
-                  "navigation newsletter notice notices notification pagination popup promo promotion related search "
-                  "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-
-
-def _named_boilerplate(tag: str, attributes: str, in_root: bool) -> bool:
-    if tag in BOILERPLATE:
-        return True
+MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary consent "
+                  "contentinfo cookie cookies footer login menu modal nav navbar navigation newsletter notice notices "
+                  "notification pagination popup promo promotion share sharing sidebar signup social sponsor sponsored "
+                  "subscribe toolbar widget".split())
+# reader comments may be longer than the article
+COMMENT_MARKS = frozenset("comment comments disqus".split())
+# names that content has too
+WEAK_MARKS = frozenset("related search dialog".split())
+# first and last parts of names of a state, which say what a page has or may do
+STATE_FIRST = frozenset("has no with without is not hide show".split())
+STATE_LAST = frozenset("open opened closed enabled disabled on off active inactive visible loaded ready allowed".split())
+
+# why an element may go
+STAYS, GOES, MARKED, COMMENT, WEAK = range(5)
+
+
+def _prior(tag: str, attributes: dict[str, str], in_root: bool) -> int:
+    if tag in BOILERPLATE or "hidden" in attributes:
+        return GOES
     if tag == "header":
-        return not in_root
-    if tag in ROOT or tag in ("html", "body") or not attributes:
-        return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name = m[1].lower()
-        if name in ("class", "id", "role"):
-            parts = set(_NAME_PART.findall((m[2] or m[3] or m[4] or "").lower()))
-            if parts & MARKS or (not in_root and "header" in parts):
-                return True
-    return " hidden" in f" {attributes.lower()} ".replace("\n", " ").replace("/", " ").split('"')[0]
+        return STAYS if in_root else GOES
+    if tag in ROOT or tag in ("html", "body"):
+        return STAYS
+    found = MARKED if tag == "form" else STAYS
+    for value in attributes.values():
+        for token in value.lower().split():
+            parts = _NAME_PART.findall(token)
+            if not parts or len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+                continue
+            names = set(parts)
+            if names & COMMENT_MARKS:
+                return COMMENT
+            if names & MARKS or (not in_root and "header" in names):
+                found = MARKED
+            elif found == STAYS and names & WEAK_MARKS:
+                found = WEAK
+    return found
 
 
 class Page:
@@ -80,88 +106,170 @@ class Page:
     An event is a text, the number of an element that opens (n) or closes (~n).
     """
 
-    __slots__ = ("events", "tags", "named", "in_root", "hashes", "roots")
+    __slots__ = ("events", "tags", "prior", "in_root", "hashes", "roots", "size", "links", "holds", "_stack", "_parts",
+                 "_open", "_bars", "_link", "_out", "_unclosed", "prose", "root_prose")
 
     def __init__(self, html: str):
         self.events: list = []
         self.tags: list[str] = []
-        self.named: list[bool] = []
+        self.prior: list[int] = []
         self.in_root: list[bool] = []
         self.hashes: list[int] = []
         self.roots: list[int] = []
-        stack: list[int] = []
-        parts: list[list[str]] = [[]]
+        #: characters in each element outside boilerplate tags, those in links, and whether it holds a root or first heading
+        self.size: list[int] = []
+        self.links: list[int] = []
+        self.holds: list[bool] = []
+        self._stack: list[int] = []
+        self._parts: list[list[str]] = [[]]
+        #: places in the stack of the open elements of a tag, and of those that no end is looked for beyond
+        self._open: dict[str, list[int]] = {}
+        self._bars: list[int] = []
+        self._link, self._out = 0, 0
+        #: characters outside links and boilerplate tags, of the page and of its roots
+        self.prose, self.root_prose = 0, 0
+        self._unclosed: set[str] = set()
         at, size = 0, len(html)
         while at < size:
-            m = _MARKUP.search(html, at)
-            end = m.start() if m else size
-            if end > at:
-                self._text(html[at:end], parts[-1])
-            if not m:
+            start = html.find("<", at)
+            if start < 0 or start == size - 1:
+                self._text(html[at:])
                 break
-            at = m.end()
-            tag = m[2]
-            if not tag:
+            m = _TAG.match(html, start)
+            if not m and html[start + 1] not in "!?/":
+                self._text(html[at:start + 1])
+                at = start + 1
                 continue
-            tag = tag.lower()
-            if m[1]:
-                if tag in (self.tags[i] for i in stack):
-                    while stack:
-                        i = stack.pop()
-                        self._close(i, parts)
-                        if self.tags[i] == tag:
-                            break
-                elif tag not in INLINE:
-                    self.events.append(" ")
-                continue
-            if tag in VOID:
-                if tag not in INLINE:
-                    self.events.append(" ")
-                continue
-            if tag in RAW:
-                close = re.compile(f"</{tag}\\s*>?", re.I).search(html, at)
-                at = close.end() if close else size
+            if start > at:
+                self._text(html[at:start])
+            if not m:
+                close = "-->" if html.startswith("<!--", start) else ">"
+                end = html.find(close, start + 2)
+                at = size if end < 0 else end + len(close)
                 continue
-            if tag not in INLINE:
-                self._end_open(tag, stack, parts)
-            n = len(self.tags)
-            in_root = bool(stack) and (self.in_root[stack[-1]] or self.tags[stack[-1]] in ROOT)
-            self.tags.append(tag)
-            self.named.append(_named_boilerplate(tag, m[3], in_root))
-            self.in_root.append(in_root)
-            self.hashes.append(0)
-            if tag in ROOT and not in_root:
-                self.roots.append(n)
-            self.events.append(n)
-            stack.append(n)
-            parts.append([])
-        while stack:
-            self._close(stack.pop(), parts)
-
-    def _text(self, raw: str, parts: list[str]) -> None:
+            at, attributes = self._attributes(html, m.end())
+            self._tag(m[2].lower(), bool(m[1]), attributes)
+            if not m[1] and m[2].lower() in RAW:
+                close = re.compile(f"</{m[2]}(?![^\\s/>])", re.I).search(html, at)
+                end = html.find(">", close.end()) if close else -1
+                at = size if end < 0 else end + 1
+        while self._stack:
+            self._close()
+        self.root_prose = sum(self.size[k] - self.links[k] for k in self.roots)
+
+    def _attributes(self, html: str, at: int) -> tuple[int, dict[str, str]]:
+        """(end of the tag, its class, id, role and hidden attributes)."""
+        found: dict[str, str] = {}
+        while True:
+            at = _BETWEEN.match(html, at).end()
+            if at >= len(html) or html[at] == ">":
+                return at + 1, found
+            m = _NAME.match(html, at)
+            name, at, value = m[0].lower(), m.end(), ""
+            m = _EQUALS.match(html, at)
+            if m:
+                at = m.end()
+                quote = html[at:at + 1]
+                if quote and quote in "\"'":
+                    end = -1 if quote in self._unclosed else html.find(quote, at + 1)
+                    if end < 0:
+                        self._unclosed.add(quote)
+                        end = html.find(">", at)
+                        return (len(html) if end < 0 else end + 1), found
+                    value, at = html[at + 1:end], end + 1
+                else:
+                    m = _BARE.match(html, at)
+                    value, at = m[0], m.end()
+            if name in ("class", "id", "role", "hidden"):
+                found.setdefault(name, value)
+
+    def _tag(self, tag: str, closes: bool, attributes: dict[str, str]) -> None:
+        if closes:
+            if self._open.get(tag):
+                depth = self._open[tag][-1]
+                while len(self._stack) > depth:
+                    self._close()
+            elif tag not in INLINE:
+                self.events.append(" ")
+            return
+        if tag in VOID:
+            self.events.append(" ")
+            return
+        if tag in RAW:
+            return
+        if tag not in INLINE:
+            self._end_open(tag)
+        n, stack = len(self.tags), self._stack
+        in_root = bool(stack) and (self.in_root[stack[-1]] or self.tags[stack[-1]] in ROOT)
+        self.tags.append(tag)
+        self.prior.append(_prior(tag, attributes, in_root))
+        self.in_root.append(in_root)
+        self.hashes.append(0)
+        self.size.append(0)
+        self.links.append(0)
+        self.holds.append(tag == "h1")
+        if tag in ROOT and not in_root:
+            self.roots.append(n)
+            self.holds[n] = True
+        self._link += tag == "a"
+        self._out += self.prior[n] == GOES
+        self.events.append(n)
+        self._open.setdefault(tag, []).append(len(stack))
+        if tag in HOLDERS or tag in BOILERPLATE or tag == "form":
+            self._bars.append(len(stack))
+        stack.append(n)
+        self._parts.append([])
+
+    def _text(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
         self.events.append(text)
         if text and not text.isspace():
-            parts.append(" ".join(text.split()))
-
-    def _close(self, i: int, parts: list[list[str]]) -> None:
-        own = parts.pop()
-        h = xxhash.xxh3_64_intdigest("\0".join([self.tags[i], *own]).encode("utf-8", "surrogatepass"))
+            words = " ".join(text.split())
+            self._parts[-1].append(words)
+            if not self._out:
+                self.prose += 0 if self._link else len(words)
+                if self._stack:
+                    self.size[self._stack[-1]] += len(words)
+                    self.links[self._stack[-1]] += len(words) if self._link else 0
+
+    def _close(self) -> None:
+        i = self._stack.pop()
+        tag, own = self.tags[i], self._parts.pop()
+        self._open[tag].pop()
+        if self._bars and self._bars[-1] == len(self._stack):
+            self._bars.pop()
+        self._link -= tag == "a"
+        self._out -= self.prior[i] == GOES
+        h = xxhash.xxh3_64_intdigest("\0".join([tag, *own]).encode("utf-8", "surrogatepass"))
         self.hashes[i] = h - (1 << 64) if h >> 63 else h
-        parts[-1].append(f"\1{h:x}")
+        self._parts[-1].append(f"\1{h:x}")
+        if self._stack:
+            above = self._stack[-1]
+            self.size[above] += self.size[i]
+            self.links[above] += self.links[i]
+            self.holds[above] |= self.holds[i]
         self.events.append(~i)
 
-    def _end_open(self, tag: str, stack: list[int], parts: list[list[str]]) -> None:
+    def _end_open(self, tag: str) -> None:
         """Close what a block start tag ends: an open paragraph, or its own kind."""
-        names = CLOSES.get(tag, ()) + (("p",) if tag != "span" else ())
-        for k in range(len(stack) - 1, -1, -1):
-            t = self.tags[stack[k]]
-            if t in names:
-                while len(stack) > k:
-                    self._close(stack.pop(), parts)
-                return
-            if t in HOLDERS or t in BOILERPLATE:
-                return
+        names = CLOSES.get(tag, ()) + ("p",)
+        depth = max((self._open[t][-1] for t in names if self._open.get(t)), default=-1)
+        if depth >= 0 and depth >= (self._bars[-1] if self._bars else 0):
+            while len(self._stack) > depth:
+                self._close()
+
+    def named(self, i: int) -> bool:
+        """Does the element go by what it names itself, held against what it holds?"""
+        prior = self.prior[i]
+        if prior in (STAYS, GOES):
+            return prior == GOES
+        if self.holds[i]:
+            return False
+        if prior == COMMENT:
+            return True
+        if prior == WEAK:
+            return 2 * self.links[i] > self.size[i]
+        return 2 * (self.size[i] - self.links[i]) <= (self.root_prose if self.in_root[i] else self.prose)
 
     def candidate(self, i: int) -> bool:
         """May this element be template?  Prose and roots of the content may not."""
@@ -177,7 +285,7 @@ class Page:
         return h - (1 << 64) if h >> 63 else h
 
     def text(self, templates: frozenset[int]) -> str:
-        gone = [self.named[i] or (self.hashes[i] in templates and self.candidate(i)) for i in range(len(self.tags))]
+        gone = [self.named(i) or (self.hashes[i] in templates and self.candidate(i)) for i in range(len(self.tags))]
         for only_roots in (True, False) if self.roots else (False,):
             roots = set(self.roots)
             out: list[str] = []
@@ -212,7 +320,7 @@ def _subtrees(batches):
         for html in batch.column("html").to_pylist():
             page = Page(html or "")
             roots.append(page.content_hash())
-            found.append(list({page.hashes[i] for i in range(len(page.tags)) if page.candidate(i) and not page.named[i]}))
+            found.append(list({page.hashes[i] for i in range(len(page.tags)) if page.candidate(i) and page.prior[i] == STAYS}))
         yield pa.RecordBatch.from_arrays(
             [batch.column("bucket"), batch.column("host"), pa.array(roots, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
             names=["bucket", "host", "content", "subtrees"])

@@ -89,6 +89,38 @@ def test_awkward_markup(html, text):
     assert html_text.Page(html or "").text(frozenset()) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ('<div class="layout has-sidebar"><p>Main article text here.</p><div class="sidebar"><p>side</p></div></div>', "Main article text here."),
+    ('<div class="post comments-open"><p>The post.</p></div>', "The post."), ('<body class="no-ads"><div class="no-ads"><p>t</p></div>', "t"),
+    ('<div class="search-result"><p>Found this.</p></div>', "Found this."), ('<div class="search"><a href="/">a</a> <a>b</a></div><p>t</p>', "t"),
+    ('<article><p>One.</p><section class="related-work"><h2>Related work</h2><p>Two.</p></section></article>', "One. Related work Two."),
+    ('<article><p>One.</p><div class="related"><a>Other page</a></div></article>', "One."),
+    ('<form id="aspnetForm"><div><p>The whole page is here.</p></div></form><p>x</p>', "The whole page is here. x"),
+    ('<form><input><p>Your name</p></form><p>The article is longer.</p>', "The article is longer."),
+    ('<div class="widget"><h1>Head</h1><p>t</p></div>', "Head t"), ('<div class="banner"><article><p>a</p></article></div>', "a"),
+    ('<article><p>short</p><div class="comments"><p>a reader goes on and on and on</p></div></article>', "short"),
+    ('<p class="x>Hello</p>', "Hello"), ("<p>a</p><p class='x>Hello</p>", "a Hello"), ('<p class = "a" title="b > c">t</p>', "t"),
+    ('<p data-x=">">t</p>', "t"), ("1 < 2 <p>3 <4</p>", "1 < 2 3 <4"), ("<p hidden>no</p><p aria-label=hidden>t</p>", "t"), ("</ x>t", "t"),
+])
+def test_names_are_only_a_prior_and_broken_tags_end(html, text):
+    assert html_text.Page(html).text(frozenset()) == text
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 50_000 + "</b>" * 50_000, '<a "' * 100_000, "<b>" * 50_000 + "<p>" * 50_000, "<x-y>" * 50_000 + "<li>" * 50_000, '<p class="' * 100_000,
+    "<p " + "a" * 500_000, "<p " + "a=b " * 100_000 + ">x", "<p class='x>" * 100_000, "<" * 200_000, "</" * 100_000, "<!--" * 100_000,
+    "<div class=sidebar>" * 50_000, "<script>" * 100_000, "<td>" * 100_000, "&" * 200_000])
+def test_any_markup_is_read_in_linear_time(html):
+    import time
+    took = []
+    for n in (len(html) // 4, len(html)):
+        began = time.process_time()
+        html_text.Page(html[:n]).text(frozenset())
+        took.append(time.process_time() - began)
+    # four times the markup takes about four times as long, on any machine
+    assert took[1] < 10 * took[0] + 0.5 and took[1] < 10
+
+
 def test_pages_with_nulls_and_no_rows(spark):
     rows = [(None, None, page("<p>a</p>")), (1, "not a url", page("<p>b</p>")), (1, "http://x.example", None), (1, "http://x.example", None)]
     got = sorted((r.page_id or 0, r.text) for r in html_text.extract(frames.pages(spark, rows)).collect())
