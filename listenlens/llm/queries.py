@@ -97,7 +97,7 @@ OP9_SQL = r"""
 WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''),
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\x00', ' ', 'g'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 iw AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
 win AS (SELECT item_id, least(10, len(ws)) AS k, unnest(list_transform(range(1, len(ws) - least(10, len(ws)) + 2),
              lambda i: array_to_string(ws[i:i + least(10, len(ws)) - 1], ' '))) AS key FROM iw WHERE len(ws) > 0),
 ks AS (SELECT DISTINCT k FROM win),
@@ -105,7 +105,7 @@ dwin AS (SELECT r, k, i, array_to_string(ws[i:i + k - 1], ' ') AS key
          FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM dw, ks WHERE len(ws) >= k)),
 hit AS (SELECT dwin.r, dwin.i, dwin.k, win.item_id FROM dwin JOIN win USING (k, key)),
 words AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hit) GROUP BY r),
-items AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY r)
+items AS (SELECT r, count(DISTINCT item_id) + max((item_id IS NULL)::INT) AS n, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM dw LEFT JOIN words USING (r) LEFT JOIN items USING (r)

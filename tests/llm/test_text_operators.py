@@ -74,8 +74,8 @@ def brute_hits(text, items, window=10):
             for s in range(len(ws) - k + 1):
                 if ws[s:s + k] == iw[j:j + k]:
                     hit |= set(range(s, s + k))
-                    found.add(str(i))
-    return len(ws), len(hit), sorted(found)
+                    found.add(None if i is None else str(i))
+    return len(ws), len(hit), sorted(found, key=lambda x: (x is None, x or ""))
 
 
 def test_decontamination_on_awkward_rows(spark):
@@ -85,12 +85,12 @@ def test_decontamination_on_awkward_rows(spark):
              (7, frames.words(30, 9)), (7, frames.words(30, 9))]
     bench = frames.bench(spark, items)
     got = {(r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in decontam.contamination(docs, bench).collect()}
-    brute = [(r[0], brute_hits(r[1], [x for x in items if x[0] is not None])) for r in frames.edge_rows() if r[0] != 5]
+    brute = [(r[0], brute_hits(r[1], items)) for r in frames.edge_rows() if r[0] != 5]
     assert got == {(i, n, hit, tuple(found)) for i, (n, hit, found) in brute}
     clean = decontam.clean(docs, bench)
     assert clean.columns == docs.columns
     assert clean.count() == sum(1 for r in frames.edge_rows() if r[0] != 5
-                                and not brute_hits(r[1], [x for x in items if x[0] is not None])[1])
+                                and not brute_hits(r[1], items)[1])
     none = decontam.digest(decontam.contamination(docs, frames.bench(spark, []))).collect()
     assert {r.items_sha256 for r in none} == {hashlib.sha256(b"").hexdigest()}
     assert decontam.contamination(frames.no_docs(spark), bench).count() == 0
@@ -103,9 +103,31 @@ def test_hit_spans_lie_in_the_original_text(spark):
     assert [text[s.start:s.end] for s in r.spans] == ["Hund, (der) läuft - heute noch"]
 
 
-def test_too_large_a_benchmark_is_refused(spark):
-    with pytest.raises(ValueError):
-        decontam.contamination(frames.no_docs(spark), frames.bench(spark, [(1, "a b c d")]), max_words=3)
+@pytest.mark.parametrize("max_words", [3, 40, 120])
+def test_a_benchmark_over_the_limit_takes_several_automata(spark, max_words):
+    docs = frames.edge_docs(spark).filter("doc_id IS NULL OR doc_id <> 5")
+    same, long = frames.words(80, 2).split(), frames.words(60, 3)
+    bench = frames.bench(spark, [(1, " ".join(same[5:40])), (2, long), (3, "café 東京"), (None, frames.words(50, 4)), (4, ""), (4, None)])
+    key = lambda df: sorted(map(str, df.collect()))
+    assert len(decontam._ranges(bench, decontam.WINDOW, max_words)) > 1
+    assert key(decontam.contamination(docs, bench, max_words=max_words)) == key(decontam.contamination(docs, bench))
+    assert key(decontam.clean(docs, bench, max_words=max_words)) == key(decontam.clean(docs, bench))
+
+
+def test_items_without_an_id_contaminate(spark):
+    import duckdb
+    passage = frames.words(12, 77)
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, frames.words(30, 5)), (3, passage)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, frames.words(11, 6)), ("b", passage)], "item_id string, text string")
+    got = decontam.digest(decontam.contamination(docs, bench))
+    with duckdb.connect() as con:
+        con.register("documents", docs.toPandas())
+        con.register("benchmark", bench.toPandas())
+        want = con.sql(queries.OP9_SQL).fetchall()
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()) == sorted(want)
+    assert {r.doc_id: r.contaminated for r in got.collect()} == {1: True, 2: False, 3: True}
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [2]
+
 
 
 def test_language_id(spark):
