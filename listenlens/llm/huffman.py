@@ -203,12 +203,12 @@ class Coder:
     The vocabulary's splitter always starts a new piece at a blank that is
     followed by a non-blank, and around a lone line break, so a text's ids are
     those of its pieces in turn.  Texts with other white space, or some side by
-    side, go to the tokenizer whole.
+    side, or with a special token's name go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_break, = self.tokenizer.encode("\n", add_special_tokens=False).ids
         # the byte-level alphabet's sign for a blank, which pieces have in front only
         blank = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
@@ -227,6 +227,12 @@ class Coder:
         n_words = np.diff(word_off)
         odd = (np.diff(off) > 0) & (V.segment_sums(~_NOT_BETWEEN[data], off) != n_words - 1)
         odd |= V.segment_sums(_OTHER_SPACE[data], off) > 0
+        raw = data.tobytes()
+        for name in self.special:
+            at = raw.find(name)
+            while at >= 0:
+                odd[np.searchsorted(off, at, side="right") - 1] = True
+                at = raw.find(name, at + 1)
         if len(data) > 1:
             for a, b in _MAYBE_SPACE:
                 at = np.flatnonzero((data[:-1] == a) & (data[1:] == b))

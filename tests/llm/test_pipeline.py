@@ -54,7 +54,6 @@ def test_stages_against_brute_force(spark):
     assert ids(after) == sorted(i for i, n in copies.items() for _ in range(n))
 
     t = Tokenizer.from_file(public_tokenizers.path(huffman.TOKENIZER))
-    t.encode_special_tokens = True
     got = corpus_pipeline.run(spark, SF_SMALL).collect()
     want = sorted((r.doc_id, zlib.crc32(np.array(t.encode(r.text, add_special_tokens=False).ids + [0], "<u4").tobytes())) for r in after)
     assert sorted((r.doc_id, r.ids_crc32) for r in got) == want
