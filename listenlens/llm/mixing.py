@@ -8,10 +8,12 @@ convex dual by Newton steps, each one aggregate over (source, size, count) rows;
 a bracket that always holds the root catches steps that would leave it.  Rates
 become whole copies by carrying the rounding error from large to small documents
 in salted groups, so a source misses its target by less than half of a small text a group.
+Equal rows are one unit whose total is rounded; some of its rows then take one copy more
+than the others, so no row count is too large to round well.
 
 Defined cases: a null text has size 0, a rate of 1 and adds no words; null is a
 source of its own, last in order; rows that repeat an id with the same size and
-source are rounded together; an empty table gives an empty mix; other columns
+source are rounded together, and which of them take one copy more is left to chance; an empty table gives an empty mix; other columns
 are ignored.
 """
 
@@ -21,7 +23,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,8 @@ MAX_RATE = 2.0
 GROUP = 4096
 TOLERANCE = 1e-9
 MAX_STEPS = 60
+# rows of a unit that are made from one row at a time
+PIECE = 4096
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -104,6 +108,8 @@ def multipliers(docs: DataFrame, goal: DataFrame, max_rate: float = MAX_RATE) ->
                     (F.col("done") | F.col("met")).alias("done")), "mix-state")
         if state.filter("not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"{state.filter('not done').count()} sources did not reach their target in {MAX_STEPS} steps")
     whole = F.col("target") >= F.lit(max_rate) * F.col("source_size") * (1 - TOLERANCE)
     return (goal.join(state.select("key", "lam", "mean"), "key", "left")
             .withColumn("whole", whole & (F.col("source_size") > 0)))
@@ -118,33 +124,32 @@ def rates(docs: DataFrame, solved: DataFrame, max_rate: float = MAX_RATE) -> Dat
 
 
 def round_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Copies of one group's units, the error carried from large to small.
+    """Copies of one group's units in all, the error carried from large to small.
 
     What is left at the end is worked off by single copies, again from large to
     small, within 0 and the largest rate.
     """
     most = math.floor(MAX_RATE)
     pdf = pdf.sort_values(["size", "unit"], ascending=[False, True], kind="stable")
-    copies = np.zeros(len(pdf), dtype=np.int64)
+    rates, sizes, rows = pdf["rate"].to_numpy(), pdf["size"].to_numpy(), pdf["n"].to_numpy()
+    total = np.zeros(len(pdf), dtype=np.int64)
     carry = 0.0
-    for i, (rate, size) in enumerate(zip(pdf["rate"].to_numpy(), (pdf["size"] * pdf["n"]).to_numpy())):
+    for i, (rate, size, n) in enumerate(zip(rates, sizes, rows)):
         low = math.floor(rate + 1e-9)
+        total[i] = low * n
         if size and rate - low > 1e-9:
-            up = (rate - low) * size + carry >= size / 2
-            copies[i] = low + up
-            carry += (rate - copies[i]) * size
-        else:
-            copies[i] = low
-    for i, size in enumerate((pdf["size"] * pdf["n"]).to_numpy()):
+            total[i] = min(max(math.floor(n * rate + carry / size + 0.5), low * n), (low + 1) * n)
+            carry += (n * rate - total[i]) * size
+    for i, (size, n) in enumerate(zip(sizes, rows)):
         step = round(carry / size) if size and abs(carry) >= size / 2 else 0
-        step = min(max(step, -1, -copies[i]), 1, most - copies[i])
-        copies[i] += step
+        step = min(max(step, -n, -total[i]), n, most * n - total[i])
+        total[i] += step
         carry -= step * size
-    return pdf.assign(copies=copies)
+    return pdf.assign(total=total)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken: one row per document row."""
+def _rounded(docs: DataFrame, weights, share: float, max_rate: float) -> DataFrame:
+    """The units: doc_id, source, size, source_size, target, rate, n (equal rows), total (their copies)."""
     rows = sizes(docs)
     solved = store(multipliers(rows, targets(rows, weights, share, max_rate), max_rate), "mix-solved")
     units = (rates(rows, solved, max_rate)
@@ -153,20 +158,47 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: float
              .withColumn("unit", text_key("doc_id"))
              .withColumn("salt", F.pmod(F.xxhash64("unit", "size"),
                                         F.ceil(F.col("n_docs") / GROUP).cast("long"))))
-    schema = T.StructType([*units.schema.fields, T.StructField("copies", T.LongType())])
-    done = units.groupBy("key", "salt").applyInPandas(round_group, schema)
-    return (done.select("doc_id", "source", "size", "source_size", "target", "rate", "copies",
-                        (F.col("copies") * F.col("size")).alias("taken"),
-                        F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("row")).drop("row"))
+    schema = T.StructType([*units.schema.fields, T.StructField("total", T.LongType())])
+    return store(units.groupBy("key", "salt").applyInPandas(round_group, schema)
+                 .select("doc_id", "source", "size", "source_size", "target", "rate", "n", "total"), "mix-units")
+
+
+def _copies(place: str, total: str = "total", n: str = "n") -> Column:
+    """Copies of the unit's row of this place: even shares, the first rows one more."""
+    return F.floor(F.col(total) / F.col(n)) + (F.col(place) < F.col(total) % F.col(n)).cast("long")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken: one row per document row."""
+    units = _rounded(docs, weights, share, max_rate)
+    # a unit of many rows is dealt out in pieces
+    pieces = units.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))).alias("start"))
+    rows = pieces.repartition("doc_id", "size", "start").select(
+        "*", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + PIECE, F.col("n")) - 1)).alias("place"))
+    return rows.withColumn("copies", _copies("place")).select(
+        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def take(docs: DataFrame, **settings) -> DataFrame:
+def take(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
     """The mixed documents: every row as often as its copies say, all columns kept."""
-    names, (doc, source, size, copies) = docs.columns, fresh(docs, "_doc", "_source", "_size", "_copies")
-    chosen = (mix(docs, **settings).filter("copies > 0")
-              .select(text_key("doc_id").alias(doc), text_key("source").alias(source),
-                      F.col("size").alias(size), F.col("copies").alias(copies)).distinct())
-    keyed = docs.withColumns({doc: text_key("doc_id"), source: text_key("source"), size: word_count("text")})
-    return (keyed.join(chosen, [doc, source, size])
-            .select(*names, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies))
-            .select(*names))
+    names = docs.columns
+    unit = doc, source, size = fresh(docs, "_doc", "_source", "_size")
+    n, total, part, place, inside, copies = fresh(docs, "n", "total", "_part", "_place", "_inside", "_copies")
+    units = _rounded(docs, weights, share, max_rate).filter("total > 0").select(
+        text_key("doc_id").alias(doc), text_key("source").alias(source), F.col("size").alias(size),
+        F.col("n").alias(n), F.col("total").alias(total))
+    keyed = docs.withColumns({doc: text_key("doc_id"), source: text_key("source"), size: word_count("text")}).join(units, unit)
+    share_of = F.floor(F.col(total) / F.col(n)) + (F.col(place) < F.col(total) % F.col(n)).cast("long")
+    single = keyed.filter(F.col(n) == 1).withColumn(copies, F.col(total))
+    if not units.filter(F.col(n) > 1).isEmpty():
+        # equal rows are numbered by the file part they are stored in, so a unit is never in one task
+        many = store(keyed.filter(F.col(n) > 1).withColumn(part, F.spark_partition_id()), "mix-repeated", "zstd")
+        earlier = Window.partitionBy(*unit).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        before = (many.groupBy(*unit, part).agg(F.count(F.lit(1)).alias(inside))
+                  .withColumn(place, F.coalesce(F.sum(inside).over(earlier), F.lit(0))).drop(inside))
+        here = Window.partitionBy(*unit, part).orderBy(inside)
+        numbered = (many.withColumn(inside, F.expr("_metadata.row_index")).withColumn(inside, F.row_number().over(here) - 1)
+                    .join(before, [*unit, part]).withColumn(place, F.col(place) + F.col(inside)))
+        single = single.select(*names, copies).unionByName(numbered.withColumn(copies, _copies(place, total, n)).select(*names, copies))
+    return (single.filter(F.col(copies) > 0)
+            .select(*names, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copies)).select(*names))

@@ -41,7 +41,6 @@ def test_limited_lengths_are_optimal():
 
 def brute_ids(rows):
     t = Tokenizer.from_file(public_tokenizers.path(huffman.TOKENIZER))
-    t.encode_special_tokens = True
     return [np.array(t.encode(x or "", add_special_tokens=False).ids + [0], dtype="<u4") for x in rows]
 
 
@@ -57,7 +56,7 @@ def test_ids_read_back_are_the_tokenizers(spark):
 
 def test_ids_of_awkward_rows(spark):
     rows = frames.edge_rows()
-    extra = [(20, " a  b\n\n c\td "), (21, "it's <|endoftext|> here"), (22, " x y z"), (23, "\r\nx\x1cy"), (24, "end\n")]
+    extra = [(20, " a  b\n\n c\td "), (21, "it's <|endoftext|> here"), (25, "hello <|endoftext|> world"), (26, "<|endoftext|><|endoftext|>x"), (27, "a<|endoftext|>\nb <|endoftext"), (22, " x y z"), (23, "\r\nx\x1cy"), (24, "end\n")]
     texts = [(r[0], r[1]) for r in rows] + extra
     docs = spark.createDataFrame([(i, t, *["x"] * (len(frames.DOCS) - 2)) for i, t in texts],
                                  frames.T.StructType([*frames.DOCS.fields[:2], *[frames.T.StructField(f.name, frames.T.StringType())
@@ -106,6 +105,34 @@ def test_mix_meets_its_targets(spark, sf):
     assert again == {(r.doc_id, r.taken) for r in rows}
 
 
+def test_one_repeated_row_meets_its_target(spark):
+    # two thirds of the rows are one row; in the second source a row without an id
+    rows = [(1, frames.words(30, 1), "a")] * 6000 + [(i, frames.words(10 + i % 40, i % 50), "a") for i in range(2, 3002)]
+    rows += [(None, frames.words(20, 2), "b")] * 5000 + [(9000 + i, frames.words(25, i % 7), "b") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(docs, weights=(3.0, 2.0)).collect()
+    assert len(got) == len(rows)
+    for source in ("a", "b"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) < 0.01 * own[0].target
+        assert all(0 <= r.taken <= 2 * r.size for r in own)
+    again = sorted((str(r.doc_id), r.taken) for r in mixing.mix(docs.repartition(7), weights=(3.0, 2.0)).collect())
+    assert again == sorted((str(r.doc_id), r.taken) for r in got)
+    counts = {}
+    for r in mixing.take(docs, weights=(3.0, 2.0)).select("doc_id").collect():
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+    copies = {}
+    for r in got:
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + r.copies
+    assert counts == {k: v for k, v in copies.items() if v}
+
+
+def test_sources_that_do_not_converge_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.mix(table(spark, SF_SMALL, "documents"))
+
+
 def test_rates_are_exponential_tilts(spark):
     rows = [r for r in mixing.mix(table(spark, SF_SMALL, "documents")).collect() if r.size]
     by = {}
