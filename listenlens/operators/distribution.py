@@ -41,13 +41,17 @@ def value_counts(df: DataFrame, keys=None, features=None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def quantiles(counts: DataFrame, group: list[str], qs: list[float], buckets: int = 64) -> DataFrame:
+def quantiles(counts: DataFrame, group: list[str], qs: list[float], buckets: int = 64,
+              written: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles of value counts: (group, q array, count).
 
+    ``written``: the counts are a written table already.
+
     Values are cut into buckets at approximate bounds; bucket totals tell which
     buckets hold the wanted ranks, and only those are ranked, each on its own.
     """
-    counts = materialize(counts, "value-counts")
+    if not written:
+        counts = materialize(counts, "value-counts")
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     # written once: approximate bounds must not change if a stage is run again
     bounds = materialize(counts.groupBy(*group).agg(F.percentile_approx("value", probs, 1000).alias("_bounds"),
@@ -115,9 +119,7 @@ def histogram(df: DataFrame, keys=None, features=None, bins: int = 30) -> DataFr
             .drop("lo", "hi"))
 
 
-def _quartiles():
-    """Quartiles of value counts: the buffer holds a feature's distinct values."""
-    return F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 def describe(df: DataFrame, keys=None, features=None) -> DataFrame:
@@ -129,13 +131,14 @@ def describe(df: DataFrame, keys=None, features=None) -> DataFrame:
     keys = as_keys(keys)
     features = features or [c for c in (*C.AUDIO_FEATURES, "popularity", "duration_ms") if c in df.columns]
     g = [*keys, "feature"]
-    counts = value_counts(df, keys, features)
+    counts = materialize(value_counts(df, keys, features), "describe-counts")
     out = counts.groupBy(*g).agg(
         F.sum("n").alias("count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"), _quartiles().alias("_q"), F.max("value").alias("max"))
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    q = quantiles(counts, g, QUARTILES, written=True).select(*g, F.col("q").alias("_q"))
     spread = (counts.join(out.select(*g, "mean"), g).groupBy(*g)
               .agg(F.sum((F.col("value") - F.col("mean")) ** 2 * F.col("n")).alias("_ss")))
-    return (out.join(spread, g)
+    return (out.join(spread, g).join(q, g)
             .withColumns({"std": F.when(F.col("count") > 1, F.sqrt(F.col("_ss") / (F.col("count") - 1))),
                           "p25": F.col("_q")[0], "p50": F.col("_q")[1], "p75": F.col("_q")[2]})
             .select(*g, "count", "mean", "std", "min", "max", "p25", "p50", "p75"))
@@ -145,10 +148,9 @@ def box_stats(df: DataFrame, keys=None, features=None) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers (extreme points inside), outliers, min, max."""
     keys = as_keys(keys)
     g = [*keys, "feature"]
-    counts = value_counts(df, keys, features or BOX_FEATURES)
-    q = (counts.groupBy(*g).agg(_quartiles().alias("_q"))
-         .select(*g, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3")))
+    counts = materialize(value_counts(df, keys, features or BOX_FEATURES), "box-counts")
+    q = quantiles(counts, g, QUARTILES, written=True).select(
+        *g, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({
         "lower_fence": F.col("q1") - 1.5 * F.col("iqr"),
         "upper_fence": F.col("q3") + 1.5 * F.col("iqr")})
@@ -232,3 +234,19 @@ def mood_scatter(df: DataFrame, keys=None, n: int = 500) -> DataFrame:
     s = bounded_sample(df, n, keys)
     return s.select(*keys, "add_id", "track_name", "artist_name", "energy", "valence",
                     "danceability", "popularity", C.mood_quadrant().alias("mood"))
+
+
+# The feature pairs of the scatter matrix, and those drawn against popularity.
+PAIR_FEATURES = ["energy", "valence", "danceability", "acousticness"]
+
+
+def pair_points(df: DataFrame, keys=None, n: int = 500, features=None, against: str = "popularity") -> DataFrame:
+    """The points of a scatter matrix, long form: every pair of ``features``, and each
+    of them with ``against``, on min(n, group size) sampled rows (as in B18)."""
+    keys = as_keys(keys)
+    features = features or PAIR_FEATURES
+    point = lambda a, b: F.struct(F.lit(a).alias("x_feature"), F.lit(b).alias("y_feature"),
+                                  F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+    pairs = [*combinations(features, 2), *[(f, against) for f in features]]
+    return bounded_sample(df, n, keys).select(
+        *keys, "add_id", C.mood_quadrant().alias("mood"), F.inline(F.array(*[point(a, b) for a, b in pairs])))

@@ -8,7 +8,7 @@ the map side before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listenlens.functions import columns as C
@@ -29,11 +29,14 @@ def listening_stats(df: DataFrame, keys=None, approx_distinct: bool = False) ->
     ``approx_distinct`` swaps the exact distinct counts (an Expand + two-level
     aggregation) for HyperLogLog++ sketches at 1% relative error.
     """
-    keys = as_keys(keys)
+    return df.groupBy(*as_keys(keys)).agg(*_listening_measures(df, approx_distinct))
+
+
+def _listening_measures(df: DataFrame, approx_distinct: bool) -> list[Column]:
     has_ms = "duration_ms" in df.columns
     total_ms = (F.sum("duration_ms") if has_ms
                 else F.count(F.lit(1)) * F.lit(C.DEFAULT_DURATION_MIN * 60000))
-    return df.groupBy(*keys).agg(
+    return [
         F.count(F.lit(1)).alias("total_tracks"),
         _distinct("artist_name", approx_distinct).alias("total_artists"),
         _distinct("album_name", approx_distinct).alias("total_albums"),
@@ -45,23 +48,17 @@ def listening_stats(df: DataFrame, keys=None, approx_distinct: bool = False) ->
         F.count_if(F.col("explicit")).alias("explicit_tracks"),
         C.round_half_up(_ratio("explicit") * 100, 1).alias("explicit_percentage"),
         C.round_half_up(F.avg("popularity"), 1).alias("avg_popularity"),
-    )
+    ]
 
 
-def listening_stats_both_grains(df: DataFrame, key: str = "user_id") -> DataFrame:
-    """The D1 measures per listener and overall in one pass (grouping sets).
+def listening_stats_both_grains(df: DataFrame, key: str = "user_id", approx_distinct: bool = False) -> DataFrame:
+    """All D1 measures per listener and overall in one pass (grouping sets).
 
     ``grain`` is 'user' or 'all'; the overall row carries key -1 (a non-null key
     keeps the column's integer type through every consumer).
     """
-    total_ms = F.sum("duration_ms")
     return (df.groupingSets([[key], []], key).agg(
-        F.grouping_id().alias("_gid"),
-        F.count(F.lit(1)).alias("total_tracks"),
-        F.count_distinct("artist_name").alias("total_artists"),
-        C.round_half_up(total_ms / F.lit(3600000.0), 1).alias("total_hours"),
-        F.count_if(F.col("explicit")).alias("explicit_tracks"),
-        C.rq(F.avg("popularity")).alias("avg_popularity"),
+        F.grouping_id().alias("_gid"), *_listening_measures(df, approx_distinct),
     ).withColumn("grain", F.when(F.col("_gid") == 0, "user").otherwise("all"))
      .withColumn(key, F.when(F.col("_gid") == 0, F.col(key)).otherwise(F.lit(-1).cast("long")))
      .drop("_gid"))
@@ -186,3 +183,29 @@ def stats_summary(df: DataFrame, keys=None) -> DataFrame:
     d1 = listening_stats(df, keys).drop("total_tracks", "total_artists", "avg_popularity")
     d2 = user_features(df, keys)
     return join_on_keys(d1, d2, keys)
+
+
+def profile_summary(df: DataFrame, keys=None) -> DataFrame:
+    """D25 with its top artist and dominant mood: one row per key group.
+
+    The dominant mood is the most frequent energy/valence quadrant (ties by name); a
+    group without artist names has a null top artist and a count of 0.
+    """
+    keys = as_keys(keys)
+    artist = top_artists(df, keys, n=1).select(
+        *keys, F.col("artist_name").alias("top_artist"), F.col("track_count").alias("top_artist_tracks"))
+    mood = (df.groupBy(*keys, C.mood_quadrant().alias("mood")).agg(F.count(F.lit(1)).alias("n"))
+            .groupBy(*keys).agg(_modal("mood").alias("dominant_mood"), F.max("n").alias("_n"), F.sum("n").alias("_all"))
+            .withColumn("dominant_mood_percentage", F.col("_n") / F.col("_all") * 100).drop("_n", "_all"))
+    out = join_on_keys(stats_summary(df, keys), mood, keys)
+    return join_on_keys(out, artist, keys, "left").withColumn("top_artist_tracks", F.coalesce("top_artist_tracks", F.lit(0)))
+
+
+def top_artist_card(df: DataFrame, keys=None) -> DataFrame:
+    """The first artist of each key group as shown on a card: name in capitals, track
+    count, and the line with the first word of the name.  A name without a word
+    gives an empty first word."""
+    first = F.regexp_extract("artist_name", r"\S+", 0)
+    return top_artists(df, keys, n=1).select(
+        *as_keys(keys), F.upper("artist_name").alias("headline"), "track_count",
+        F.concat(F.lit("You were in your "), first, F.lit(" era ✨")).alias("fun_text"))

@@ -234,3 +234,12 @@ def similar_vectors(vecs: DataFrame, id_col: str, vec_col: str = "embedding", n:
     mine = numbers.select(F.col("_key").alias(id_col), "id")
     other = numbers.select(F.col("_key").alias(f"similar_{id_col}"), F.col("id").alias("other_id"))
     return best.join(mine, "id").join(other, "other_id").select(id_col, f"similar_{id_col}", "similarity", "rank")
+
+
+def listener_profiles(model: TasteModel, n: int = 10) -> DataFrame:
+    """Taste profile of each listener's factors plus the ``n`` most similar listeners."""
+    uf = model.user_factors
+    sim = similar_vectors(uf, "user_id", n=n)
+    nested = sim.groupBy("user_id").agg(F.array_sort(F.collect_list(
+        F.struct("rank", "similar_user_id", "similarity"))).alias("similar_users"))
+    return taste_profile(uf, "user_id").drop("embedding_vector").join(nested, "user_id", "left")

@@ -196,3 +196,16 @@ SELECT add_id, {_POINTS} FROM enriched ORDER BY md5(add_id || '-42'), add_id LIM
 def q_mood_scatter_all(spark, sf_dir):
     """B18 + B19 on the whole frame: the reference's 500 sampled points."""
     return D.mood_scatter(_enriched(spark, sf_dir), keys=[], n=500)
+
+
+_PAIRS = [*combinations(D.PAIR_FEATURES, 2), *[(f, "popularity") for f in D.PAIR_FEATURES]]
+
+
+@register("feature_pair_points", with_enriched() + f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5(add_id || '-42'), add_id) AS rank FROM enriched),
+s AS (SELECT *, {_MOOD} AS mood FROM r WHERE rank <= 25)
+""" + "\nUNION ALL ".join(f"""SELECT user_id, add_id, mood, '{a}' AS x_feature, '{b}' AS y_feature,
+  CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM s""" for a, b in _PAIRS))
+def q_feature_pair_points(spark, sf_dir):
+    """Scatter matrix and popularity points of 25 sampled rows per listener."""
+    return D.pair_points(_enriched(spark, sf_dir), n=25)

@@ -16,11 +16,16 @@ from listenlens.operators import personality as PE
 from listenlens.operators import profile as P
 from listenlens.operators import recommend as R
 from listenlens.operators import taste as TA
+from listenlens.operators import training as TR
 from listenlens.operators.common import materialize
 from listenlens.operators.enrich import cleaned_tracks, enriched
 from listenlens.operators.forest import NODES
 from listenlens.plans.catalog import register, round_doubles
+from listenlens.plans.q_personality import TYPES_CTE
+from listenlens.plans.q_profile import D2_CTES
+from listenlens.plans.q_taste import WEIGHT_SQL
 from listenlens.plans.sqltext import rq, with_enriched
+from listenlens.session import scratch_path
 from listenlens.sources.fixtures import Views
 
 # Model settings of the registered queries: the reference's values.
@@ -372,18 +377,78 @@ def q_training_report(spark, sf_dir):
 def q_als_taste_profiles(spark, sf_dir):
     """J5 (I9, I11, I12): taste profile of each listener's ALS factors plus its
     10 most similar listeners (exact cosine)."""
-    tm = taste_model(spark, sf_dir)
-    uf = tm.user_factors
-    prof = TA.taste_profile(uf, "user_id").drop("embedding_vector")
-    sim = TA.similar_vectors(uf, "user_id", n=10)
-    nested = sim.groupBy("user_id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", "similar_user_id", "similarity"))).alias("similar_users"))
-    return prof.join(nested, "user_id", "left")
+    return TA.listener_profiles(taste_model(spark, sf_dir))
 
 
 @register("recap_report")
 def q_recap_report(spark, sf_dir):
-    """One nested recap row per listener (flat parts are checked by their own oracles)."""
+    """One nested recap row per listener (its parts are checked by their own oracles)."""
     from listenlens.plans.report import recap
+    _, tracks, lib = _ctx(spark, sf_dir)
+    probs = materialize(genre_model(spark, sf_dir).predict(tracks), "genre-probabilities")
+    return recap(lib, mood_model=mood_model(spark, sf_dir), genre_probs=probs, taste=taste_model(spark, sf_dir),
+                 candidates=tracks)
+
+
+@register("recap_rules", with_enriched() + D2_CTES + TYPES_CTE + _PARTS + f"""
+, open AS (SELECT f.* FROM final f WHERE NOT EXISTS (SELECT 1 FROM enriched e WHERE e.user_id = f.user_id AND e.track_id = f.track_id)),
+ranked AS (SELECT user_id, {rq('score')} AS score, row_number() OVER (PARTITION BY user_id ORDER BY {rq('score')} DESC, track_id) AS rk FROM open),
+rec AS (SELECT user_id, least(count(*), 10) AS recommendations, max(CASE WHEN rk = 1 THEN score END) AS best_score,
+               max(CASE WHEN rk = 10 THEN score END) AS tenth_score FROM ranked GROUP BY user_id),
+kc AS (SELECT user_id, key, count(*) AS n FROM enriched GROUP BY user_id, key),
+km AS (SELECT user_id, arg_min(key, (-n, key)) AS most_common_key FROM kc GROUP BY user_id),
+st AS (SELECT user_id, count(*) AS total_tracks, {rq('avg(tempo)')} AS avg_tempo,
+              count(DISTINCT strftime(added_at, '%Y-%m')) AS months, avg(energy) AS e, avg(valence) AS v FROM enriched GROUP BY user_id),
+dr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY percentage DESC, mood) AS rk FROM dist),
+md AS (SELECT user_id, string_agg(mood, '|' ORDER BY rk) AS moods, {rq('max(percentage)')} AS dominant_percentage FROM dr GROUP BY user_id),
+gp AS (SELECT user_id, count(*) AS genres, {rq('sum(score)')} AS genre_scores FROM gv GROUP BY user_id)
+SELECT st.user_id, total_tracks, avg_tempo, most_common_key, months, type_id, moods, dominant_percentage,
+       CAST(2 + (e > 0.7 OR e < 0.4)::INT + (v > 0.6 OR v < 0.4)::INT AS INTEGER) AS mood_insights,
+       CAST(genres AS INTEGER) AS genres, genre_scores,
+       CAST(recommendations AS INTEGER) AS recommendations, best_score, tenth_score
+FROM st JOIN km USING (user_id) JOIN ty USING (user_id) JOIN md USING (user_id)
+LEFT JOIN gp USING (user_id) LEFT JOIN rec USING (user_id)
+""")
+def q_recap_rules(spark, sf_dir):
+    """J1 + J5 with quadrant moods and 0/1 tags: figures read out of every section of the nested row."""
+    from listenlens.plans.report import recap
+    _, tracks, lib = _ctx(spark, sf_dir)
+    row = recap(lib, mood_model=M.QuadrantMood(), genre_probs=G.genre_tags(tracks), candidates=tracks)
+    genres = F.col("genre_profile.genre_distribution")
+    return round_doubles(row.select(
+        "user_id", "recap_stats.total_tracks", "recap_stats.avg_tempo", "recap_stats.most_common_key",
+        F.size("monthly").cast("long").alias("months"), "personality.type_id",
+        F.array_join("mood_profile.distribution.mood", "|").alias("moods"), "mood_profile.dominant_percentage",
+        F.size("mood_profile.insights").alias("mood_insights"), F.size(genres).alias("genres"),
+        F.aggregate(genres["score"], F.lit(0.0), lambda a, x: a + x).alias("genre_scores"),
+        F.size("recommendations").alias("recommendations"),
+        F.col("recommendations")[0]["score"].alias("best_score"), F.col("recommendations")[9]["score"].alias("tenth_score")))
+
+
+@register("mood_profile")
+def q_mood_profile(spark, sf_dir):
+    """One row per listener with distribution, insights and cluster profiles."""
     _, _, lib = _ctx(spark, sf_dir)
-    return recap(lib, mood_model=mood_model(spark, sf_dir))
+    return M.mood_profile(mood_model(spark, sf_dir), lib)
+
+
+@register("training_run", with_enriched("interactions") + f"""
+, typed AS (SELECT user_id, track_id, count,
+                   CASE WHEN interaction_type = 'listen' AND duration_ms < 30000 THEN 'skip'
+                        ELSE interaction_type END AS t FROM interactions),
+matrix AS (SELECT user_id, track_id, sum({WEIGHT_SQL} * count) AS score FROM typed GROUP BY user_id, track_id),
+pos AS (SELECT * FROM matrix WHERE score > 0)
+SELECT (SELECT count(*) FROM clean_tracks2) AS tracks_count, {ALS_RANK} AS factors,
+       (SELECT count(DISTINCT user_id) FROM pos) AS users, (SELECT count(DISTINCT track_id) FROM pos) AS tracks,
+       {MOOD_K} AS clusters, true AS fitted, {RF_TREES}::BIGINT AS estimators,
+       (SELECT count(DISTINCT g)::INT FROM (SELECT unnest(genres_list) AS g FROM clean_tracks2)) AS genres
+""")
+def q_training_run(spark, sf_dir):
+    """I26 + A7: every model written, read back and reported as JSON; the report's figures."""
+    _, tracks, _ = _ctx(spark, sf_dir)
+    folder = scratch_path(spark, "training-run")
+    TR.save_models(TR.Models(mood_model(spark, sf_dir), genre_model(spark, sf_dir), taste_model(spark, sf_dir)), folder)
+    report = TR.write_training_report(TR.load_models(spark, folder), tracks, f"{folder}/report")
+    return report.select("tracks_count", "models.taste_matcher.factors", "models.taste_matcher.users",
+                         "models.taste_matcher.tracks", "models.mood_analyzer.clusters", "models.mood_analyzer.fitted",
+                         "models.genre_classifier.estimators", "models.genre_classifier.genres")

@@ -197,6 +197,9 @@ SELECT u.user_id, ty.type_id,
          || {_int_pct('u.avg_energy')} || '% energetic, and ' || {_int_pct('u.avg_valence')} || '% happy!'
     WHEN 'night_owl' THEN 'You add ' || {_int_pct('u.night_listener_ratio')} || '% of your music between 10PM-6AM 🌙'
     WHEN 'explorer' THEN 'You explore ' || CAST(coalesce(u.total_genres, 0) AS VARCHAR) || ' different genres - that''s variety!'
+    WHEN 'loyalist' THEN 'You come back to ' || {_int_pct('u.repeat_artist_ratio')} || '% of your artists - you know what you love!'
+    WHEN 'chill_seeker' THEN 'Your music is ' || {_int_pct('u.avg_acousticness')} || '% acoustic and only '
+         || {_int_pct('u.avg_energy')} || '% energetic - you keep it mellow'
     ELSE 'Your happiness ranges widely - you ride the emotional waves' END AS why
 FROM user_features u JOIN ty ON u.user_id = ty.user_id
 """)
@@ -235,6 +238,18 @@ def summary_card(e, uf, keys=("user_id",)):
                       "type_name", "emoji")
 
 
+@register("top_artist_card", with_enriched() + """
+, a AS (SELECT user_id, artist_name, count(*) AS n FROM enriched WHERE artist_name IS NOT NULL GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, artist_name) AS rk FROM a)
+SELECT user_id, upper(artist_name) AS headline, n AS track_count,
+       'You were in your ' || regexp_extract(artist_name, '\\S+') || ' era ✨' AS fun_text
+FROM t WHERE rk = 1
+""")
+def q_top_artist_card(spark, sf_dir):
+    """The first artist's card per listener (capitals, first word)."""
+    return P.top_artist_card(enriched(Views(spark, sf_dir)))
+
+
 @register("top5_artist_bars", with_enriched() + f"""
 , a AS (SELECT user_id, artist_name, count(*) AS track_count FROM enriched WHERE artist_name IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY track_count DESC, artist_name) AS INTEGER) AS rank FROM a),

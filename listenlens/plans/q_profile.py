@@ -14,9 +14,7 @@ def _enriched(spark, sf_dir):
     return enriched(Views(spark, sf_dir))
 
 
-D1_BODY = f"""
-SELECT user_id,
-       count(*) AS total_tracks,
+_D1_MEASURES = f"""count(*) AS total_tracks,
        count(DISTINCT artist_name) AS total_artists,
        count(DISTINCT album_name) AS total_albums,
        {rh('sum(duration_ms) / 3600000.0', 1)} AS total_hours,
@@ -26,7 +24,9 @@ SELECT user_id,
        coalesce(strftime(max(added_at), '%Y-%m-%d'), 'N/A') AS date_range_end,
        CAST(count_if(explicit) AS BIGINT) AS explicit_tracks,
        {rh('avg(CAST(explicit AS DOUBLE)) * 100', 1)} AS explicit_percentage,
-       {rh('avg(popularity)', 1)} AS avg_popularity
+       {rh('avg(popularity)', 1)} AS avg_popularity"""
+D1_BODY = f"""
+SELECT user_id, {_D1_MEASURES}
 FROM enriched GROUP BY user_id
 """
 
@@ -186,17 +186,36 @@ def q_stats_summary(spark, sf_dir):
     return round_doubles(out.drop(*[c for c in out.columns if c in ()]))
 
 
+@register("profile_summary", with_enriched() + D2_CTES + f"""
+, d1 AS ({D1_BODY}),
+ac AS (SELECT user_id, artist_name, count(*) AS n FROM enriched WHERE artist_name IS NOT NULL GROUP BY ALL),
+ta AS (SELECT user_id, arg_min(artist_name, (-n, artist_name)) AS top_artist, max(n) AS top_artist_tracks
+       FROM ac GROUP BY user_id),
+mc AS (SELECT user_id, CASE WHEN energy > 0.5 AND valence > 0.5 THEN 'Happy & Energetic'
+              WHEN energy > 0.5 THEN 'Angry & Intense' WHEN valence > 0.5 THEN 'Peaceful & Happy'
+              ELSE 'Sad & Calm' END AS mood, count(*) AS n FROM enriched GROUP BY ALL),
+dm AS (SELECT user_id, arg_min(mood, (-n, mood)) AS dominant_mood,
+              {s6('max(n) / sum(n) * 100')} AS dominant_mood_percentage FROM mc GROUP BY user_id)
+SELECT d1.user_id, {", ".join("d1." + c for c in _D1_NO_OVERLAP)},
+       {", ".join((s6("u." + c) + " AS " + c) if c in USER_FEATURE_DOUBLES else "u." + c
+                  for c in USER_FEATURE_COLS[1:])},
+       dominant_mood, dominant_mood_percentage, top_artist, coalesce(top_artist_tracks, 0) AS top_artist_tracks
+FROM d1 JOIN user_features u ON d1.user_id = u.user_id JOIN dm ON d1.user_id = dm.user_id
+LEFT JOIN ta ON d1.user_id = ta.user_id
+""")
+def q_profile_summary(spark, sf_dir):
+    """The printed summary, with top artist and dominant mood."""
+    return round_doubles(P.profile_summary(_enriched(spark, sf_dir)))
+
+
 @register("listening_stats_grains", with_enriched() + f"""
 SELECT CASE WHEN grouping(user_id) = 0 THEN user_id ELSE -1 END AS user_id,
        CASE WHEN grouping(user_id) = 0 THEN 'user' ELSE 'all' END AS grain,
-       count(*) AS total_tracks, count(DISTINCT artist_name) AS total_artists,
-       {rh('sum(duration_ms) / 3600000.0', 1)} AS total_hours,
-       CAST(count_if(explicit) AS BIGINT) AS explicit_tracks,
-       {s6('avg(popularity)')} AS avg_popularity
+       {_D1_MEASURES}
 FROM enriched GROUP BY GROUPING SETS ((user_id), ())
 """)
 def q_listening_stats_grains(spark, sf_dir):
-    """Per listener and overall in one pass."""
+    """All D1 measures per listener and overall in one pass."""
     return P.listening_stats_both_grains(_enriched(spark, sf_dir))
 
 

@@ -6,11 +6,11 @@ from listenlens.plans.catalog import register, round_doubles
 from listenlens.plans.q_taste import WEIGHT_SQL
 from listenlens.plans.sqltext import oracle_ctes, rq
 from listenlens.sources.fixtures import TRACKS_SQL, Views
-from listenlens.streaming.interactions import run_interaction_stream
+from listenlens.streaming.interactions import run_interaction_latest, run_interaction_stream
 from listenlens.streaming.track_import import run_track_import
 
 
-@register("stream_interaction_windows", oracle_ctes("interactions") + f"""
+_WINDOWS = oracle_ctes("interactions") + f"""
 , typed AS (SELECT user_id, track_id, count, ts,
                    CASE WHEN interaction_type = 'listen' AND duration_ms < 30000 THEN 'skip'
                         ELSE interaction_type END AS t FROM interactions),
@@ -19,7 +19,12 @@ b AS (SELECT user_id, track_id, date_trunc('day', ts) AS ws, sum({WEIGHT_SQL} *
 SELECT user_id, track_id, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
        {rq('score')} AS score, interactions
-FROM b WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM interactions) - INTERVAL 1 HOUR
+FROM b
+"""
+
+
+@register("stream_interaction_windows", _WINDOWS + """
+WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM interactions) - INTERVAL 1 HOUR
 """)
 def q_stream_interaction_windows(spark, sf_dir):
     """K1: daily weighted scores from the event file stream; closed windows only."""
@@ -27,6 +32,13 @@ def q_stream_interaction_windows(spark, sf_dir):
     return round_doubles(run_interaction_stream(spark, sf_dir, n_tracks))
 
 
+@register("stream_interaction_latest", _WINDOWS)
+def q_stream_interaction_latest(spark, sf_dir):
+    """K1: the same scores with the windows that are still open."""
+    n_tracks = Views(spark, sf_dir).n_tracks
+    return round_doubles(run_interaction_latest(spark, sf_dir, n_tracks))
+
+
 @register("stream_track_import", oracle_ctes("tracks") + """
 SELECT track_id, track_uri, track_name, artist_name, album_name, genres, release_date, popularity
 FROM tracks

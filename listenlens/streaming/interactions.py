@@ -5,7 +5,9 @@ tumbling ``window`` -> ``sum``.  Every event counts, as in the batch matrix (D23
 a source that may deliver an event twice names its id column, and events with an
 id seen within the watermark are dropped.
 Append mode emits a window once the watermark passes its end; late rows
-are dropped.  Checkpoints and output live under ``spark.checkpoint.dir``.
+are dropped.  ``run_interaction_latest`` uses update mode instead: every batch writes
+the windows it changed, so windows still open are part of the result.
+Checkpoints and output live under ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listenlens.functions import columns as C
-from listenlens.session import scratch_path
+from listenlens.session import path_exists, scratch_path
 
 
 def interactions_from_events(events: DataFrame, n_tracks: int) -> DataFrame:
@@ -70,12 +72,7 @@ def run_interaction_stream(spark: SparkSession, events_dir: str, n_tracks: int,
     the rate limit when one is given) and return the emitted (closed) windows read
     back from the Parquet sink."""
     use_rocksdb_state(spark)
-    schema = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
-              "value double, props string")
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.parquet(events_dir)
+    src = _event_files(spark, events_dir, file_glob, max_files_per_trigger)
     out = out or scratch_path(spark, "k1-windows")
     q = (windowed_scores(interactions_from_events(src, n_tracks), window, watermark)
          .writeStream.outputMode("append").format("parquet")
@@ -83,3 +80,42 @@ def run_interaction_stream(spark: SparkSession, events_dir: str, n_tracks: int,
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{out}/data")
+
+
+def _event_files(spark: SparkSession, events_dir: str, file_glob: str, max_files_per_trigger: int | None) -> DataFrame:
+    schema = ("event_id long, ts timestamp_ntz, user_id long, event_type string, "
+              "value double, props string")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(events_dir)
+
+
+def run_interaction_latest(spark: SparkSession, events_dir: str, n_tracks: int, window: str = "1 day",
+                           watermark: str = "1 hour", file_glob: str = "events*.parquet", out: str | None = None,
+                           max_files_per_trigger: int | None = None) -> DataFrame:
+    """K1 with its open windows: the latest score of every window.
+
+    Each micro-batch writes the windows it changed into its own folder with overwrite,
+    so a retried batch replaces its own output; a window's row is that of its last
+    batch.  State is bounded as in append mode: windows the watermark has passed leave it,
+    and rows later than that are dropped.  Called again with the same ``out``, the stream
+    goes on from its checkpoint with the files that are new.  No input gives no rows.
+    """
+    use_rocksdb_state(spark)
+    src = _event_files(spark, events_dir, file_glob, max_files_per_trigger)
+    out = out or scratch_path(spark, "k1-latest")
+    scores = windowed_scores(interactions_from_events(src, n_tracks), window, watermark)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+
+    q = (scores.writeStream.outputMode("update").foreachBatch(keep)
+         .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if not path_exists(spark, f"{out}/data"):
+        return spark.createDataFrame([], scores.schema)
+    last = F.max_by(F.struct("score", "interactions"), "batch")
+    return (spark.read.parquet(f"{out}/data")
+            .groupBy("user_id", "track_id", "window_start", "window_end").agg(last.alias("_last"))
+            .select("user_id", "track_id", "window_start", "window_end", "_last.*"))
