@@ -107,11 +107,11 @@ def user_features(df: DataFrame, keys=None, with_valence_variance: bool = False)
     return out.select(
         *keys, *[f"avg_{c}" for c in feats],
         F.coalesce(F.col("total_genres"), F.lit(0)).alias("total_genres"),
-        F.coalesce(F.col("total_genres") / F.col("_tags"), F.lit(0.0)).alias("genre_diversity"),
+        F.coalesce(F.try_divide("total_genres", "_tags"), F.lit(0.0)).alias("genre_diversity"),
         F.coalesce(F.col("top_genre"), F.lit("unknown")).alias("top_genre"),
-        F.coalesce(F.col("_top_n") / F.col("_tags") * 100, F.lit(0.0)).alias("top_genre_percentage"),
+        F.coalesce(F.try_divide("_top_n", "_tags") * 100, F.lit(0.0)).alias("top_genre_percentage"),
         "night_listener_ratio", "weekend_ratio",
-        F.coalesce(F.col("_repeat") / F.col("total_artists"), F.lit(0.0)).alias("repeat_artist_ratio"),
+        F.coalesce(F.try_divide("_repeat", "total_artists"), F.lit(0.0)).alias("repeat_artist_ratio"),
         "explicit_ratio", "total_tracks",
         F.coalesce(F.col("total_artists"), F.lit(0)).alias("total_artists"),
         "avg_popularity", "avg_duration_min",

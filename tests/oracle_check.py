@@ -87,7 +87,7 @@ if __name__ == "__main__":
     STRICT = "--strict" in sys.argv
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     names = args[1:]
-    spark = get_session("local[8]", shuffle_partitions=8)
+    spark = get_session("local[8]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     qs, orc = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
