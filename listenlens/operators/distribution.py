@@ -41,17 +41,13 @@ def value_counts(df: DataFrame, keys=None, features=None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def quantiles(counts: DataFrame, group: list[str], qs: list[float], buckets: int = 64,
-              written: bool = False) -> DataFrame:
+def quantiles(counts: DataFrame, group: list[str], qs: list[float], buckets: int = 64) -> DataFrame:
     """Exact linear-interpolated quantiles of value counts: (group, q array, count).
 
-    ``written``: the counts are a written table already.
-
     Values are cut into buckets at approximate bounds; bucket totals tell which
     buckets hold the wanted ranks, and only those are ranked, each on its own.
     """
-    if not written:
-        counts = materialize(counts, "value-counts")
+    counts = materialize(counts, "value-counts")
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     # written once: approximate bounds must not change if a stage is run again
     bounds = materialize(counts.groupBy(*group).agg(F.percentile_approx("value", probs, 1000).alias("_bounds"),
@@ -131,11 +127,11 @@ def describe(df: DataFrame, keys=None, features=None) -> DataFrame:
     keys = as_keys(keys)
     features = features or [c for c in (*C.AUDIO_FEATURES, "popularity", "duration_ms") if c in df.columns]
     g = [*keys, "feature"]
-    counts = materialize(value_counts(df, keys, features), "describe-counts")
+    counts = value_counts(df, keys, features)
     out = counts.groupBy(*g).agg(
         F.sum("n").alias("count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantiles(counts, g, QUARTILES, written=True).select(*g, F.col("q").alias("_q"))
+    q = quantiles(counts, g, QUARTILES).select(*g, F.col("q").alias("_q"))
     spread = (counts.join(out.select(*g, "mean"), g).groupBy(*g)
               .agg(F.sum((F.col("value") - F.col("mean")) ** 2 * F.col("n")).alias("_ss")))
     return (out.join(spread, g).join(q, g)
@@ -148,8 +144,8 @@ def box_stats(df: DataFrame, keys=None, features=None) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whiskers (extreme points inside), outliers, min, max."""
     keys = as_keys(keys)
     g = [*keys, "feature"]
-    counts = materialize(value_counts(df, keys, features or BOX_FEATURES), "box-counts")
-    q = quantiles(counts, g, QUARTILES, written=True).select(
+    counts = value_counts(df, keys, features or BOX_FEATURES)
+    q = quantiles(counts, g, QUARTILES).select(
         *g, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({
         "lower_fence": F.col("q1") - 1.5 * F.col("iqr"),
