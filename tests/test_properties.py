@@ -132,3 +132,40 @@ def test_approximate_medians_close_to_exact(spark):
     ap = clean_tracks(t, "approx").filter("track_id % 29 = 0").select("track_id", "energy")
     a = dict(ex.collect()); b = dict(ap.collect())
     assert all(abs(a[k] - b[k]) < 0.05 for k in a)
+
+
+def test_nearest_by_stretches_equals_sorting_every_row(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(TA, "_CELLS", 900)  # stretches of three queries
+    c = rng.integers(-2, 3, (300, 2)).astype(float)  # many ties
+    ids = np.sort(rng.choice(1000, 300, replace=False))
+    at = np.sort(rng.choice(300, 20, replace=False))
+    got = list(zip(*[np.concatenate(x).tolist() for x in zip(*TA._nearest(ids[at], c[at], ids, c, 4))]))
+    want = []
+    for i in at:
+        s = c @ c[i]
+        s[i] = -np.inf
+        want += [(ids[i], ids[j], s[j]) for j in np.lexsort((ids, -s))[:4]]
+    assert got == want
+
+
+def test_mood_texts_read_the_library_once(spark):
+    from listenlens.operators import mood as M
+    lib = enriched(Views(spark, SF_SMALL))
+    for df in (M.mood_insights(M.QuadrantMood(), lib), M.mood_profile(M.QuadrantMood(), lib)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "event_id" not in plan  # only the written sums are read
+    e = lib.groupBy("user_id").agg(F.avg("energy").alias("e")).filter("e > 0.7 OR e < 0.4").count()
+    said = M.mood_insights(M.QuadrantMood(), lib).filter("insight LIKE '%avg energy%'").count()
+    assert said == e
+
+
+def test_mood_fit_spreads_rows_of_one_file(spark, monkeypatch):
+    from listenlens.operators import mood as M
+    t = Views(spark, SF_SMALL).tracks.coalesce(1)
+    monkeypatch.setattr(M, "PART_ROWS", 20)
+    seen = []
+    real = M.KMeans.fit
+    monkeypatch.setattr(M.KMeans, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or real(self, df, *a))
+    m = M.fit_mood(t, n_init=1)
+    assert seen[0] > 1 and m.profiles.agg(F.sum("size")).first()[0] == t.count()
