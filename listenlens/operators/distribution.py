@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenlens.functions import columns as C
@@ -27,6 +27,10 @@ BOX_FEATURES = ["danceability", "energy", "speechiness", "acousticness", "instru
 MOODS = ["Happy & Energetic", "Angry & Intense", "Peaceful & Happy", "Sad & Calm"]
 
 
+# most values of a group that one task ranks
+FEW = 10_000
+
+
 def _long(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """(keys, feature, value) rows, nulls dropped."""
     cols = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features])
@@ -41,13 +45,48 @@ def value_counts(df: DataFrame, keys=None, features=None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def quantiles(counts: DataFrame, group: list[str], qs: list[float], buckets: int = 64) -> DataFrame:
+def quantiles(counts: DataFrame, group: list[str], qs: list[float], buckets: int = 64, stored: bool = False,
+              few: int = FEW) -> DataFrame:
     """Exact linear-interpolated quantiles of value counts: (group, q array, count).
 
-    Values are cut into buckets at approximate bounds; bucket totals tell which
-    buckets hold the wanted ranks, and only those are ranked, each on its own.
+    A group of at most ``few`` values is ranked as it is.  The values of a larger one are
+    cut into buckets (``_bucket_quantiles``), so no task holds all of them; there is at
+    most one such group for every ``few`` values.  ``stored``: the counts are written already.
     """
-    counts = materialize(counts, "value-counts")
+    counts = counts if stored else materialize(counts, "value-counts")
+    large = materialize(counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_values")).filter(F.col("_values") > few)
+                        .select(*group), "large-groups")
+    if large.isEmpty():
+        return _ranked_quantiles(counts, group, qs)
+    return _ranked_quantiles(counts.join(large, group, "left_anti"), group, qs).unionByName(
+        _bucket_quantiles(materialize(counts.join(large, group, "left_semi"), "large-counts"), group, qs, buckets))
+
+
+def _wanted(qs: list[float]) -> list[Column]:
+    """Ranks (from 0) below and above every quantile, of _all values."""
+    return [f(F.lit(q) * (F.col("_all") - 1)) for q in qs for f in (F.floor, F.ceil)]
+
+
+def _picked(ranked: DataFrame, group: list[str], qs: list[float]) -> DataFrame:
+    """Quantiles from values that hold the ranks _lo to _lo + n - 1 of _all."""
+    pick = lambda r: F.max(F.when((r >= F.col("_lo")) & (r < F.col("_lo") + F.col("n")), F.col("value")))
+    out = ranked.groupBy(*group, "_all").agg(*[pick(r).alias(f"_v{i}") for i, r in enumerate(_wanted(qs))])
+    rank = lambda q: F.lit(q) * (F.col("_all") - 1)
+    value = lambda i, q: (F.col(f"_v{2 * i}") + (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}"))
+                          * (rank(q) - F.floor(rank(q))))
+    return out.select(*group, F.array(*[value(i, q) for i, q in enumerate(qs)]).alias("q"), F.col("_all").alias("count"))
+
+
+def _ranked_quantiles(counts: DataFrame, group: list[str], qs: list[float]) -> DataFrame:
+    every = Window.partitionBy(*group)
+    before = every.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return _picked(counts.withColumns({"_lo": F.coalesce(F.sum("n").over(before), F.lit(0)), "_all": F.sum("n").over(every)}),
+                   group, qs)
+
+
+def _bucket_quantiles(counts: DataFrame, group: list[str], qs: list[float], buckets: int) -> DataFrame:
+    """Values are cut into buckets at approximate bounds; bucket totals tell which buckets
+    hold the wanted ranks, and only those are ranked, each on its own."""
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     # written once: approximate bounds must not change if a stage is run again
     bounds = materialize(counts.groupBy(*group).agg(F.percentile_approx("value", probs, 1000).alias("_bounds"),
@@ -58,19 +97,22 @@ def quantiles(counts: DataFrame, group: list[str], qs: list[float], buckets: int
     totals = (cut.groupBy(*group, "_b", "_all").agg(F.sum("n").alias("_size"))
               .withColumn("_from", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_all"))
     inside = Window.partitionBy(*group, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    rank = lambda q: F.lit(q) * (F.col("_all") - 1)
     held = lambda r, lo, hi: (r >= lo) & (r < hi)
-    wanted = [f(rank(q)) for q in qs for f in (F.floor, F.ceil)]
     some = F.lit(False)
-    for r in wanted:
+    for r in _wanted(qs):
         some = some | held(r, F.col("_from"), F.col("_from") + F.col("_size"))
     ranked = (cut.join(totals, [*group, "_b"]).filter(some)
               .withColumn("_lo", F.col("_from") + F.coalesce(F.sum("n").over(inside), F.lit(0))))
-    pick = lambda r: F.max(F.when(held(r, F.col("_lo"), F.col("_lo") + F.col("n")), F.col("value")))
-    out = ranked.groupBy(*group, "_all").agg(*[pick(r).alias(f"_v{i}") for i, r in enumerate(wanted)])
-    value = lambda i, q: (F.col(f"_v{2 * i}") + (F.col(f"_v{2 * i + 1}") - F.col(f"_v{2 * i}"))
-                          * (rank(q) - F.floor(rank(q))))
-    return out.select(*group, F.array(*[value(i, q) for i, q in enumerate(qs)]).alias("q"), F.col("_all").alias("count"))
+    return _picked(ranked, group, qs)
+
+
+def _counts_of(df: DataFrame, keys: list[str], features: list[str], counts: DataFrame | None) -> DataFrame:
+    """Value counts of the features, of stored ``counts`` where given."""
+    return value_counts(df, keys, features) if counts is None else counts.filter(F.col("feature").isin(features))
+
+
+def describe_names(df: DataFrame) -> list[str]:
+    return [c for c in (*C.AUDIO_FEATURES, "popularity", "duration_ms") if c in df.columns]
 
 
 def mood_quadrants(df: DataFrame, keys=None) -> DataFrame:
@@ -94,15 +136,16 @@ def audio_profile(df: DataFrame, keys=None, features=None) -> DataFrame:
             .withColumn("baseline", F.try_element_at(base, F.col("feature"))))
 
 
-def histogram(df: DataFrame, keys=None, features=None, bins: int = 30) -> DataFrame:
+def histogram(df: DataFrame, keys=None, features=None, bins: int = 30, counts: DataFrame | None = None) -> DataFrame:
     """Equal-width bins between each group's min and max; max falls in the last bin.
 
     Output rows only for non-empty bins.  Range and bins are taken from value
-    counts, so raw rows never meet on a listener's key.
+    counts, so raw rows never meet on a listener's key.  ``counts``: value counts that are
+    written already, of these features at least.
     """
     keys = as_keys(keys)
     g = [*keys, "feature"]
-    counts = value_counts(df, keys, features or HISTOGRAM_FEATURES)
+    counts = _counts_of(df, keys, features or HISTOGRAM_FEATURES, counts)
     rng = counts.groupBy(*g).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = F.col("hi") - F.col("lo")
     b = (F.when(width == 0, F.lit(1))
@@ -118,20 +161,28 @@ def histogram(df: DataFrame, keys=None, features=None, bins: int = 30) -> DataFr
 QUARTILES = [0.25, 0.5, 0.75]
 
 
-def describe(df: DataFrame, keys=None, features=None) -> DataFrame:
+def quartiles(counts: DataFrame, keys=None) -> DataFrame:
+    """(keys, feature, q): the quartiles of stored value counts."""
+    g = [*as_keys(keys), "feature"]
+    return quantiles(counts, g, QUARTILES, stored=True).select(*g, "q")
+
+
+def describe(df: DataFrame, keys=None, features=None, counts: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max per feature (long form).
 
     All from value counts; the deviation is taken around the mean in a second
-    pass over the counts, which loses no digits to cancellation.
+    pass over the counts, which loses no digits to cancellation.  ``counts``, ``found``:
+    value counts and ``quartiles`` that are written already, of these features at least.
     """
     keys = as_keys(keys)
-    features = features or [c for c in (*C.AUDIO_FEATURES, "popularity", "duration_ms") if c in df.columns]
+    features = features or describe_names(df)
     g = [*keys, "feature"]
-    counts = value_counts(df, keys, features)
+    # read by the sums, the quartiles and the spread: counted and written once
+    counts = materialize(value_counts(df, keys, features), "value-counts") if counts is None else _counts_of(df, keys, features, counts)
     out = counts.groupBy(*g).agg(
         F.sum("n").alias("count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantiles(counts, g, QUARTILES).select(*g, F.col("q").alias("_q"))
+    q = (quartiles(counts, keys) if found is None else found).withColumnRenamed("q", "_q")
     spread = (counts.join(out.select(*g, "mean"), g).groupBy(*g)
               .agg(F.sum((F.col("value") - F.col("mean")) ** 2 * F.col("n")).alias("_ss")))
     return (out.join(spread, g).join(q, g)
@@ -140,12 +191,14 @@ def describe(df: DataFrame, keys=None, features=None) -> DataFrame:
             .select(*g, "count", "mean", "std", "min", "max", "p25", "p50", "p75"))
 
 
-def box_stats(df: DataFrame, keys=None, features=None) -> DataFrame:
-    """Quartiles, 1.5 IQR fences, whiskers (extreme points inside), outliers, min, max."""
+def box_stats(df: DataFrame, keys=None, features=None, counts: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Quartiles, 1.5 IQR fences, whiskers (extreme points inside), outliers, min, max.
+    ``counts``, ``found``: as in ``describe``."""
     keys = as_keys(keys)
     g = [*keys, "feature"]
-    counts = value_counts(df, keys, features or BOX_FEATURES)
-    q = quantiles(counts, g, QUARTILES).select(
+    features = features or BOX_FEATURES
+    counts = materialize(value_counts(df, keys, features), "value-counts") if counts is None else _counts_of(df, keys, features, counts)
+    q = (quartiles(counts, keys) if found is None else found).select(
         *g, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({
         "lower_fence": F.col("q1") - 1.5 * F.col("iqr"),

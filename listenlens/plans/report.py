@@ -98,6 +98,10 @@ def full_report(enriched_lib: DataFrame, folder: str, key: str = "user_id") -> D
     keys = [key]
     lib = materialize(enriched_lib, "report-library")
     feats = materialize(P.user_features(lib, keys), "report-features")
+    # histograms, box plots and descriptions all read the value counts: counted once
+    names = list(dict.fromkeys([*D.describe_names(lib), *D.HISTOGRAM_FEATURES, *D.BOX_FEATURES]))
+    counts = materialize(D.value_counts(lib, keys, names), "report-counts")
+    found = materialize(D.quartiles(counts, keys), "report-quartiles")
     tables = {
         "listening_stats": P.listening_stats(lib, keys),
         "user_features": feats,
@@ -112,14 +116,14 @@ def full_report(enriched_lib: DataFrame, folder: str, key: str = "user_id") -> D
         "weekend_split": T.weekend_split(lib, keys),
         "mood_quadrants": D.mood_quadrants(lib, keys),
         "audio_profile": D.audio_profile(lib, keys),
-        "feature_histograms": D.histogram(lib, keys),
-        "tempo_histogram": D.histogram(lib, keys, features=["tempo"], bins=50),
-        "box_stats": D.box_stats(lib, keys),
+        "feature_histograms": D.histogram(lib, keys, counts=counts),
+        "tempo_histogram": D.histogram(lib, keys, features=["tempo"], bins=50, counts=counts),
+        "box_stats": D.box_stats(lib, keys, counts=counts, found=found),
         "mood_scatter": D.mood_scatter(lib, keys),
         "artist_detail": P.top_artists(lib, keys, detail=True),
         "missing_report": D.missing_report(lib, keys),
         "profile_summary": P.profile_summary(lib, keys),
-        "describe_features": D.describe(lib, keys),
+        "describe_features": D.describe(lib, keys, counts=counts, found=found),
         "feature_correlations": D.correlations(lib, keys),
         "genre_top15_other": D.genre_top_other(lib, keys),
         "percentiles": PE.percentiles(feats, keys=keys),

@@ -169,3 +169,21 @@ def test_mood_fit_spreads_rows_of_one_file(spark, monkeypatch):
     monkeypatch.setattr(M.KMeans, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or real(self, df, *a))
     m = M.fit_mood(t, n_init=1)
     assert seen[0] > 1 and m.profiles.agg(F.sum("size")).first()[0] == t.count()
+
+
+def test_quantiles_of_small_and_large_groups(spark):
+    from listenlens.operators import distribution as D
+    rng = np.random.default_rng(9)
+    rows = [("few", float(v)) for v in rng.integers(0, 5, 30)] + [("many", float(v)) for v in rng.normal(size=400)] + [("one", 2.0)]
+    counts = spark.createDataFrame(rows, "feature string, value double").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    want = {f: np.quantile([v for g, v in rows if g == f], [0.1, 0.5, 0.75]) for f in ("few", "many", "one")}
+    for few in (1, 50, 10_000):  # all, one and none of the groups in buckets
+        got = {r.feature: r.q for r in D.quantiles(counts, ["feature"], [0.1, 0.5, 0.75], few=few).collect()}
+        assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f], abs=1e-12) for f in want)
+
+
+def test_descriptions_read_the_library_once(spark):
+    from listenlens.operators import distribution as D
+    lib = enriched(Views(spark, SF_SMALL))
+    for df in (D.describe(lib), D.box_stats(lib)):
+        assert "event_id" not in df._jdf.queryExecution().optimizedPlan().toString()  # only the written counts are read
