@@ -344,7 +344,8 @@ def templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     seen = store(found.select("host", "content", F.explode(F.concat(F.col("subtrees"), F.array(F.lit(0).cast("long")))).alias("h"))
                  .distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(f"h = 0 or n >= {min_pages}"), "host-subtrees")
     pages_of = seen.filter("h = 0").select("host", F.col("n").alias("pages"))
-    return (seen.filter("h <> 0").join(pages_of, "host").filter(F.col("n") >= least_pages(F.col("pages"), min_pages))
+    # the files pack many rows into few bytes: by their size a join would send all rows to the driver
+    return (seen.filter("h <> 0").join(pages_of.hint("merge"), "host").filter(F.col("n") >= least_pages(F.col("pages"), min_pages))
             .select("host", "h"))
 
 
@@ -352,8 +353,9 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars, n_templates (of the host): one row per page row."""
     def run(batches):
         for batch in batches:
-            cut = batch.column("templates").to_pylist()
-            texts = [Page(h or "").text(frozenset(t or ())) for h, t in zip(batch.column("html").to_pylist(), cut)]
+            # a page at a time: the pages of a bucket share long lists
+            texts = [Page(h.as_py() or "").text(frozenset(t.as_py() or ()))
+                     for h, t in zip(batch.column("html"), batch.column("templates"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64()), batch.column("n_templates")],
@@ -372,7 +374,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     known = (known.select("host", "h", F.lit(None).cast("long").alias("size"))
              .unionByName(known.groupBy("host").agg(F.count(F.lit(1)).alias("size")).select("host", F.lit(0).cast("long").alias("h"), "size")))
     shown = found.select("bucket", "host", F.explode(F.concat(F.col("subtrees"), F.array(F.lit(0).cast("long")))).alias("h")).distinct()
-    cut = (shown.join(known, ["host", "h"]).groupBy("bucket", "host")
+    cut = (shown.join(known.hint("merge"), ["host", "h"]).groupBy("bucket", "host")
            .agg(F.collect_list(F.when(F.col("h") != 0, F.col("h"))).alias("templates"), F.max("size").alias("n_templates")))
     return (p.join(cut, ["bucket", "host"], "left")
             .select("page_id", "url", "html", "templates", F.coalesce("n_templates", F.lit(0).cast("long")).alias("n_templates"))

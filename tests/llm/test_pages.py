@@ -121,6 +121,13 @@ def test_any_markup_is_read_in_linear_time(html):
     assert took[1] < 10 * took[0] + 0.5 and took[1] < 10
 
 
+def test_subtrees_are_not_sent_to_the_driver(spark):
+    """Their files are far smaller than their rows, so a size by the files would have them broadcast."""
+    plan = html_text.extract(table(spark, SF_SMALL, "pages"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[host#\d+(, h#\d+L)?\]", plan)
+    assert re.search(r"SortMergeJoin \[host#\d+\]", plan) and re.search(r"SortMergeJoin \[host#\d+, h#\d+L\]", plan)
+
+
 def test_pages_with_nulls_and_no_rows(spark):
     rows = [(None, None, page("<p>a</p>")), (1, "not a url", page("<p>b</p>")), (1, "http://x.example", None), (1, "http://x.example", None)]
     got = sorted((r.page_id or 0, r.text) for r in html_text.extract(frames.pages(spark, rows)).collect())
