@@ -1,5 +1,7 @@
 """Sources/sinks (A3-A8) and model persistence round trips."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,20 @@ def test_taste_save_load_and_defaults(spark):
     pairs = spark.createDataFrame([(10 ** 9, 1), (0, 10 ** 9)], "user_id long, track_id long")
     assert [r.taste_score for r in m2.match_scores(pairs).collect()] == [0.5, 0.5]
     assert m2.user_factors.count() == m.user_factors.count()
+
+
+def test_taste_fit_leaves_no_shuffles_of_its_passes(spark):
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return {b.split("_")[1] for b in blocks.split() if b.startswith("shuffle_")}
+
+    matrix = TA.interaction_matrix(Views(spark, SF_SMALL).interactions)
+    before = shuffles()
+    m = TA.train_taste(matrix, rank=4, max_iter=12)
+    for _ in range(20):  # Spark deletes them in the background
+        if len(shuffles() - before) < 10:
+            break
+        time.sleep(0.5)
+    # those of the matrix and of the blocks of ratings may stay, two a pass may not
+    assert len(shuffles() - before) < 10
+    assert m.user_factors.count() and m.model.rank == 4
